@@ -47,6 +47,12 @@ def argmax_column(columns) -> Column:
                   F.when(F.col(columns[0]) == top, F.lit(columns[0])))
 
 
+def interpolate(below, above, share) -> Column:
+    """Value at ``share`` of the way; measured from the nearer end, so equal ends give exactly that value."""
+    gap = above - below
+    return F.when(share < 0.5, below + gap * share).otherwise(above - gap * (1.0 - share))
+
+
 def sorted_quantile(values, p: float) -> Column:
     """Quantile of an ascending array without nulls, with linear interpolation; NULL when empty."""
     values = _col(values)
@@ -54,7 +60,7 @@ def sorted_quantile(values, p: float) -> Column:
     low = F.floor(position).cast("int")
     below = F.get(values, F.greatest(low, F.lit(0)))
     above = F.get(values, F.least(low + 1, F.size(values) - 1))
-    return F.when(F.size(values) > 0, below + (above - below) * (position - low))
+    return F.when(F.size(values) > 0, interpolate(below, above, position - low))
 
 
 def mean_between(values, low, high) -> Column:

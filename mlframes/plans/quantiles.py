@@ -7,7 +7,7 @@ are spread over many tasks (``running_totals``).
 
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.functions.arrays import mean_between, sorted_quantile
+from mlframes.functions.arrays import interpolate, mean_between, sorted_quantile
 from mlframes.plans.joins import at_most, join_on
 from mlframes.plans.ranks import running_totals
 
@@ -50,8 +50,7 @@ def histogram_quantiles(hist: DataFrame, keys, probs) -> DataFrame:
             holds = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
             parts.append(F.max(F.when(holds, F.col("value"))).alias(f"__{side}{i}"))
         parts.append(F.max(position - F.floor(position)).alias(f"__f{i}"))
-        picks.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}"))
-                     .alias(f"q{i}"))
+        picks.append(interpolate(F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")).alias(f"q{i}"))
     return ranked.groupBy(*keys).agg(*parts).select(*keys, *picks)
 
 
