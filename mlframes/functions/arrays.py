@@ -53,17 +53,27 @@ def interpolate(below, above, share) -> Column:
     return F.when(share < 0.5, below + gap * share).otherwise(above - gap * (1.0 - share))
 
 
-def sorted_quantile(values, p: float) -> Column:
+def _quantile_sql(a: str, p: float) -> str:
+    position = f"((size({a}) - 1) * {float(p)!r}D)"
+    share = f"({position} - floor({position}))"
+    below = f"get({a}, cast(greatest(floor({position}), 0) as int))"
+    above = f"get({a}, cast(least(floor({position}) + 1, size({a}) - 1) as int))"
+    return (f"if({share} < 0.5D, {below} + ({above} - {below}) * {share}, "
+            f"{above} - ({above} - {below}) * (1D - {share}))")
+
+
+def sorted_quantile(column: str, p: float) -> Column:
     """Quantile of an ascending array without nulls, with linear interpolation; NULL when empty."""
-    values = _col(values)
-    position = (F.size(values) - 1) * F.lit(float(p))
-    low = F.floor(position).cast("int")
-    below = F.get(values, F.greatest(low, F.lit(0)))
-    above = F.get(values, F.least(low + 1, F.size(values) - 1))
-    return F.when(F.size(values) > 0, interpolate(below, above, position - low))
-
-
-def mean_between(values, low, high) -> Column:
-    """Mean of the array entries strictly between two bounds; NULL when there is none."""
-    kept = F.filter(_col(values), lambda x: (x > low) & (x < high))
-    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
+    return F.expr(_quantile_sql(column, p))
+
+
+def interquartile_mean(column: str) -> Column:
+    """Mean of the entries strictly between the quartiles of an ascending array; NULL when there is none.
+
+    The quartiles travel in the accumulator: a lambda that named them would work them out per entry.
+    """
+    inside = "x > acc.lo and x < acc.hi"
+    return F.expr(
+        f"aggregate({column}, named_struct('lo', {_quantile_sql(column, 0.25)}, 'hi', {_quantile_sql(column, 0.75)}, "
+        f"'s', 0D, 'n', 0), (acc, x) -> named_struct('lo', acc.lo, 'hi', acc.hi, 's', acc.s + if({inside}, x, 0D), "
+        f"'n', acc.n + if({inside}, 1, 0)), acc -> try_divide(acc.s, acc.n))")

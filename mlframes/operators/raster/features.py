@@ -74,12 +74,7 @@ def spectral_bands(px: DataFrame) -> DataFrame:
     extra = ["rededge"] if "rededge" in px.columns else []
     raw = px.select(*KEYS, *[F.when(colour.valid(), colour.scaled(c)).alias(c)
                              for c in ["red", "green", "blue", "nir", *extra]])
-    rgb = [F.col(c) for c in ("red", "green", "blue")]
-    with_xyz = raw.withColumns({**dict(zip("hsv", colour.hsv(*rgb))), **dict(zip("xyz", colour.xyz(*rgb)))})
-    seen = F.col("red").isNotNull()  # the fallbacks inside the conversions must not revive invalid pixels
-    with_xyz = with_xyz.withColumns({c: F.when(seen, F.col(c)) for c in "hsvxyz"})
-    out = with_xyz.withColumns(dict(zip("lab", colour.lab(F.col("x"), F.col("y"), F.col("z")))))
-    return out.withColumns({c: F.when(seen, F.col(c)) for c in "lab"})
+    return colour.with_lab(colour.with_xyz(colour.with_hsv(raw)))
 
 
 def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -17,47 +17,41 @@ from mlframes.plans.joins import join_on
 ORDERS = [(p, q) for p in range(4) for q in range(4 - p)]
 
 
-def _power(c: Column, n: int) -> Column:
-    out = F.lit(1.0)
-    for _ in range(n):
-        out = out * c
-    return out
+def _power(x: str, n: int) -> str:
+    return " * ".join([x] * n) if n else "1D"
 
 
-def _shifted(prefix: str, p: int, q: int, row: Column, col: Column) -> Column:
-    """Moment about (row, col) from moments about the origin."""
-    out = None
-    for i in range(p + 1):
-        for j in range(q + 1):
-            term = F.col(f"{prefix}{i}{j}") * float(comb(p, i) * comb(q, j)) * _power(-row, p - i) * _power(-col, q - j)
-            out = term if out is None else out + term
-    return out
+def _about(prefix: str, row: str, col: str) -> str:
+    """Array of moments about (row, col) from sums about the origin, by the binomial formula."""
+    def one(p, q):
+        return " + ".join(f"{prefix}{i}{j} * {comb(p, i) * comb(q, j)} * {_power(f'(-{row})', p - i)} * {_power(f'(-{col})', q - j)}"
+                          for i in range(p + 1) for j in range(q + 1))
 
+    return "array(" + ", ".join(one(p, q) for p, q in ORDERS) + ")"
 
-def _moments(prefix: str, row: Column, col: Column) -> dict:
-    return {(p, q): _shifted(prefix, p, q, row, col) for p, q in ORDERS}
 
+def _entry(array: str, p: int, q: int) -> str:
+    return f"{array}[{ORDERS.index((p, q))}]"
 
-def _normalised(name: str) -> list[Column]:
-    m = {o: F.get(F.col(name), F.lit(i)) for i, o in enumerate(ORDERS)}
-    return [F.try_divide(m[p, q], F.pow(m[0, 0], F.lit((p + q) / 2 + 1.0))) if p + q >= 2
-            else F.lit(None).cast("double") for p, q in ORDERS]
 
+def _normalised(array: str) -> str:
+    """Central moments over powers of the total; NULL below order two."""
+    return "array(" + ", ".join(
+        f"try_divide({_entry(array, p, q)}, pow({_entry(array, 0, 0)}, {(p + q) / 2 + 1}D))" if p + q >= 2
+        else "cast(null as double)" for p, q in ORDERS) + ")"
 
-def _hu(name: str) -> list[Column]:
-    """The seven moment invariants from an array of normalised moments."""
-    n = {o: F.get(F.col(name), F.lit(i)) for i, o in enumerate(ORDERS)}
-    n20, n02, n11 = n[2, 0], n[0, 2], n[1, 1]
-    n30, n21, n12, n03 = n[3, 0], n[2, 1], n[1, 2], n[0, 3]
-    a, b = n30 + n12, n21 + n03
-    c, d = n30 - 3.0 * n12, 3.0 * n21 - n03
-    return [n20 + n02,
-            (n20 - n02) * (n20 - n02) + 4.0 * n11 * n11,
-            c * c + d * d,
-            a * a + b * b,
-            c * a * (a * a - 3.0 * b * b) + d * b * (3.0 * a * a - b * b),
-            (n20 - n02) * (a * a - b * b) + 4.0 * n11 * a * b,
-            d * a * (a * a - 3.0 * b * b) - c * b * (3.0 * a * a - b * b)]
+
+def _invariants(array: str) -> str:
+    """The seven moment invariants of Hu from normalised moments."""
+    n20, n02, n11 = (_entry(array, *o) for o in ((2, 0), (0, 2), (1, 1)))
+    n30, n21, n12, n03 = (_entry(array, *o) for o in ((3, 0), (2, 1), (1, 2), (0, 3)))
+    a, b = f"({n30} + {n12})", f"({n21} + {n03})"
+    c, d = f"({n30} - 3D * {n12})", f"(3D * {n21} - {n03})"
+    e, f, g = f"({n20} - {n02})", f"({a} * {a} - 3D * {b} * {b})", f"(3D * {a} * {a} - {b} * {b})"
+    return "array(" + ", ".join([
+        f"{n20} + {n02}", f"{e} * {e} + 4D * {n11} * {n11}", f"{c} * {c} + {d} * {d}", f"{a} * {a} + {b} * {b}",
+        f"{c} * {a} * {f} + {d} * {b} * {g}", f"{e} * ({a} * {a} - {b} * {b}) + 4D * {n11} * {a} * {b}",
+        f"{d} * {a} * {f} - {c} * {b} * {g}"]) + ")"
 
 
 def region_properties(px: DataFrame, gray: str = "bgr") -> DataFrame:
@@ -66,56 +60,45 @@ def region_properties(px: DataFrame, gray: str = "bgr") -> DataFrame:
     Sums of ``row^p * col^q`` combine before the shuffle and are moved to the bounding box and the
     centroid afterwards. Moment arrays hold the orders of ``ORDERS``. ``gray`` picks the luma order.
     """
-    w = colour.gray(gray)
-    r, c = F.col("row").cast("double"), F.col("col").cast("double")
-    px = px.withColumn("__g", w)
+    px = px.select(*KEYS, "row", "col", "red", "green", "blue", F.col("row").cast("double").alias("__r"),
+                   F.col("col").cast("double").alias("__c"), colour.gray(gray).alias("__g"))
     bands = {"gray": "__g", "red": "red", "green": "green", "blue": "blue"}
-    sums = [F.sum(_power(r, p) * _power(c, q)).alias(f"__m{p}{q}") for p, q in ORDERS]
-    sums += [F.sum(F.col("__g") * _power(r, p) * _power(c, q)).alias(f"__w{p}{q}") for p, q in ORDERS]
+    sums = [F.expr(f"sum({_power('__r', p)} * {_power('__c', q)}) as __m{p}{q}") for p, q in ORDERS]
+    sums += [F.expr(f"sum(__g * {_power('__r', p)} * {_power('__c', q)}) as __w{p}{q}") for p, q in ORDERS]
     s = px.groupBy(*KEYS).agg(
-        F.count("*").alias("area"), F.min("row").alias("__r0"), F.max("row").alias("__r1"),
-        F.min("col").alias("__c0"), F.max("col").alias("__c1"), *sums,
+        F.count("*").alias("area"), F.min("row").alias("__top"), F.max("row").alias("__bottom"),
+        F.min("col").alias("__left"), F.max("col").alias("__right"), *sums,
         *[f(b).alias(f"{name}_{stat}_intensity") for name, b in bands.items()
           for stat, f in (("max", F.max), ("mean", F.avg), ("min", F.min))])
-    r0, c0 = F.col("__r0").cast("double"), F.col("__c0").cast("double")
-    height, width = F.col("__r1") - F.col("__r0") + 1, F.col("__c1") - F.col("__c0") + 1
-    s = s.withColumns({
-        "label": F.col("segment"),
-        "bbox": F.array("__r0", "__c0", F.col("__r1") + 1, F.col("__c1") + 1),
-        "bbox_area": (height * width).cast("bigint"),
-        "centroid_y": F.col("__m10") / F.col("area"), "centroid_x": F.col("__m01") / F.col("area"),
-        "__wy": F.try_divide("__w10", "__w00"), "__wx": F.try_divide("__w01", "__w00")})
-    y, x, wy, wx = F.col("centroid_y"), F.col("centroid_x"), F.col("__wy"), F.col("__wx")
-    s = s.withColumns({
-        "extent": F.col("area") / F.col("bbox_area"),
-        "equivalent_diameter": F.sqrt(F.col("area") * (4.0 / math.pi)),
-        "local_centroid_y": y - r0, "local_centroid_x": x - c0,
-        "moments": F.array(*_moments("__m", r0, c0).values()),
-        "moments_central": F.array(*_moments("__m", y, x).values()),
-        "weighted_centroid": F.array(wy, wx), "weighted_local_centroid": F.array(wy - r0, wx - c0),
-        "weighted_moments": F.array(*_moments("__w", r0, c0).values()),
-        "weighted_moments_central": F.array(*_moments("__w", wy, wx).values())})
-    s = s.withColumns({"moments_normalized": F.array(*_normalised("moments_central")),
-                       "__weighted_normalized": F.array(*_normalised("weighted_moments_central"))})
-    mu = {o: F.get("moments_central", F.lit(i)) for i, o in enumerate(ORDERS)}
-    s = s.withColumns({"moments_hu": F.array(*_hu("moments_normalized")),
-                       "weighted_moments_hu": F.array(*_hu("__weighted_normalized")),
-                       "__a": mu[0, 2] / mu[0, 0], "__b": -mu[1, 1] / mu[0, 0], "__c": mu[2, 0] / mu[0, 0]})
-    a, b, c = F.col("__a"), F.col("__b"), F.col("__c")
-    spread = F.sqrt((a - c) * (a - c) / 4.0 + b * b)
-    s = s.withColumns({"inertia_tensor": F.array(a, b, b, c),
-                       "__l1": F.greatest((a + c) / 2.0 + spread, F.lit(0.0)),
-                       "__l2": F.greatest((a + c) / 2.0 - spread, F.lit(0.0))})
-    l1, l2 = F.col("__l1"), F.col("__l2")
+    s = s.selectExpr(
+        "*", "segment as label", "array(__top, __left, __bottom + 1, __right + 1) as bbox",
+        "cast((__bottom - __top + 1) * (__right - __left + 1) as bigint) as bbox_area",
+        "cast(__top as double) as __r0", "cast(__left as double) as __c0",
+        "__m10 / area as centroid_y", "__m01 / area as centroid_x",
+        "try_divide(__w10, __w00) as __wy", "try_divide(__w01, __w00) as __wx")
+    s = s.selectExpr(
+        "*", "area / bbox_area as extent", f"sqrt(area * {4 / math.pi!r}D) as equivalent_diameter",
+        "centroid_y - __r0 as local_centroid_y", "centroid_x - __c0 as local_centroid_x",
+        "array(__wy, __wx) as weighted_centroid", "array(__wy - __r0, __wx - __c0) as weighted_local_centroid",
+        f"{_about('__m', '__r0', '__c0')} as moments", f"{_about('__m', 'centroid_y', 'centroid_x')} as moments_central",
+        f"{_about('__w', '__r0', '__c0')} as weighted_moments", f"{_about('__w', '__wy', '__wx')} as weighted_moments_central")
+    mu = {o: _entry("moments_central", *o) for o in ((0, 0), (0, 2), (1, 1), (2, 0))}
+    s = s.selectExpr(
+        "*", f"{_normalised('moments_central')} as moments_normalized", f"{_normalised('weighted_moments_central')} as __wn",
+        f"{mu[0, 2]} / {mu[0, 0]} as __a", f"-{mu[1, 1]} / {mu[0, 0]} as __b", f"{mu[2, 0]} / {mu[0, 0]} as __c")
+    spread = "sqrt((__a - __c) * (__a - __c) / 4D + __b * __b)"
     # a symmetric region has no direction: decide that with a tolerance, not by the last bits
-    even = F.abs(a - c) <= 1e-9 * (a + c)
-    tilt = F.when(F.abs(b) <= 1e-9 * (a + c), F.lit(0.0)).otherwise(b)
-    s = s.withColumns({
-        "inertia_tensor_eigvals": F.array(l1, l2),
-        "major_axis_length": 4.0 * F.sqrt(l1), "minor_axis_length": 4.0 * F.sqrt(l2),
-        "eccentricity": F.when(l1 == 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(1.0 - F.try_divide(l2, l1), F.lit(0.0)))),
-        "orientation": F.when(even & (tilt < 0), F.lit(math.pi / 4)).when(even, F.lit(-math.pi / 4))
-        .otherwise(0.5 * F.atan2(-2.0 * tilt, c - a))})
+    s = s.selectExpr(
+        "*", f"{_invariants('moments_normalized')} as moments_hu", f"{_invariants('__wn')} as weighted_moments_hu",
+        "array(__a, __b, __b, __c) as inertia_tensor", f"greatest((__a + __c) / 2D + {spread}, 0D) as __l1",
+        f"greatest((__a + __c) / 2D - {spread}, 0D) as __l2", "abs(__a - __c) <= 1e-9D * (__a + __c) as __even",
+        "if(abs(__b) <= 1e-9D * (__a + __c), 0D, __b) as __tilt")
+    s = s.selectExpr(
+        "*", "array(__l1, __l2) as inertia_tensor_eigvals", "4D * sqrt(__l1) as major_axis_length",
+        "4D * sqrt(__l2) as minor_axis_length",
+        "if(__l1 = 0, 0D, sqrt(greatest(1D - try_divide(__l2, __l1), 0D))) as eccentricity",
+        f"case when __even and __tilt < 0 then {math.pi / 4!r}D when __even then -{math.pi / 4!r}D "
+        "else 0.5D * atan2(-2D * __tilt, __c - __a) end as orientation")
     return s.drop(*[c for c in s.columns if c.startswith("__")])
 
 
@@ -147,7 +130,7 @@ def neighbourhood(px: DataFrame) -> DataFrame:
 
 
 def _same(name: str) -> Column:
-    return F.coalesce(F.col(name) == F.col("segment"), F.lit(False))
+    return F.col(name).eqNullSafe(F.col("segment"))
 
 
 # Length of a border pixel by 1 + 2 x straight + 10 x diagonal border neighbours
@@ -172,18 +155,24 @@ def perimeters(around: DataFrame) -> DataFrame:
     return codes.groupBy(*KEYS).agg(F.sum(length).alias("perimeter"))
 
 
+def _quad_twelfths() -> Column:
+    """A pixel's part of 4 x 3 times the Euler number: each 2x2 quad around it counts 3 when the pixel is
+    alone, -1 when one of four is missing, -3 when only the opposite pixel is there (eight-connected)."""
+    terms = []
+    for side, ahead, corner in (("w", "n", "nw"), ("e", "n", "ne"), ("w", "s", "sw"), ("e", "s", "se")):
+        a, b, d = (f"({x} <=> segment)" for x in (side, ahead, corner))
+        terms.append(f"case when not {a} and not {b} then if({d}, -3, 3) when {a} and {b} and not {d} then -1 "
+                     f"when {a} != {b} and {d} then -1 else 0 end")
+    return F.expr(" + ".join(terms))
+
+
 def euler_numbers(around: DataFrame) -> DataFrame:
-    """(filename, segment, euler_number), eight-connected: parts minus holes, by 2x2 quads.
+    """(filename, segment, euler_number): parts minus holes."""
+    return around.groupBy(*KEYS).agg(_euler())
 
-    Each pixel adds its part of the four quads it lies in, in twelfths: a quad of one pixel counts
-    3, a quad of three pixels -1 for each, a diagonal quad -3 for each.
-    """
-    total = F.lit(0)
-    for side, ahead, corner in (("w", "n", "nw"), ("e", "n", "ne"), ("w", "s", "sw"), ("e", "s", "se")):
-        a, b, d = (_same(x).cast("int") for x in (side, ahead, corner))
-        total = total + (F.when(a + b + d == 0, 3).when(a + b + d == 2, -1)
-                         .when((d == 1) & (a + b == 0), -3).otherwise(0))
-    return around.groupBy(*KEYS).agg((F.sum(total) / 12).cast("int").alias("euler_number"))
+
+def _euler() -> Column:
+    return (F.sum(_quad_twelfths()) / 12).cast("int").alias("euler_number")
 
 
 def _cross(o, a, b):
@@ -263,7 +252,7 @@ def _outline(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
 
 
 def outlines(around: DataFrame) -> DataFrame:
-    """(filename, segment, area, filled_area, convex_area, solidity).
+    """(filename, segment, area, filled_area, convex_area, solidity, euler_number).
 
     A segment is reduced to its horizontal runs, found where a neighbour differs, so what reaches the
     Python helper is the outline and not the area.
@@ -271,15 +260,16 @@ def outlines(around: DataFrame) -> DataFrame:
     def ordered(edge):
         return F.sort_array(F.collect_list(F.when(~_same(edge), F.struct("row", "col"))))
 
-    runs = around.groupBy(*KEYS).agg(F.count("*").alias("area"), ordered("w").alias("__from"), ordered("e").alias("__to"))
+    runs = around.groupBy(*KEYS).agg(F.count("*").alias("area"), _euler(), ordered("w").alias("__from"),
+                                     ordered("e").alias("__to"))
     shape = _outline(F.col("__from.row"), F.col("__from.col"), F.col("__to.col"))
     out = runs.withColumn("__shape", shape)
     return out.select(*KEYS, "area", (F.col("area") + F.col("__shape.holes")).alias("filled_area"),
                       F.col("__shape.convex_area").alias("convex_area"),
-                      (F.col("area") / F.col("__shape.convex_area")).alias("solidity"))
+                      (F.col("area") / F.col("__shape.convex_area")).alias("solidity"), "euler_number")
 
 
 def outline_properties(px: DataFrame) -> DataFrame:
     """Perimeter, Euler number, filled and convex area and solidity per segment."""
     around = neighbourhood(px)
-    return join_on(join_on(outlines(around), perimeters(around), KEYS), euler_numbers(around), KEYS)
+    return join_on(outlines(around), perimeters(around), KEYS)

@@ -7,7 +7,7 @@ are spread over many tasks (``running_totals``).
 
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.functions.arrays import interpolate, mean_between, sorted_quantile
+from mlframes.functions.arrays import interpolate, interquartile_mean, sorted_quantile
 from mlframes.plans.joins import at_most, join_on
 from mlframes.plans.ranks import running_totals
 
@@ -80,9 +80,7 @@ def grouped_interquartile_means(df: DataFrame, keys, columns, group_rows: int =
     keys, columns = list(keys), list(columns)
     small, hot = split_by_size(df, keys, group_rows)
     arrays = small.groupBy(*keys).agg(*sorted_values(columns))
-    out = arrays.select(*keys, *[
-        mean_between(f"__{c}", sorted_quantile(f"__{c}", 0.25), sorted_quantile(f"__{c}", 0.75)).alias(c)
-        for c in columns])
+    out = arrays.select(*keys, *[interquartile_mean(f"__{c}").alias(c) for c in columns])
     if hot is None:
         return out
     hist = value_histogram(hot, keys, columns)
