@@ -110,8 +110,9 @@ class Encoder:
             codes = coded if codes is None else codes.unionByName(coded)
         if codes is not None:
             codes = checkpoint(codes)
-            counts = {r["column"]: r["n"] for r in
-                      codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+            found = {r["column"]: r["n"] for r in
+                     codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+            counts = {c: found[c] for c in large}  # columns keep the order of the table
         return cls(onehot, codes, counts, null_as, booleans, drop_false, unseen)
 
     def indicator_names(self, c: str) -> dict[str, str]:
