@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import NumericType
 from pyspark.storagelevel import StorageLevel
@@ -64,12 +66,11 @@ def centroids(model: KMeansModel, features, spark: SparkSession) -> DataFrame:
 
 
 def cluster_means(df: DataFrame, cluster: str, point: str) -> DataFrame:
-    """(cluster, centre): mean of an array column per cluster, dimension by dimension."""
-    flat = df.select(F.col(cluster).alias("cluster"), F.posexplode(point).alias("i", "v"))
-    means = flat.groupBy("cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    # as many entries per cluster as there are dimensions
-    return means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))),
-                                                    lambda s: s["m"]).alias("centre"))
+    """(cluster, centre): mean of an array column per cluster; vectors are summed before the shuffle."""
+    vector = array_to_vector(F.col(point).cast("array<double>"))
+    means = df.select(F.col(cluster).alias("cluster"), vector.alias("v")).groupBy("cluster").agg(
+        Summarizer.mean(F.col("v")).alias("m"))
+    return means.select("cluster", vector_to_array("m").alias("centre"))
 
 
 def inertia(df: DataFrame, cluster: str, point: str, centres: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """Statistics of bands, indices and colours per segment and per image."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from mlframes.functions import colour, indices
 from mlframes.functions.dates import day_fraction, image_date
 from mlframes.operators.raster import KEYS
 from mlframes.plans.joins import attach, attach_small, join_on
-from mlframes.plans.quantiles import GROUP_ROWS, grouped_interquartile_means, grouped_quantiles
+from mlframes.plans.quantiles import GROUP_ROWS, grouped_interquartile_means, grouped_quantiles, ranks_within
 
 # The quantities described per segment, and the statistics of each.
 QUANTITIES = ["red", "blue", "green", "nir", "SAVI", "NDVI_b", "NDVI_g", "NDVI_r", "EVI", "MSAVI", "NDWI"]
@@ -116,9 +116,8 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
     return out
 
 
-def clump_statistics(px: DataFrame, bands=("blue", "green", "red", "nir")) -> DataFrame:
+def clump_statistics(px: DataFrame, bands=("blue", "green", "red", "nir"), group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per given segment: min, max, sum, mean and deviation of each band, and its dense number in the image."""
     stats = px.groupBy(*KEYS).agg(*[f(b).alias(f"{b}_{s}") for b in bands for s, f in (
         ("min", F.min), ("max", F.max), ("sum", F.sum), ("mean", F.avg), ("std", F.stddev_pop))])
-    order = Window.partitionBy("filename").orderBy("segment")
-    return stats.withColumn("segment_number", F.dense_rank().over(order).cast("int"))
+    return ranks_within(stats, ["filename"], "segment", "segment_number", group_rows)

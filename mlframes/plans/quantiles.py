@@ -5,7 +5,7 @@ built-in percentile. Larger groups go through a histogram of distinct values who
 are spread over many tasks (``running_totals``).
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mlframes.functions.arrays import interpolate, interquartile_mean, sorted_quantile
 from mlframes.plans.joins import at_most, join_on
@@ -92,3 +92,17 @@ def grouped_interquartile_means(df: DataFrame, keys, columns, group_rows: int =
     wide = means.groupBy(*keys).agg(*[F.max(F.when(F.col("quantity") == c, F.col("m"))).alias(c)
                                       for c in columns])
     return out.unionByName(join_on(hot.select(*keys).distinct(), wide, keys, "left"))
+
+
+def ranks_within(df: DataFrame, keys, value: str, name: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Add the 1-based rank of a numeric value that is distinct within its group. Groups up to the limit use
+    a window, larger ones running counts over ranges."""
+    keys = list(keys)
+    small, hot = split_by_size(df, keys, group_rows)
+    order = Window.partitionBy(*keys).orderBy(value)
+    out = small.withColumn(name, F.row_number().over(order))
+    if hot is None:
+        return out
+    counted = running_totals(hot.withColumn("__one", F.lit(1)), keys, value, ["__one"])
+    ranked = counted.withColumn(name, (F.col("__one_before") + 1).cast("int"))
+    return out.unionByName(ranked.select(*out.columns))

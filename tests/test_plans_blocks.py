@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mlframes.plans.components import connected_components
 from mlframes.plans.joins import attach, attach_small, join_on
-from mlframes.plans.quantiles import grouped_interquartile_means, grouped_quantiles, split_by_size
+from mlframes.plans.quantiles import grouped_interquartile_means, grouped_quantiles, ranks_within, split_by_size
 from mlframes.plans.ranks import dense_codes, first_per_key, running_totals, with_share
 
 
@@ -118,3 +118,10 @@ def test_components_without_edges(spark):
     nodes = spark.createDataFrame([("f", 1), ("f", 2), ("g", 2)], "filename string, segment int")
     edges = spark.createDataFrame([], "filename string, n1 int, n2 int")
     assert all(r["segment"] == r["component"] for r in connected_components(nodes, edges).collect())
+
+
+@pytest.mark.parametrize("limit", [20, 10 ** 6])
+def test_ranks_within_groups(frame, limit):
+    rows = [("hot", v * 3) for v in range(400)] + [(f"g{g}", v) for g in range(5) for v in range(9, 2, -1)]
+    out = {(r["g"], r["v"]): r["i"] for r in ranks_within(frame(rows, "g string, v int"), ["g"], "v", "i", limit).collect()}
+    assert out == {(g, v): 1 + sum(h == g and w < v for h, w in rows) for g, v in rows}
