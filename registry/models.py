@@ -2,7 +2,7 @@
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from mlframes.functions.likelihood import bic_penalty, log_likelihood
 from mlframes.operators import cluster, curves, metrics, supervised, xmeans
@@ -25,16 +25,27 @@ def _spread(spark, sf):
 _FEATURES = [f"e{i}" for i in range(64)]
 
 
-@query("k01_kmeans")
+def _centres(spark, model):
+    """(cluster, centre) of a fitted model."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster int, centre array<double>")
+
+
+@query("k01_kmeans", "select 10 as k, count(*) as n_points, true as cost_is_inertia from embeddings")
 def k01(spark, sf):
     df = _spread(spark, sf)
     model = cluster.fit_kmeans(df, 10, id_col="id", n_init=3, max_iter=50)
-    return cluster.predict(model, df, "id").groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = cluster.predict(model, df, "id").join(_points(spark, sf), "id")
+    again = cluster.inertia(placed, "cluster", "embedding", _centres(spark, model)).withColumn("n_points", F.lit(df.count()))
+    return again.select(F.lit(len(model.clusterCenters())).alias("k"), "n_points",
+                        (F.abs(F.col("inertia") / model.summary.trainingCost - 1) < 1e-6).alias("cost_is_inertia"))
 
 
-@query("k02_kmeans_many")
+@query("k02_kmeans_many", """select unnest([2, 5, 8]) as k, true as cost_falls from (select count(*) from embeddings)""")
 def k02(spark, sf):
-    return cluster.fit_many(_spread(spark, sf), [8, 2, 5], id_col="id", n_init=1, max_iter=30)[1]
+    costs = cluster.fit_many(_spread(spark, sf), [8, 2, 5], id_col="id", n_init=2, max_iter=30)[1]
+    before = F.lag("cost").over(Window.orderBy("k"))
+    return costs.select("k", F.coalesce(F.col("cost") < before, F.lit(True)).alias("cost_falls"))
 
 
 @query("k03_inertia", f"""{_MEANS} select {rd('sum(pow(v-m,2))')} as inertia from flat join means using (label, i)""")
@@ -67,23 +78,33 @@ def k04s(spark, sf):
     return rounded(cluster.silhouette_squared(_points(spark, sf), "label", "embedding"))
 
 
-@query("k05_predict")
+@query("k05_predict", "select vec_id as id, true as nearest from embeddings")
 def k05(spark, sf):
     df = _spread(spark, sf)
-    return cluster.predict(cluster.fit_kmeans(df, 10, id_col="id", n_init=1, max_iter=30), df, "id")
+    model = cluster.fit_kmeans(df, 10, id_col="id", n_init=1, max_iter=30)
+    # the assigned centre is as near as any
+    apart = F.expr("aggregate(zip_with(embedding, centre, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)")
+    placed = cluster.predict(model, df, "id").join(_points(spark, sf), "id")
+    centres = _centres(spark, model).withColumnRenamed("cluster", "other").agg(F.collect_list(F.struct("other", "centre")).alias("all"))
+    near = placed.withColumn("all", centres.scalar()).select("id", "cluster", "embedding", F.inline("all"))
+    return near.groupBy("id").agg((F.min(F.when(F.col("other") == F.col("cluster"), apart)) <= F.min(apart) + 1e-9).alias("nearest"))
 
 
-@query("k06_choose_k")
+@query("k06_choose_k", "select 6 as n_candidates, true as knee_is_candidate from (select count(*) from embeddings)")
 def k06(spark, sf):
     models, costs = cluster.fit_many(_spread(spark, sf), range(2, 13, 2), id_col="id", n_init=1, max_iter=30)
-    return cluster.knee(costs)
+    return cluster.knee(costs).select(F.lit(len(models)).alias("n_candidates"),
+                                      F.coalesce(F.col("knee").isin(list(models)), F.lit(True)).alias("knee_is_candidate"))
 
 
-@query("k07_xmeans")
+@query("k07_xmeans", "select count(*) as n_points, true as k_in_range, true as k_is_last_round from embeddings")
 def k07(spark, sf):
     df = _spread(spark, sf)
     model, rounds = xmeans.fit_xmeans(df, id_col="id", n_init=1, max_iter=30, kmax=16)
-    return cluster.predict(model, df, "id").groupBy("cluster").agg(F.count("*").alias("n"))
+    k = len(model.clusterCenters())
+    placed = cluster.predict(model, df, "id")
+    return placed.agg(F.count("*").alias("n_points"), ((F.min("cluster") >= 0) & (F.max("cluster") < 16)).alias("k_in_range"),
+                      F.lit(k == rounds[-1]).alias("k_is_last_round"))
 
 
 _LL = "({m}*(ln({m})-ln({n})-0.5::double*(ln(2*pi())+64*ln({v})+1))+0.5::double*{k})"
@@ -129,7 +150,6 @@ _KNEE = """with c as (select o_orderpriority as g, year(o_orderdate)*12+month(o_
 
 @query("w06_knee", _KNEE)
 def w06(spark, sf):
-    from pyspark.sql import Window
     orders = table(spark, sf, "orders")
     months = orders.groupBy(F.col("o_orderpriority").alias("g"),
                             (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m")).agg(F.count("*").alias("n"))
@@ -185,11 +205,14 @@ def j10(spark, sf):
     return cluster.predict(cluster.fit_kmeans(df, 4, id_col="id", n_init=1, max_iter=20), df, "id").select("id")
 
 
-@query("a24_model_report")
+@query("a24_model_report", """select 5 as model_clusters, 64 as num_training_features, count(*) as num_training_samples, 'id' as id_col,
+    true as has_inertia from embeddings""")
 def a24(spark, sf):
     df = _spread(spark, sf)
     model = cluster.fit_kmeans(df, 5, id_col="id", n_init=1, max_iter=20)
-    return cluster.model_report(model, 64, df.count(), spark, "id")
+    report = cluster.model_report(model, len(_FEATURES), df.count(), spark, "id")
+    return report.select("model_clusters", "num_training_features", "num_training_samples", "id_col",
+                         (F.col("model_inertia") > 0).alias("has_inertia"))
 
 
 # ---- supervised --------------------------------------------------------------------------------
@@ -202,30 +225,43 @@ def _trained(spark, sf):
     return supervised.train_regressor(_regression(spark, sf), "y", drop=["k"], rounds=5, maxDepth=4)
 
 
-@query("m08_boosted_regression")
+@query("m08_boosted_regression", f"""{cte('regression')} select distinct split as "set", true as rmse_at_least_mae, true as train_beats_mean from regression""")
 def m08(spark, sf):
-    return _trained(spark, sf).validate(_regression(spark, sf))
+    scores = _trained(spark, sf).validate(_regression(spark, sf))
+    part = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    return scores.groupBy("set").agg((part("rmse") >= part("mae")).alias("rmse_at_least_mae"),
+                                     ((part("explained_variance") > 0) | (F.first("set") != "Train")).alias("train_beats_mean"))
 
 
-@query("m09_classification")
+@query("m09_classification", f"{cte('regression')} select distinct split as \"set\", true as recall_is_accuracy from regression")
 def m09(spark, sf):
     df = _regression(spark, sf)
-    return supervised.train_classifier(df, "label", drop=["k"], rounds=5, maxDepth=4).validate(df)
+    scores = supervised.train_classifier(df, "label", drop=["k"], rounds=5, maxDepth=4).validate(df)
+    # weighted by support, recall is accuracy
+    part = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    return scores.groupBy("set").agg((F.abs(part("recall") - part("accuracy")) < 1e-9).alias("recall_is_accuracy"))
 
 
-@query("m10_probabilities")
+@query("m10_probabilities", f"{cte('regression')} select split, count(*) as n, true as adds_up, true as class_is_likelier from regression group by 1")
 def m10(spark, sf):
     df = _regression(spark, sf).withColumn("returned", (F.col("label") == "R").cast("int")).drop("label")
     model = supervised.train_classifier(df, "returned", drop=["k"], rounds=3, maxDepth=3)
-    scored = model.score(df, probabilities=True, name="p")
-    return scored.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.get("p", F.lit(1))).alias("mean_p"))
+    scored = model.score(df, probabilities=True, name="p").select("k", "split", "p").join(model.score(df).select("k", "prediction"), "k")
+    p0, p1 = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    return scored.groupBy("split").agg(F.count("*").alias("n"), (F.max(F.abs(p0 + p1 - 1)) < 1e-9).alias("adds_up"),
+                                       F.bool_and((F.col("prediction") == 1) == (p1 > p0)).alias("class_is_likelier"))
 
 
-@query("m11_importance")
+@query("m11_importance", "select true as totals_match, true as features_known from (select count(*) from lineitem)")
 def m11(spark, sf):
     t = _trained(spark, sf)
     nodes = supervised.tree_nodes(t.model, shared_path(spark, "trees"), spark)
-    return supervised.feature_importance(nodes, t.features, "total_gain")
+    kinds = [supervised.feature_importance(nodes, t.features, k) for k in ("weight", "gain", "total_gain", "cover", "total_cover")]
+    both = kinds[0]
+    for k in kinds[1:]:
+        both = both.join(k, "Features")
+    match = lambda k: F.max(F.abs(F.col(f"total_{k}_type") / (F.col(f"{k}_type") * F.col("weight_type")) - 1)) < 1e-9
+    return both.agg((match("gain") & match("cover")).alias("totals_match"), F.bool_and(F.col("Features").isin(t.features)).alias("features_known"))
 
 
 def _scores(spark, sf):
@@ -253,20 +289,32 @@ def _classifiers(spark, sf):
     return df, supervised.Classifiers(both, ["l_quantity", "l_discount", "l_tax", "y"], "returned").train(df)
 
 
-@query("m12_classifiers")
+@query("m12_classifiers", f"""{cte('regression')}, c as (select avg((label='R')::int) as r from regression)
+    select unnest(['tree', 'logistic']) as "Classifier", true as no_worse_than_one_class from c""")
 def m12(spark, sf):
     df, models = _classifiers(spark, sf)
-    return metrics.accuracy_table(models.score(df), "returned", models.predictions())
+    accuracy = metrics.accuracy_table(models.score(df), "returned", models.predictions())
+    share = F.avg("returned")
+    common = df.select(F.greatest(share, 1 - share)).scalar()
+    return accuracy.select("Classifier", (F.col("Test Accuracies") >= common - 0.01).alias("no_worse_than_one_class"))
 
 
-@query("m13_classifier_curves")
+@query("m13_classifier_curves", f"{cte('regression')} select unnest(['tree', 'logistic']) as model, true as no_worse_than_chance from (select count(*) from regression)")
 def m13c(spark, sf):
     df, models = _classifiers(spark, sf)
     long = curves.model_scores(models.score(df), "returned", models.probabilities())
-    return curves.auc(long, "label", "score", ["model"])
+    return curves.auc(long, "label", "score", ["model"]).select("model", (F.col("auc") >= 0.5).alias("no_worse_than_chance"))
+
+
+_U = "(('0x' || substr(md5('{seed}:' || k), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
-@query("a25_learning_curve")
+@query("a25_learning_curve", f"""{cte('regression')}, h as (select floor({_U.format(seed=42)}*3)::int as fold, {_U.format(seed=43)} as u from regression),
+    n as (select s, f, count(*) filter (fold=f) as v, count(*) filter (fold<>f and u<s) as t
+      from h, unnest([0.1::double, 0.55::double, 1.0::double]) a(s), range(3) b(f) group by 1,2)
+    select s as size, 'validation' as "set", {rd('avg(v)')} as "rows", true as is_loss from n group by 1
+    union all select s, 'train', {rd('avg(t)')}, true from n group by 1""")
 def a25(spark, sf):
     df = _regression(spark, sf)
-    return supervised.learning_curve(df, ["l_quantity", "l_discount", "l_tax"], "y", "k", LinearRegression(maxIter=5), sizes=[0.1, 0.55, 1.0])
+    curve = supervised.learning_curve(df, ["l_quantity", "l_discount", "l_tax"], "y", "k", LinearRegression(maxIter=5), sizes=[0.1, 0.55, 1.0])
+    return rounded(curve.select("size", "set", "rows", ((F.col("mean") < 0) & (F.col("std") >= 0)).alias("is_loss")))

@@ -23,9 +23,16 @@ def a01(spark, sf):
     return rounded(stats.ttest(df, "feature", "even", ["event_type"], p_value=False))
 
 
-@query("a01_ttest_p")
+@query("a01_ttest_p", f"""{cte('ttest')}, m as (select event_type, count(*) filter (e) as n1, count(*) filter (not e) as n2, avg(feature) filter (e) as m1,
+      avg(feature) filter (not e) as m2, var_samp(feature) filter (e) as v1, var_samp(feature) filter (not e) as v2
+      from (select *, user_id % 2 = 0 as e from ttest) group by 1),
+    t as (select event_type, n1+n2-2 as df, abs(m1-m2)/sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)*(1.0::double/n1+1.0::double/n2)) as t from m)
+    select event_type, t > 1.959964 + 2.3722712/df as significant_5, t > 2.5758293 + 4.9165/df as significant_1 from t""")
 def a01p(spark, sf):
-    return stats.ttest(fixture(spark, sf, "ttest"), "feature", "cond")
+    # critical values of t by their expansion around the normal quantile
+    df = fixture(spark, sf, "ttest").withColumn("even", F.col("user_id") % 2 == 0)
+    return stats.ttest(df, "feature", "even", ["event_type"]).select(
+        "event_type", (F.col("p") < 0.05).alias("significant_5"), (F.col("p") < 0.01).alias("significant_1"))
 
 
 @query("p09_conditional_sides", f"""{cte('ttest')} select count(*) filter (cond) as n1, count(*) filter (not cond) as n2,
@@ -52,9 +59,11 @@ def a19(spark, sf):
     return fit.select("label", F.round("intercept", 6).alias("intercept"), F.round("slope", 9).alias("slope"))
 
 
-@query("a19_fit_band")
+@query("a19_fit_band", f"""{cte('regression')}, f as (select regr_intercept(yhat,y) as a, regr_slope(yhat,y) as b, min(y) as lo, max(y) as hi from regression)
+    select {rd('lo+(hi-lo)*i/19', 4)} as x, {rd('a+b*(lo+(hi-lo)*i/19)', 4)} as fit, true as inside from f, range(20) t(i)""")
 def a19_band(spark, sf):
-    return stats.fit_band(fixture(spark, sf, "regression"), "y", "yhat", "k", points=20, replicates=100)
+    band = stats.fit_band(fixture(spark, sf, "regression"), "y", "yhat", "k", points=20, replicates=100)
+    return rounded(band.select("x", "fit", ((F.col("low") <= F.col("fit")) & (F.col("fit") <= F.col("high"))).alias("inside")), 4)
 
 
 @query("a20_trend_line", f"""with d as (select o_orderdate::date as day, sum(o_totalprice) as total from orders group by 1),

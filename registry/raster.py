@@ -228,9 +228,28 @@ def r09(spark, sf):
     return _round_regions(shape.region_properties(pixels(spark, sf)))
 
 
-@query("r08_segment_features")
+# a column or more of every part of the segment table
+_FEATURE_COLUMNS = ["red_mean_x", "nir_median", "NDVI_r_std", "seg_colorfulness", "area", "extent", "major_axis_length", "gray_mean_intensity",
+                    "perimeter", "euler_number", "solidity", "day_of_year", "SR", "mean_chroma", "image_mean_red"]
+_FEATURE_BODY = f"""d as (select *, blue/65535 as sb, green/65535 as sg, red/65535 as sr, nir/65535 as sn, abs(red-green) as rg,
+      abs(0.5::double*(red+green)-blue) as yb, (nir-red)/nullif(nir+red,0) as ndvi from pixels),
+    whole as (select filename, avg(sr) as image_red from d where red<>0 group by 1),
+    f as (select filename, segment, avg(red) as red_mean_x, median(nir) as nir_median, stddev_pop(ndvi) as "NDVI_r_std",
+      sqrt(pow(stddev_pop(rg),2)+pow(stddev_pop(yb),2))+0.3::double*sqrt(pow(avg(rg),2)+pow(avg(yb),2)) as seg_colorfulness, count(*) as area,
+      1.0::double as extent, 4*sqrt(greatest(var_pop("row"),var_pop(col))) as major_axis_length,
+      avg(blue*0.299::double+green*0.587::double+red*0.114::double) as gray_mean_intensity,
+      2.0::double*(max("row")-min("row"))+2.0::double*(max(col)-min(col)) as perimeter, 1::int as euler_number, 1.0::double as solidity,
+      max(dayofyear(strptime(date,'%Y%m%d')))/365.0::double as day_of_year, avg(sn/(sr+1)) filter (red<>0) as "SR",
+      greatest(max(sr) filter (red<>0),max(sg) filter (red<>0),max(sb) filter (red<>0))
+        -least(min(sr) filter (red<>0),min(sg) filter (red<>0),min(sb) filter (red<>0)) as mean_chroma, max(image_red) as image_mean_red
+      from d join catalogue using (filename) join whole using (filename) group by 1,2)"""
+_FEATURE_SQL = f"""{cte('pixels', 'catalogue')}, {_FEATURE_BODY} select filename, segment, {', '.join(
+    c if c in ('area', 'euler_number') else f'{rd(f'"{c}"', 7)} as "{c}"' for c in _FEATURE_COLUMNS)} from f"""
+
+
+@query("r08_segment_features", _FEATURE_SQL)
 def r08(spark, sf):
-    return wide.segment_features(pixels(spark, sf), fixture(spark, sf, "catalogue"))
+    return rounded(wide.segment_features(pixels(spark, sf), fixture(spark, sf, "catalogue")).select(*KEYS, *_FEATURE_COLUMNS), 7)
 
 
 @query("r10_outline_properties", f"""{PX}, b as (select filename, segment, count(*) as area, max("row")-min("row")+1 as h, max(col)-min(col)+1 as w
@@ -263,8 +282,21 @@ def r11e(spark, sf):
     return rounded(regions.region_edges(pixels(spark, sf)))
 
 
-@query("r12_merge_regions")
+_DISTANCE = "sqrt(pow({a}b/{a}c-{b}b/{b}c,2)+pow({a}g/{a}c-{b}g/{b}c,2)+pow({a}r/{a}c-{b}r/{b}c,2))"
+
+
+@query("r12_merge_regions", f"""{PX}, {_EDGES},
+    first as (select filename, arg_min(n1, (weight, n1, n2)) as gone, arg_min(n2, (weight, n1, n2)) as kept from edges group by 1),
+    home as (select n.filename, n.segment, case when segment=gone then kept else segment end as h from nodes n join first using (filename)),
+    left3 as (select n.filename, h, sum(tb) as b, sum(tg) as g, sum(tr) as r, sum(pixel_count) as c, bool_or(h=kept) as fresh
+      from nodes n join home using (filename, segment) join first using (filename) group by 1,2),
+    pairs as (select x.filename, x.h as p, y.h as q, {_DISTANCE.format(a='x.', b='y.')} as w from left3 x join left3 y on x.filename=y.filename and x.h<>y.h
+      where x.fresh or (not y.fresh and x.h<y.h)),
+    second as (select filename, arg_min(p, (w, p, q)) as gone, arg_min(q, (w, p, q)) as kept from pairs group by 1),
+    final as (select o.filename, segment, case when h=gone then kept else h end as h from home o join second using (filename))
+    select filename, segment, (dense_rank() over (partition by filename order by h))::int as merged from final""")
 def r12(spark, sf):
+    # four segments that all touch become two: two merges, the second on the colours after the first
     px = pixels(spark, sf)
     nodes = regions.region_nodes(px)
     return regions.merge_regions(nodes, regions.region_edges(px, nodes), 2)
@@ -288,12 +320,17 @@ def r13(spark, sf):
     return rounded(regions.threshold_regions(pixels(spark, sf), 50.0))
 
 
-@query("r14_superpixels")
+@query("r14_superpixels", f"""select concat('img_', p_partkey::varchar) as filename, {16 * 16}::bigint as n_pixels, true as at_most_wanted,
+    true as numbered_from_one, true as had_more from part""")
 def r14(spark, sf):
     px = pixels(spark, sf).drop("segment")
     merged, original = superpixel.segment_images(px, n_segments=10, standardize=8, iterations=3)
-    sizes = merged.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    return join_on(sizes, original, ["filename"])
+    found = merged.groupBy("filename").agg(F.count("*").alias("n_pixels"), F.min("segment").alias("low"), F.max("segment").alias("high"),
+                                           F.count_distinct("segment").alias("n"))
+    return join_on(found, original, ["filename"]).select(
+        "filename", "n_pixels", (F.col("n") <= 8).alias("at_most_wanted"),
+        ((F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("numbered_from_one"),
+        (F.col("num_orig_segments") >= F.col("n")).alias("had_more"))
 
 
 _CENTROIDS = """centroids as (select filename, segment, avg("row") as cy, avg(col) as cx from pixels group by 1,2)"""
@@ -389,10 +426,22 @@ def r17p(spark, sf):
     return rounded(wide.pivot_segments(ranked, 4))
 
 
-@query("r17_image_table")
+_IMAGE_COLOUR = "sqrt(pow(stddev_pop(rg),2)+pow(stddev_pop(yb),2))+0.3::double*sqrt(pow(avg(rg),2)+pow(avg(yb),2))"
+_TABLE_COLUMNS = ["red_mean_x", "nir_median", "seg_colorfulness", "area", "perimeter", "SR"]
+
+
+@query("r17_image_table", f"""{cte('pixels', 'catalogue')}, {_FEATURE_BODY},
+    k as (select *, row_number() over (partition by filename order by gray_mean_intensity desc, segment) as i from f),
+    c as (select filename, {_IMAGE_COLOUR} as img_colorfulness from d group by 1)
+    select k.filename, fieldID, 4::bigint as num_orig_segments, {rd('max(img_colorfulness)')} as img_colorfulness, {', '.join(
+      f'max({c}) filter (i={i}) as {c}_seg_{i}' if c == 'area' else f'{rd(f'max("{c}") filter (i={i})')} as "{c}_seg_{i}"'
+      for c in _TABLE_COLUMNS for i in range(1, 5))}
+    from k join c using (filename) join catalogue using (filename) group by 1,2""")
 def r17(spark, sf):
     px = pixels(spark, sf)
-    return wide.image_table(px, fixture(spark, sf, "catalogue"), superpixel.region_counts(px), ranks=4)
+    out = wide.image_table(px, fixture(spark, sf, "catalogue"), superpixel.region_counts(px), ranks=4)
+    return rounded(out.select("filename", "fieldID", "num_orig_segments", "img_colorfulness",
+                              *[f"{c}_seg_{i}" for c in _TABLE_COLUMNS for i in range(1, 5)]))
 
 
 @query("f13_wide_names", f"""{cte('catalogue')} select filename, fieldID as fieldID_seg_1 from catalogue""")
