@@ -1,7 +1,14 @@
 """Pixel tables (filename, row, col, blue, green, red, nir[, rededge][, segment]) to features.
 
 A pixel table is complete: it has a row for every pixel of an image. The segment column takes the
-place of masks and pixel lists.
+place of masks and pixel lists. ``filename`` and ``segment`` are never NULL, so joins on them are plain
+equalities: two tables grouped by the segment are joined where they lie, without another shuffle.
 """
 
+from pyspark.sql import DataFrame
+
 KEYS = ["filename", "segment"]
+
+
+def join_keyed(left: DataFrame, right: DataFrame, keys=KEYS, how: str = "inner") -> DataFrame:
+    return left.join(right, list(keys), how)

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mlframes.functions import colour, indices
 from mlframes.functions.dates import day_fraction, image_date
-from mlframes.operators.raster import KEYS
-from mlframes.plans.joins import attach, attach_small, join_on
+from mlframes.operators.raster import KEYS, join_keyed
+from mlframes.plans.joins import attach, attach_small
 from mlframes.plans.quantiles import GROUP_ROWS, grouped_interquartile_means, grouped_quantiles, ranks_within
 
 # The quantities described per segment, and the statistics of each.
@@ -29,7 +29,7 @@ def index_features(px: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     basic = values.groupBy(*KEYS).agg(*[f(q).alias(f"{q}_{s}") for q in QUANTITIES for s, f in simple.items()])
     medians = grouped_quantiles(values, KEYS, QUANTITIES, [0.5], group_rows)
     medians = medians.withColumnsRenamed({f"{q}_q0": f"{q}_median" for q in QUANTITIES})
-    return join_on(basic, medians, KEYS).select(*KEYS, *[f"{q}_{s}" for q in QUANTITIES for s in STATISTICS])
+    return join_keyed(basic, medians, KEYS).select(*KEYS, *[f"{q}_{s}" for q in QUANTITIES for s in STATISTICS])
 
 
 def colourfulness(px: DataFrame, keys, name: str, legacy_green: bool = False) -> DataFrame:
@@ -104,7 +104,7 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
     inner = inner.withColumnsRenamed({c: f"{c}_mean" for c in named})
     per_image = per_segment.groupBy("filename").agg(
         *[F.try_divide(F.sum(f"__{c}"), F.sum("__n")).alias(f"image_mean_{c}") for c in named])
-    out = join_on(join_on(per_segment, inner, KEYS), per_image, ["filename"])
+    out = join_keyed(join_keyed(per_segment, inner, KEYS), per_image, ["filename"])
     out = out.drop("__n", *[f"__{c}" for c in named])
     # the second Lab conversion gives the first one again: same values under their own names
     twins = {"cl": "l", "ca": "a", "cb": "b"}

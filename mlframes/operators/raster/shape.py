@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mlframes.functions import colour
-from mlframes.operators.raster import KEYS
-from mlframes.plans.joins import join_on
+from mlframes.operators.raster import KEYS, join_keyed
 
 # Moment orders (p over rows, q over columns) up to three: the order of entries in moment arrays.
 ORDERS = [(p, q) for p in range(4) for q in range(4 - p)]
@@ -272,4 +271,4 @@ def outlines(around: DataFrame) -> DataFrame:
 def outline_properties(px: DataFrame) -> DataFrame:
     """Perimeter, Euler number, filled and convex area and solidity per segment."""
     around = neighbourhood(px)
-    return join_on(outlines(around), perimeters(around), KEYS)
+    return join_keyed(outlines(around), perimeters(around), KEYS)

@@ -2,10 +2,9 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mlframes.operators.raster import KEYS
+from mlframes.operators.raster import KEYS, join_keyed
 from mlframes.operators.raster.features import image_colourfulness, index_features, segment_colourfulness, spectral_features
 from mlframes.operators.raster.shape import outline_properties, region_properties
-from mlframes.plans.joins import join_on
 
 RANK = "relabeled_segs"
 
@@ -22,7 +21,7 @@ def rank_segments(features: DataFrame, by: str = "gray_mean_intensity") -> DataF
 def _suffixed(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join; names on both sides end in _x (left) and _y (right)."""
     shared = [c for c in left.columns if c in right.columns and c not in keys]
-    return join_on(left.withColumnsRenamed({c: f"{c}_x" for c in shared}),
+    return join_keyed(left.withColumnsRenamed({c: f"{c}_x" for c in shared}),
                    right.withColumnsRenamed({c: f"{c}_y" for c in shared}), keys, how)
 
 
@@ -40,7 +39,7 @@ def segment_features(px: DataFrame, images: DataFrame | None = None, outlines: b
     """Every feature of every segment. All parts are keyed by segment, so the joins reuse one partitioning."""
     regions = region_properties(px)
     if outlines:
-        regions = join_on(regions, outline_properties(px).drop("area"), KEYS)
+        regions = join_keyed(regions, outline_properties(px).drop("area"), KEYS)
     return join_segment_features(index_features(px), segment_colourfulness(px), regions, spectral_features(px, images))
 
 
@@ -63,8 +62,8 @@ def pivot_segments(ranked: DataFrame, ranks: int | None = None) -> DataFrame:
 
 def join_images(catalogue: DataFrame, wide: DataFrame, image_colour: DataFrame, original: DataFrame) -> DataFrame:
     """Wide features with image colourfulness and segment count where present, for catalogued images."""
-    per_image = join_on(image_colour, original, ["filename"])
-    return join_on(catalogue, join_on(wide, per_image, ["filename"], "left"), ["filename"])
+    per_image = join_keyed(image_colour, original, ["filename"])
+    return join_keyed(catalogue, join_keyed(wide, per_image, ["filename"], "left"), ["filename"])
 
 
 def image_table(px: DataFrame, catalogue: DataFrame, original: DataFrame, ranks: int | None = None, outlines: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mlframes.plans.joins import BROADCAST_ROWS, at_most, join_on
+from mlframes.plans.storage import checkpoint
 
 BUCKETS = 100
 
@@ -33,9 +34,10 @@ def with_share(df: DataFrame, value: str, name: str, by=()) -> DataFrame:
             .withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("__total"))).drop("__total"))
 
 
-def bucket_of(bounds: Column, value: Column) -> Column:
-    """How many sorted bounds lie below the value."""
-    return F.size(F.filter(bounds, lambda b: b < value))
+def _bucket(value: str) -> Column:
+    """How many of the sorted ``__bounds`` lie below the value: first among every tenth, then among ten."""
+    step = "(size(filter(__coarse, b -> b < {v})) * 10)".format(v=value)
+    return F.expr(f"{step} + size(filter(slice(__bounds, {step} + 1, 10), b -> b < {value}))")
 
 
 def running_totals(hist: DataFrame, keys, value: str, counts) -> DataFrame:
@@ -49,11 +51,13 @@ def running_totals(hist: DataFrame, keys, value: str, counts) -> DataFrame:
     keys, counts = list(keys), list(counts)
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("__bounds"))
+    bounds = bounds.withColumn("__coarse", F.expr("filter(__bounds, (b, i) -> i % 10 = 9)"))
     if keys:
         cut = join_on(hist, F.broadcast(bounds) if at_most(bounds, 10_000) else bounds, keys)
     else:
-        cut = hist.withColumn("__bounds", bounds.scalar())
-    cut = cut.withColumn("__bucket", bucket_of(F.col("__bounds"), F.col(value))).drop("__bounds")
+        held = bounds.select(F.struct("__bounds", "__coarse")).scalar()
+        cut = hist.withColumn("__held", held).select("*", "__held.*").drop("__held")
+    cut = cut.withColumn("__bucket", _bucket(f"`{value}`")).drop("__bounds", "__coarse")
     per_bucket = cut.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,20 +76,16 @@ def running_totals(hist: DataFrame, keys, value: str, counts) -> DataFrame:
 def dense_codes(values: DataFrame, column: str, name: str = "code", limit: int = BROADCAST_ROWS) -> DataFrame:
     """0-based rank of sorted distinct values. ``values`` must hold each value once, without NULL.
 
-    Up to ``limit`` values one window is enough. Beyond, values are cut into ranges at 256 of them
-    chosen by hash, and ranked range by range.
+    Up to ``limit`` values one window is enough. Beyond, the values are range-partitioned and written out
+    with their range, so that a lost task cannot cut them differently, and ranked range by range.
     """
-    everything = Window.orderBy(column)
     if at_most(values, limit):
-        return values.withColumn(name, (F.row_number().over(everything) - 1).cast("bigint"))
-    # 256 evenly drawn range bounds, whatever the type; only they reach the driver
-    picked = (values.select(column, F.xxhash64(column).alias("__h")).orderBy("__h").limit(256))
-    bounds = sorted(r[0] for r in picked.collect())
-    cut = values.withColumn("__bucket", bucket_of(F.array(*[F.lit(b) for b in bounds]), F.col(column)))
-    sizes = cut.groupBy("__bucket").agg(F.count("*").alias("__n"))
+        return values.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))
+    ranged = checkpoint(values.repartitionByRange(column).withColumn("__bucket", F.spark_partition_id()))
+    sizes = ranged.groupBy("__bucket").agg(F.count("*").alias("__n"))  # one row per range
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(
         Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     inside = Window.partitionBy("__bucket").orderBy(column)
-    return (cut.join(F.broadcast(offsets), "__bucket")
+    return (ranged.join(F.broadcast(offsets), "__bucket")
             .withColumn(name, (F.col("__off") + F.row_number().over(inside) - 1).cast("bigint"))
             .drop("__bucket", "__off"))

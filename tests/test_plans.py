@@ -73,3 +73,9 @@ def test_pixels_are_read_once_per_feature_table(spark):
 def test_painting_salts_the_segment(spark):
     text = plan(QUERIES["w05_segment_mean_image"](spark, SF).select(F.sum("red_segment")))
     assert "__salt" in text
+
+
+def test_segment_tables_join_where_they_lie(spark):
+    from mlframes.operators.raster.features import index_features
+    text = plan(index_features(pixels(spark, SF)))
+    assert text.count("hashpartitioning(filename") == 2 and text.count("Exchange hashpartitioning") == 2
