@@ -95,12 +95,13 @@ def silhouette(df: DataFrame, id_col: str, cluster: str, point: str, tile_rows:
     blocks = max(1, math.ceil(points.count() / tile_rows))
     points = points.withColumn("block", F.pmod(hash52(SEED, "id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = points.withColumnRenamed("block", "qb").withColumn("db", every)
-    given = points.drop("id").withColumnRenamed("block", "db").withColumn("qb", every)
+    asked = points.select("id", "cluster", "point", F.lit(True).alias("asked"), F.col("block").alias("qb"), every.alias("db"))
+    given = points.select("id", "cluster", "point", F.lit(False).alias("asked"), every.alias("qb"), F.col("block").alias("db"))
     key_type = points.schema["id"].dataType.simpleString()
 
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def tile(both: pd.DataFrame) -> pd.DataFrame:
         out = {"id": [], "own": [], "other": [], "total": []}
+        a, b = both[both["asked"]], both[~both["asked"]]
         if len(a) and len(b):
             left, right = np.stack(a["point"].to_list()), np.stack(b["point"].to_list())
             for other in np.unique(b["cluster"].to_numpy()):
@@ -115,7 +116,7 @@ def silhouette(df: DataFrame, id_col: str, cluster: str, point: str, tile_rows:
                 out["total"].extend(total)
         return pd.DataFrame(out)
 
-    sums = (asked.groupBy("qb", "db").cogroup(given.groupBy("qb", "db"))
+    sums = (asked.unionByName(given).groupBy("qb", "db")
             .applyInPandas(tile, f"id {key_type}, own bigint, other bigint, total double")
             .groupBy("id", "own", "other").agg(F.sum("total").alias("total")))
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("size"))
