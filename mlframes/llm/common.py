@@ -1,6 +1,8 @@
 """What the operators of this subpackage share: saved tables, free column names, hashes of words and shingles."""
 
 import re
+import sys
+import types
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -41,9 +43,9 @@ def column(name: str):
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES[_SPACE] = 0
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = np.ones(1, np.uint64)
@@ -73,7 +75,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     data = np.frombuffer(text.lower(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -109,3 +111,11 @@ def texts_of(column) -> list[bytes]:
 
 
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+")
+
+
+def held(name: str, make):
+    """What ``make()`` returned the first time in this worker: tables and caches outlive the tasks that share them."""
+    store = sys.modules.setdefault("_held_by_worker", types.ModuleType("_held_by_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

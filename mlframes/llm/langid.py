@@ -1,12 +1,11 @@
 """Language identification by rank-order profiles of character n-grams and their out-of-place distance."""
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from mlframes.llm.common import column, fresh
+from mlframes.llm.common import column, fresh, held
 
 #: N-grams kept in a profile, and the longest n-gram.
 KEPT, LONGEST = 300, 3
@@ -16,9 +15,8 @@ FIT_ROWS = 4_000
 MOST_LANGUAGES = 2_000
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return held("letters", lambda: np.array([chr(i).isalpha() for i in range(0x110000)]))
 
 
 def grams(texts: list[str]):
@@ -139,7 +137,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", names=
     learned. Ties go to the language that sorts first. Only the text is read. The two names must be free.
     """
     langs, known, ranks = _model(profiles)
-    schema = docs.schema.add(names[0], "string").add(names[1], "double")
+    schema = StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
     place = docs.columns.index(text_col)
 
     def run(batches):

@@ -5,6 +5,7 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from mlframes.llm.common import SENTENCE_END, column, fresh, mix, powers, saved, signed
 
@@ -206,7 +207,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias(runs))
     joined = (keyed.withColumn(text_col, text).join(found, (F.col(k1) == F.col("__k1")) & (F.col(k2) == F.col("__k2")), "left")
               .select(*[column(c) for c in docs.columns], F.col(runs)))
-    out = docs.withColumn(text_col, text).schema.add(names[0], "long").add(names[1], "long").add(names[2], "string")
+    out = StructType(list(docs.withColumn(text_col, text).schema.fields))
+    out = out.add(names[0], "long").add(names[1], "long").add(names[2], "string")
     return joined.mapInArrow(_delete(docs.columns.index(text_col), len(docs.columns)), out)
 
 

@@ -1,79 +1,77 @@
 """Packing token streams into sequences: order kept, cuts at document or sentence ends by dynamic programming."""
 
-import os
-import sys
-import types
-import unicodedata
+import re
 import zlib
-from collections import deque
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.llm.common import column
+from mlframes.llm.common import SPACE, column, held, texts_of
 
 #: Documents of so many successive ids are packed together; a part ends early at so many tokens.
 IDS_PER_PART, PART_TOKENS = 1024, 1 << 22
 #: What a cut costs, in tokens of padding: at a sentence's end, and within one.
-SENTENCE_CUT, WORD_CUT = 4, 32
+SENTENCE_CUT, WORD_CUT = 4, 16
 #: Cuts within a sentence are considered every so many tokens.
-STRIDE = 256
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+STRIDE = 32
+#: Words and pieces of words whose ids a worker remembers.
+REMEMBERED = 1_500_000
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True  # ! . ?
 
 
+# How the tokenizer cuts a word into pieces, here for the characters of ``PLAIN``.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class Words(dict):
     """The ids of words between ASCII white space, as little-endian 32-bit numbers, each word encoded once.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of
-    its words. Words of letters below U+0130 are normalised here, which saves half of the library's time.
+    its words. Words of ASCII and Latin-1 letters are cut here and their pieces, which repeat more than words do,
+    given to the tokenizer's model, in half of the time; the tokenizer takes any other word whole.
     """
 
     def __init__(self, path: str):
-        import json
-
-        from tokenizers import Tokenizer
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        self.whole = Tokenizer.from_str(json.dumps(parts))
-        self.plain = Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
-
-    def learn(self, words) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.pieces: dict = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) + len(self.pieces) > REMEMBERED:
             self.clear()
-            new = list(set(words))
-        texts = [w.decode("utf-8") for w in new]
-        simple = [max(t) < "İ" and "<|" not in t for t in texts]
-        for chosen, tokenizer, ready in ((True, self.plain, lambda t: unicodedata.normalize("NFC", t).lower()),
-                                         (False, self.whole, lambda t: t)):
-            picked = [i for i, s in enumerate(simple) if s is chosen]
-            for i, e in zip(picked, tokenizer.encode_batch([ready(texts[i]) for i in picked], add_special_tokens=False)):
-                self[new[i]] = np.array(e.ids, "<u4").tobytes()
-
-
-def words_of(path: str) -> Words:
-    """This worker's words, kept from task to task."""
-    held = sys.modules.setdefault("_words_by_tokenizer", types.ModuleType("_words_by_tokenizer"))
-    if path not in held.__dict__:
-        held.__dict__[path] = Words(path)
-    return held.__dict__[path]
-
-
-def encode(texts: list[bytes], words: Words, end: int = 1):
-    """For each text: its ids with the end id, as bytes, and the places of its sentence ends."""
-    split = [t.split() for t in texts]
-    words.learn([w for s in split for w in s])
-    last = end.to_bytes(4, "little")
-    for s in split:
-        parts = [words[w] for w in s]
-        places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        stops = np.fromiter((w[-1] in b".!?" for w in s), bool, len(s))
-        yield b"".join(parts) + last, places[stops]
+            self.pieces.clear()
+        text = word.decode("utf-8")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join([self.pieces.get(x) or self._piece(x) for x in PIECES.findall(text.lower())])
+        else:
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def _piece(self, text: str) -> bytes:
+        ids = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        return ids
+
+
+def encode(text: bytes, words: Words, end: int = 1):
+    """The ids of a text with the end id, as bytes, and the places of its sentence ends."""
+    parts = list(map(words.__getitem__, text.split()))
+    ids = b"".join(parts) + end.to_bytes(4, "little")
+    data = np.frombuffer(text, np.uint8)
+    closed = np.empty(len(data), bool)  # last bytes of words
+    gap = SPACE[data]
+    closed[:-1] = gap[1:] & ~gap[:-1]
+    closed[-1:] = ~gap[-1:]
+    stops = ENDS[data[closed]]
+    places = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return ids, places[stops] // 4
 
 
 def boundaries(n: int, stops: np.ndarray):
@@ -91,36 +89,28 @@ def boundaries(n: int, stops: np.ndarray):
 
 
 def cuts(places: np.ndarray, price: np.ndarray, size: int) -> list[int]:
-    """Ends of the sequences over ``places`` (ascending, gaps up to ``size``) that cost least: padding to ``size``,
-    none where a length is a power of two, plus the price of each cut.
+    """Ends of the sequences over ``places`` (ascending, gaps up to ``size``) that cost least: padding to ``size`` plus
+    the price of each cut. Sequences that still have much padding are then split into powers of two.
 
     The cost of a sequence from j to i is size - (p[i] - p[j]) + price[i], so the best j minimises cost[j] + p[j]
     over a window of places that only moves on: a queue of rising values has it at its head.
     """
-    whole = [size >> k for k in (1, 2, 3)]
-    at = [0, *places.tolist()]
-    pay = [0, *price.tolist()]
-    cost, back = [0], [0]
-    queue = deque([(0, 0)])  # (cost[j] + p[j], j)
-    where = {0: 0}
+    at, pay = [0, *places.tolist()], [0, *price.tolist()]
+    back = [0] * len(at)
+    queue, head = [0], 0  # places whose cost[j] + p[j] rises
+    value = [0]  # cost[j] + p[j]
     for i in range(1, len(at)):
         p = at[i]
-        while at[queue[0][1]] < p - size:
-            queue.popleft()
-        value, j = queue[0]
-        best = value + size - p
-        for short in whole:
-            k = where.get(p - short)
-            if k is not None and cost[k] < best:
-                best, j = cost[k], k
-        best += pay[i]
-        cost.append(best)
-        back.append(j)
-        where[p] = i
-        value = best + p
-        while queue and queue[-1][0] >= value:
+        low = p - size
+        while at[queue[head]] < low:
+            head += 1
+        j = queue[head]
+        back[i] = j
+        new = value[j] + size + pay[i]  # cost[i] + p[i], as cost[i] = value[j] + size - p[i] + price[i]
+        value.append(new)
+        while len(queue) > head and value[queue[-1]] >= new:
             queue.pop()
-        queue.append((value, i))
+        queue.append(i)
     out, i = [], len(at) - 1
     while i:
         out.append(at[i])
@@ -189,29 +179,28 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(batches):
-        words, held, now, first, tokens = words_of(tokenizer), [], None, 0, 0
+        words, part_docs, now, first, tokens = held(f"words of {tokenizer}", lambda: Words(tokenizer)), [], None, 0, 0
 
         def flush():
-            nonlocal held, first, tokens
-            found = list(_pieces(held, size))
+            nonlocal part_docs, first, tokens
+            found = list(_pieces(part_docs, size))
             columns = list(zip(*found))
             columns[5] = [(now << 24) + first + s for s in columns[5]]
             first += found[-1][5] + 1
-            held, tokens = [], 0
+            part_docs, tokens = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
         for batch in batches:
-            keys, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = batch.column(1).cast("binary").to_pylist()
-            for key, part, (ids, stops) in zip(keys, parts, encode(texts, words, end)):
+            for key, text, part in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 if part != now or tokens > PART_TOKENS:
-                    if held:
+                    if part_docs:
                         yield flush()
                     first = first if part == now else 0
                     now = part
-                held.append((key, ids, stops))
+                ids, stops = encode(text, words, end)
+                part_docs.append((key, ids, stops))
                 tokens += len(ids) // 4
-        if held:
+        if part_docs:
             yield flush()
 
     return rows.select("doc_id", "text", "part").mapInArrow(

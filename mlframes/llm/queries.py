@@ -78,9 +78,11 @@ sources as (
   from docs group by name, none),
 filled as (
   select *, (sum(source_size) over () - coalesce(sum(most) over fewer, 0))::bigint as remains,
-    (sum(weight) over () - coalesce(sum(weight) over fewer, 0))::bigint as weights
+    (sum(weight) over () - coalesce(sum(weight) over fewer, 0))::bigint as weights,
+    row_number() over (order by most::double / weight, none, name) as place
   from sources window fewer as (order by most::double / weight, none, name rows between unbounded preceding and 1 preceding)),
-level as (select min(remains / weights::double) as level from filled where weight * (remains / weights::double) <= most),
+level as (select remains / weights::double as level from filled where weight * (remains / weights::double) <= most
+  order by place limit 1),
 targets as (
   select name, none, source_size,
     case when weight * coalesce((select level from level), 1e300) > most then most else weight * (select level from level) end::double as target

@@ -1,14 +1,12 @@
 """Token counts by field and section: documents are encoded whole, tokens are attributed by their character spans."""
 
 import base64
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.llm.common import column
+from mlframes.llm.common import column, held
 
 #: What happens to a token that crosses a boundary: it goes to the section of its first character, to the one that
 #: holds most of its characters (the earlier on ties), or to each by its share of the characters.
@@ -18,17 +16,17 @@ JOINT = "\n"
 
 
 def encoder(path: str, pattern: str):
-    """(encoding, bytes of each token), kept by the worker from task to task."""
-    held = sys.modules.setdefault("_encodings_by_path", types.ModuleType("_encodings_by_path")).__dict__
-    if path not in held:
+    """(encoding, number of bytes of each token)."""
+    def read():
         import tiktoken
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        held[path] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths)
-    return held[path]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
+
+    return held(f"encoding of {path}", read)
 
 
 def token_spans(text: str, encoding, lengths):
