@@ -32,6 +32,28 @@ def fresh(taken, *names: str) -> list[str]:
     return out
 
 
+#: Bits of a map of keys. It goes to every task as at most a row of 16 bytes per 64 bits, whatever the tables' size.
+MAP_BITS = 1 << 24
+
+
+def key_map(keys: DataFrame, *columns: str) -> DataFrame:
+    """A map with a bit set for the hash of every key."""
+    bit = F.pmod(F.xxhash64(*[column(c) for c in columns]), F.lit(MAP_BITS))
+    return saved(keys.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("place"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")), "map")
+
+
+def may_hold(df: DataFrame, keys: DataFrame, *columns: str, hold: bool = True) -> DataFrame:
+    """The rows whose key may be in a map, or with ``hold`` false those whose key cannot be. Few rows need a shuffle
+    then for the exact join that follows; a full map only leaves all of them to it."""
+    bit, place, word = fresh(df.columns, "bit", "place", "word")
+    marked = df.withColumn(bit, F.pmod(F.xxhash64(*[column(c) for c in columns]), F.lit(MAP_BITS)))
+    told = keys.select(F.col("place").alias(place), F.col("word").alias(word))
+    found = marked.join(F.broadcast(told), F.floor(column(bit) / 64) == column(place), "left")
+    there = F.coalesce(F.getbit(column(word), (column(bit) % 64).cast("int")) == 1, F.lit(False))
+    return found.where(there if hold else ~there).select(*[column(c) for c in df.columns])
+
+
 def text_column(name: str):
     """The text, empty where it is null."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import SENTENCE_END, column, fresh, mix, powers, saved, signed
+from mlframes.llm.common import MAP_BITS, SENTENCE_END, column, fresh, key_map, may_hold, mix, powers, saved, signed
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -36,7 +36,8 @@ def hashed(text: str):
 
 
 def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS):
-    """(fingerprints, first lines): of each window the gram with the smallest hash, the last on ties.
+    """(hash of each gram, gram chosen by each window, hash of each window): a gram starts at the line of its place, and
+    so does a window, which chooses the gram with the smallest hash, the last on ties.
 
     A gram is as many lines from a line on as make ``gram_words`` words, a window those that make ``run_words``. Any
     run that two documents share and that has ``run_words`` words covers a window, so both choose its gram.
@@ -44,15 +45,17 @@ def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gra
     n = len(lines)
     before = np.concatenate([[0], np.cumsum(words)])
     gram_end = np.searchsorted(before, before[:-1] + gram_words)  # lines up to here make a gram
+    window_end = np.searchsorted(before, before[:-1] + run_words)
+    windows = int(np.searchsorted(window_end, n + 1))
+    if not windows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = int(np.searchsorted(gram_end, n + 1))
-    if not grams:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(n))])
     back = np.full(grams, _INVERSE)
     back[0] = 1
-    value = mix((sums[gram_end[:grams]] - sums[:grams]) * np.multiply.accumulate(back))
-    window_end = np.searchsorted(before, before[:-1] + run_words)
-    windows = int(np.searchsorted(window_end, n + 1))
+    back = np.multiply.accumulate(back)
+    value = mix((sums[gram_end[:grams]] - sums[:grams]) * back)
+    whole = mix((sums[window_end[:windows]] - sums[:windows]) * back[:windows] + np.uint64(1))
     # the last gram that ends within each window
     last = np.searchsorted(gram_end[:grams], window_end[:windows], side="right") - 1
     queue, chosen, nxt, hashes = deque(), [], 0, value.tolist()
@@ -62,28 +65,44 @@ def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gra
                 queue.pop()
             queue.append(nxt)
             nxt += 1
-        while queue and queue[0] < first:
+        while queue[0] < first:
             queue.popleft()
-        if queue and (not chosen or chosen[-1] != queue[0]):
-            chosen.append(queue[0])
-    at = np.unique(np.array(chosen, np.int64))
-    return value[at], at
+        chosen.append(queue[0])
+    return value, np.array(chosen), whole
 
 
 def _hash_documents(batches):
     for batch in batches:
-        lines, words, prints, places = [], [], [], []
+        lines, words, prints = [], [], []
         for text in batch.column(3).to_pylist():
             h, w = hashed(text)
-            p, at = winnow(h, w)
             lines.append(signed(h))
             words.append(w.astype(np.int32))
-            prints.append(signed(p))
-            places.append(at.astype(np.int32))
+            value, chosen, _ = winnow(h, w)
+            prints.append(signed(value[np.unique(chosen)]))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in range(3)), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
-             pa.array(prints, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            names="id k1 k2 lines words prints places".split())
+             pa.array(prints, pa.list_(pa.int64()))], names="id k1 k2 lines words prints".split())
+
+
+def _windows(told):
+    """Windows (id, k1, k2, print, at) whose fingerprint may stand in another place, from hashed documents."""
+    def run(batches):
+        for batch in batches:
+            rows, prints, places = [], [], []
+            for i, (lines, words) in enumerate(zip(batch.column(3), batch.column(4))):
+                lines = lines.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                value, chosen, whole = winnow(lines, words.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                bit = (value[chosen] & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                at = np.flatnonzero(told.value[bit >> 6] >> (bit & 63) & 1)
+                rows.append(np.full(len(at), i))
+                prints.append(signed(whole[at]))
+                places.append(at.astype(np.int32))
+            if rows and (taken := np.concatenate(rows)).size:
+                part = batch.select([0, 1, 2]).take(pa.array(taken))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(prints)), pa.array(np.concatenate(places))],
+                                                 names="id k1 k2 print at".split())
+    return run
 
 
 def matched(lines, words, other, shifts, run_words: int = RUN_WORDS):
@@ -173,9 +192,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deleted character spans (``start:end``, comma-joined) of the original text.
 
     A run repeats when its lines, ``RUN_WORDS`` words or more in all, stand in a document of a smaller id, or earlier in
-    the same text. Windows over the line hashes give fingerprints; each is tied to its first place (ids ascending),
-    never to all others; between two texts so tied every run of equal lines is followed both ways. The first place
-    of a run always stays. Shorter repeated lines, such as licence notes, stay.
+    the same text. Windows over the line hashes choose fingerprints; those that occur again give their windows, and each window is
+    tied to its first place (ids ascending), never to all others; between two texts so tied every run of equal lines
+    is followed both ways. The first place of a run always stays. Shorter repeated lines, such as licence notes, stay.
 
     A line of several sentences counts as that many lines, so passages within a paragraph are found. A null text stays
     null and an empty one empty. Rows equal in id and text are one document and are treated alike; rows of one id
@@ -186,27 +205,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns({k1: F.xxhash64(column(id_col), text), k2: F.hash(text, column(id_col))})
     slim = keyed.where(text.isNotNull()).select(column(id_col).cast("long").alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                                                 text.alias("text"))
-    schema = "id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>, places array<int>"
+    schema = "id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>"
     hashes = saved(slim.mapInArrow(_hash_documents, schema), "lines")
-    prints = (hashes.select("id", "k1", "k2", F.explode(F.arrays_zip("prints", "places")).alias("p"))
-              .select("id", "k1", "k2", F.col("p.prints").alias("print"), F.col("p.places").alias("at")))
+    again = hashes.select(F.explode("prints").alias("print")).groupBy("print").count().where("count > 1")
+    words = (again.groupBy(F.expr(f"(print & {MAP_BITS - 1}) div 64").alias("place"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("word")).toArrow())
+    bits = np.zeros(MAP_BITS // 64, np.int64)  # at most so many rows reach the driver
+    bits[words.column("place").to_numpy()] = words.column("word").to_numpy()
+    told = docs.sparkSession.sparkContext.broadcast(bits)
     spot = F.struct("id", "k1", "k2", "at")
-    first = (prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-             .where("first <> last").select("print", "first"))
-    later = (prints.join(first, "print")
-             .where((F.struct("id", "k1", "k2", "at") != F.col("first")) & F.col("first").isNotNull())
+    prints = hashes.select("id", "k1", "k2", "lines", "words").mapInArrow(
+        _windows(told), "id long, k1 long, k2 int, print long, at int")
+    prints = saved(prints, "windows")
+    first = saved(prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+                  .where("first <> last").select("print", "first"), "firsts")
+    later = (may_hold(prints, key_map(first, "print"), "print").join(first, "print").where(spot != F.col("first"))
              .select("k1", "k2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"),
                      F.struct("at", F.col("first.at").alias("there")).alias("seed")))
     pairs = saved(later.groupBy("k1", "k2", "f1", "f2").agg(F.collect_set("seed").alias("seeds")), "pairs")
-    once = hashes.dropDuplicates(["k1", "k2"])
-    sides = (pairs.join(once.select("k1", "k2", "lines", "words"), ["k1", "k2"])
+    met = key_map(pairs.select("k1").union(pairs.select("f1")), "k1")
+    once = may_hold(hashes.select("k1", "k2", "lines", "words"), met, "k1").dropDuplicates(["k1", "k2"])
+    sides = (pairs.join(once, ["k1", "k2"])
              .join(once.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("lines").alias("other")), ["f1", "f2"])
              .select("k1", "k2", "seeds", "lines", "words", "other"))
     found = sides.mapInArrow(_extend, "k1 long, k2 int, a int, b int")
     found = saved(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
-    found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias(runs))
-    joined = (keyed.withColumn(text_col, text).join(found, (F.col(k1) == F.col("__k1")) & (F.col(k2) == F.col("__k2")), "left")
-              .select(*[column(c) for c in docs.columns], F.col(runs)))
+    o1, o2 = fresh(keyed.columns, "other_one", "other_two")
+    found = found.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("runs").alias(runs))
+    keyed, changed = keyed.withColumn(text_col, text), key_map(found, o1)
+    touched = may_hold(keyed, changed, k1).join(found, (column(k1) == column(o1)) & (column(k2) == column(o2)), "left")
+    whole = may_hold(keyed, changed, k1, hold=False).withColumn(runs, F.lit(None).cast(found.schema[runs].dataType))
+    joined = touched.select(*docs.columns, runs).unionByName(whole.select(*docs.columns, runs))
     out = StructType(list(docs.withColumn(text_col, text).schema.fields))
     out = out.add(names[0], "long").add(names[1], "long").add(names[2], "string")
     return joined.mapInArrow(_delete(docs.columns.index(text_col), len(docs.columns)), out)
