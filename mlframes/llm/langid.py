@@ -5,10 +5,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import column, fresh, held
+from mlframes.llm.common import column, fresh, held, saved
 
 #: N-grams kept in a profile, and the longest n-gram.
 KEPT, LONGEST = 300, 3
+#: Characters whose n-grams are counted at once.
+PIECE = 1 << 20
 #: Labelled rows read for each language, about.
 FIT_ROWS = 4_000
 #: Languages a model may hold: it goes to every task.
@@ -57,6 +59,59 @@ def grams(texts: list[str]):
     return found >> (3 * width), packed, count
 
 
+def pieces(texts: list[str]):
+    """The texts in lists of (text's number, part) of about ``PIECE`` characters at most: memory stays bounded for any
+    text. A longer text is cut at white space where a piece has some."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = at + PIECE
+            if end < len(text):
+                end = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end)) + 1 or at + PIECE
+            part = text[at:end]
+            if held and size + len(part) > PIECE:
+                yield held
+                held, size = [], 0
+            held.append((i, part))
+            size += len(part) + 2
+            at = max(end, 1)
+    if held:
+        yield held
+
+
+def summed(gram, count):
+    """Distinct n-grams and the sums of their counts."""
+    found, at = np.unique(gram, return_inverse=True)
+    return found, np.bincount(at, count, len(found)).astype(np.int64)
+
+
+def counted(texts: list[str]):
+    """(document, n-gram, count) of texts of any length, a piece of them at a time; a text is in one result."""
+    open_doc, grams_, counts = None, [], []
+    for part in pieces(texts):
+        whose, gram, count = grams([t for _, t in part])
+        doc = np.array([i for i, _ in part])[whose]
+        if grams_ and part[0][0] == open_doc:  # the text goes on: its counts are summed when it has ended
+            mine = doc == open_doc
+            grams_.append(gram[mine])
+            counts.append(count[mine])
+            doc, gram, count = doc[~mine], gram[~mine], count[~mine]
+        if part[-1][0] != open_doc:
+            if grams_:
+                found, total = summed(np.concatenate(grams_), np.concatenate(counts))
+                yield np.full(len(found), open_doc), found, total
+            open_doc = part[-1][0]
+            mine = doc == open_doc
+            grams_, counts = [gram[mine]], [count[mine]]
+            doc, gram, count = doc[~mine], gram[~mine], count[~mine]
+        if len(doc):
+            yield doc, gram, count
+    if grams_:
+        found, total = summed(np.concatenate(grams_), np.concatenate(counts))
+        yield np.full(len(found), open_doc), found, total
+
+
 def top_ranks(doc, gram, count, kept: int = KEPT):
     """(document, n-gram, rank from 0) of each document's most frequent n-grams, ties to the smaller number."""
     order = np.lexsort((gram, -count, doc))
@@ -77,10 +132,9 @@ def _count(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = _strings(batch.column(1))
         for lang in sorted(set(langs)):
-            _, gram, count = grams([" ".join(t for t, l in zip(texts, langs) if l == lang)])
-            mine = total.setdefault(lang, [np.zeros(0, np.int64), np.zeros(0, np.int64)])
-            both, at = np.unique(np.concatenate([mine[0], gram]), return_inverse=True)
-            total[lang] = [both, np.bincount(at, np.concatenate([mine[1], count]), len(both)).astype(np.int64)]
+            for _, gram, count in counted([t for t, l in zip(texts, langs) if l == lang]):
+                mine = total.get(lang, (gram[:0], count[:0]))
+                total[lang] = summed(np.concatenate([mine[0], gram]), np.concatenate([mine[1], count]))
     for lang, (gram, count) in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(count)],
                                          names=["lang", "gram", "c"])
@@ -94,9 +148,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     """
     rows = labelled.select(column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * fit_rows)
-    counts = (rows.join(sizes, "lang").where(drawn).select("lang", "text")
+    counts = (rows.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
               .mapInArrow(_count, "lang string, gram long, c long")
               .groupBy("lang", "gram").agg(F.sum("c").alias("c")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram")) - 1
@@ -105,9 +161,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
 
 def _model(profiles: DataFrame):
     """(languages, sorted n-grams, ranks by n-gram and language), ``KEPT`` where a language lacks the n-gram."""
-    found = profiles.limit(MOST_LANGUAGES * KEPT + 1).toArrow()
-    if found.num_rows > MOST_LANGUAGES * KEPT:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = profiles.toArrow()  # fit() bounds it
     names = found.column("lang").to_pylist()
     langs = sorted(set(names))
     gram, at = np.unique(found.column("gram").to_numpy(), return_inverse=True)
@@ -119,15 +173,17 @@ def _model(profiles: DataFrame):
 def _distances(texts: list[str], known: np.ndarray, ranks: np.ndarray):
     """Out-of-place distance of each text to each language, and its number of ranked n-grams. An n-gram that a
     profile lacks is as far as the profile is long."""
-    doc, gram, rank = top_ranks(*grams(texts))
-    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-    there = known[at] == gram
-    out = np.empty((len(texts), ranks.shape[1]))
-    for j in range(ranks.shape[1]):
-        theirs = np.where(there, ranks[at, j], KEPT)
-        away = np.where(theirs < KEPT, np.minimum(np.abs(theirs - rank), KEPT), KEPT)
-        out[:, j] = np.bincount(doc, away, len(texts))
-    return out, np.bincount(doc, minlength=len(texts))
+    out, n = np.zeros((len(texts), ranks.shape[1])), np.zeros(len(texts), np.int64)
+    for part in counted(texts):
+        doc, gram, rank = top_ranks(*part)
+        at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        there = known[at] == gram
+        for j in range(ranks.shape[1]):
+            theirs = np.where(there, ranks[at, j], KEPT)
+            away = np.where(theirs < KEPT, np.minimum(np.abs(theirs - rank), KEPT), KEPT)
+            out[:, j] += np.bincount(doc, away, len(texts))
+        n += np.bincount(doc, minlength=len(texts))
+    return out, n
 
 
 def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", names=("lang_pred", "score")) -> DataFrame:
