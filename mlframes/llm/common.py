@@ -132,6 +132,19 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in slices, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def parts_of(column):
+    """The arrays of an Arrow column of lists, without copies."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+")
 
 

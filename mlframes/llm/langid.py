@@ -5,12 +5,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import column, fresh, held, saved
+from mlframes.llm.common import column, fresh, held, saved, sliced
 
 #: N-grams kept in a profile, and the longest n-gram.
 KEPT, LONGEST = 300, 3
 #: Characters whose n-grams are counted at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Labelled rows read for each language, about.
 FIT_ROWS = 4_000
 #: Languages a model may hold: it goes to every task.
@@ -128,7 +128,7 @@ def _strings(col) -> list[str]:
 def _count(batches):
     """Counts by language, summed over the batches of a task before they are shuffled."""
     total: dict = {}
-    for batch in batches:
+    for batch in sliced(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = _strings(batch.column(1))
         for lang in sorted(set(langs)):
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", names=
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _strings(batch.column(place))
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if len(langs) and len(texts):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import MAP_BITS, SENTENCE_END, column, fresh, key_map, may_hold, mix, powers, saved, signed
+from mlframes.llm.common import MAP_BITS, SENTENCE_END, column, fresh, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -72,7 +72,7 @@ def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gra
 
 
 def _hash_documents(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         lines, words, prints = [], [], []
         for text in batch.column(3).to_pylist():
             h, w = hashed(text)
@@ -88,11 +88,10 @@ def _hash_documents(batches):
 def _windows(told):
     """Windows (id, k1, k2, print, at) whose fingerprint may stand in another place, from hashed documents."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows, prints, places = [], [], []
-            for i, (lines, words) in enumerate(zip(batch.column(3), batch.column(4))):
-                lines = lines.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                value, chosen, whole = winnow(lines, words.values.to_numpy(zero_copy_only=False).astype(np.int64))
+            for i, (lines, words) in enumerate(zip(parts_of(batch.column(3)), parts_of(batch.column(4)))):
+                value, chosen, whole = winnow(lines.view(np.uint64), words.astype(np.int64))
                 bit = (value[chosen] & np.uint64(MAP_BITS - 1)).astype(np.int64)
                 at = np.flatnonzero(told.value[bit >> 6] >> (bit & 63) & 1)
                 rows.append(np.full(len(at), i))
@@ -124,20 +123,21 @@ def matched(lines, words, other, shifts, run_words: int = RUN_WORDS):
 
 
 def _extend(batches):
-    for batch in batches:
-        rows = batch.to_pydict()
-        out = {"k1": [], "k2": [], "a": [], "b": []}
-        for k1, k2, seeds, lines, words, other in zip(*(rows[c] for c in "k1 k2 seeds lines words other".split())):
+    for batch in sliced(batches):
+        k1, k2, seeds, lines, words, other = batch.columns
+        rows, first, end = [], [], []
+        at, there = (parts_of(pa.ListArray.from_arrays(seeds.offsets, seeds.values.field(f))) for f in (0, 1))
+        for i, (a, t, x, w, y) in enumerate(zip(at, there, parts_of(lines), parts_of(words), parts_of(other))):
             shifts: dict = {}
-            for s in sorted(seeds, key=lambda s: s["at"]):
-                shifts.setdefault(s["at"] - s["there"], []).append(s["at"])
-            nearest = sorted(shifts.items(), key=lambda x: abs(x[0]))
-            found = matched(np.array(lines), np.array(words), np.array(other), nearest)
-            for a, b in found:
-                for name, value in zip(out, (k1, k2, a, b)):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int32()),
-                                          pa.array(out["a"], pa.int32()), pa.array(out["b"], pa.int32())], names=list(out))
+            for place, shift in sorted(zip(a.tolist(), (a - t).tolist())):
+                shifts.setdefault(shift, []).append(place)
+            for begin, stop in matched(x, w, y, sorted(shifts.items(), key=lambda s: abs(s[0]))):
+                rows.append(i)
+                first.append(begin)
+                end.append(stop)
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([k1.take(taken), k2.take(taken), pa.array(first, pa.int32()), pa.array(end, pa.int32())],
+                                         names=["k1", "k2", "a", "b"])
 
 
 def without(text: str, runs) -> tuple[str, list[tuple[int, int]], int, int]:
@@ -167,7 +167,7 @@ def without(text: str, runs) -> tuple[str, list[tuple[int, int]], int, int]:
 
 def _delete(place: int, runs: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, spans, total, gone = [], [], [], []
             for text, found in zip(batch.column(place).to_pylist(), batch.column(runs).to_pylist()):
                 if found:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.llm.common import SPACE, column, held, texts_of
+from mlframes.llm.common import SPACE, column, held, sliced, texts_of
 
 #: Documents of so many successive ids are packed together; a part ends early at so many tokens.
 IDS_PER_PART, PART_TOKENS = 1024, 1 << 22
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             part_docs, tokens = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text, part in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 if part != now or tokens > PART_TOKENS:
                     if part_docs:

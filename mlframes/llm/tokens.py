@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mlframes.llm.common import column, held
+from mlframes.llm.common import column, held, sliced
 
 #: What happens to a token that crosses a boundary: it goes to the section of its first character, to the one that
 #: holds most of its characters (the earlier on ties), or to each by its share of the characters.
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
 
     def run(batches):
         encoding, lengths = encoder(tokenizer, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [row for key, *texts in zip(*(c.to_pylist() for c in batch.columns))
                      for row in rows(key, [t or "" for t in texts], encoding, lengths)]
             if found:
