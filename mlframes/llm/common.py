@@ -5,6 +5,7 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mlframes.plans.storage import shared_path
@@ -137,6 +138,7 @@ def sliced(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def parts_of(column):

@@ -17,7 +17,7 @@ SENTENCE_CUT, WORD_CUT = 4, 16
 #: Cuts within a sentence are considered every so many tokens.
 STRIDE = 32
 #: Words and pieces of words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True  # ! . ?
 
