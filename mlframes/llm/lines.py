@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import MAP_BITS, SENTENCE_END, column, fresh, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
+from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -246,7 +246,7 @@ def keep_unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     follows the text; other columns stay."""
     names = fresh(docs.columns, "n_lines", "n_deleted", "deleted")
     left = remove_repeats(docs, id_col, text_col, names).drop(*names)
-    left = left.where(F.length(F.trim(column(text_col))) > 0)
+    left = left.where(F.regexp_like(column(text_col), F.lit(WORD)))
     if length_col in docs.columns:
         left = left.withColumn(length_col, F.length(column(text_col)).cast(docs.schema[length_col].dataType))
     return left

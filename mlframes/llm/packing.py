@@ -17,7 +17,7 @@ SENTENCE_CUT, WORD_CUT = 4, 16
 #: Cuts within a sentence are considered every so many tokens.
 STRIDE = 32
 #: Words and pieces of words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True  # ! . ?
 
@@ -35,16 +35,17 @@ class Words(dict):
     given to the tokenizer's model, in half of the time; the tokenizer takes any other word whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.pieces: dict = {}
+        self.most = most
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) + len(self.pieces) > REMEMBERED:
+        if len(self) + len(self.pieces) > self.most:
             self.clear()
             self.pieces.clear()
         text = word.decode("utf-8")
@@ -160,7 +161,7 @@ def _pieces(docs, size: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
-         end: int = 1) -> DataFrame:
+         end: int = 1, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents in sequences of up to ``size`` (a power of two) ids: (doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset).
 
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(batches):
-        words, part_docs, now, first, tokens = held(f"words of {tokenizer}", lambda: Words(tokenizer)), [], None, 0, 0
+        words, part_docs, now, first, tokens = held(f"{remembered} words of {tokenizer}", lambda: Words(tokenizer, remembered)), [], None, 0, 0
 
         def flush():
             nonlocal part_docs, first, tokens

@@ -1,0 +1,382 @@
+"""Operators of the corpus against brute force, on small tables with nulls, ties, repeats, long texts and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from mlframes.llm import ann, common, langid, leaks, lines, mixing, packing, setjoin, syncmers, tokens, warc
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, node string"
+
+
+def texts(seed=1, n=60):
+    """Short documents: fresh ones, copies, near copies, shared passages and the awkward ones."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+
+    def fresh(k):
+        return ". ".join(" ".join(r.choices(words, k=8)).capitalize() for _ in range(k)) + "."
+    passage = fresh(8)
+    out = [None, "", " \n\t ", "x", "a b c d", "A B C D", "a b c d e", "a b c d e f", "token=abc123 x", "y" * 5000, "naïve café — 漢字かな 𝒳𝒴"]
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.4 or len(out) < 20:
+            out.append(fresh(r.randint(2, 14)))
+        elif kind < 0.55:
+            out.append(r.choice(out[11:]))
+        elif kind < 0.8:
+            w = r.choice(out[11:]).split(" ")
+            w[r.randrange(len(w))] = "changed"
+            out.append(" ".join(w))
+        else:
+            out.append(fresh(3) + "\n" + passage + "\n" + fresh(3))
+    return out
+
+
+def table(spark, rows=None, parts=3):
+    rows = texts() if rows is None else rows
+    data = [(i, t, ("en", "de", None)[i % 3], (None, "", "s1", "s2", "s1")[i % 5], None, "x", "y") for i, t in enumerate(rows)]
+    return spark.createDataFrame(data, SCHEMA).repartition(parts)
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def spans_of(text):
+    out = []
+    for kind, rule, least in (("assign", leaks.ASSIGN, 6), ("access", leaks.ACCESS, 20), ("hex", r"[0-9a-f]+", 24)):
+        for m in re.finditer(rule, text):
+            if len(m[2] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), leaks.KINDS.index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_secrets(spark):
+    keys = ["AKIA" + "Z9" * 9, "AKIAshort", "AKIA" + "Q" * 15, "0123456789abcdef" * 3, "é𝒳 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"#",
+            "password:short passwd = 'longer_value' API_KEY=abc", "token=token:abcdef secret= x", "token=secret=abcdefgh " * 700,
+            "key q7Zp4LmX9vT2sKd8WbR5nYc1 end", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "", None, "token" + " " * 3000 + "= abcdef"]
+    out = {r["doc_id"]: r for r in collected(leaks.secret_report(table(spark, keys)))}
+    assert len(out) == len(keys)
+    for i, text in enumerate(keys):
+        want = spans_of(text or "")
+        assert out[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), text
+        assert set(filter(None, want.split(","))) <= set(out[i]["spans"].split(","))
+        assert out[i]["n_assign"] == want.count("assign")
+    assert "entropy_base64" in out[8]["spans"] and "entropy" not in out[9]["spans"]
+
+
+def test_entropy_windows(spark):
+    import math
+    r = random.Random(3)
+    rows = ["".join(r.choices("0123456789abcdef", k=k)) for k in (20, 25, 60)] + ["a" * 30 + "0123456789abcdef" * 3 + "b" * 40, "ab" * 8]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: [(s.a, s.b) for s in r.s] for r in df.select("i", leaks.entropy_spans(F.col("t"), "0123456789abcdef", 3.1).alias("s")).collect()}
+    for i, t in enumerate(rows):
+        want = []
+        for a in range(len(t) - 19):
+            counts = [t[a:a + 20].count(c) for c in set(t[a:a + 20])]
+            if -sum(c / 20 * math.log2(c / 20) for c in counts) >= 3.1 - 1e-12:
+                if want and a < want[-1][1]:
+                    want[-1][1] = a + 20
+                else:
+                    want.append([a, a + 20])
+        assert got[i] == [tuple(x) for x in want]
+
+
+@pytest.mark.parametrize("file_bytes", [300, 1 << 20])
+def test_archives(spark, tmp_path, file_bytes):
+    long_html = "<p>é</p>" * 50
+    rows = [(5, "http://a/ b\r\nX: y", long_html), (3, None, long_html), (9, "u", "short"), (8, "u", "short"), (1, "u", None), (7, "u", long_html),
+            (7, "u", long_html), (2, "u", "\r\n\r\n" * 40), (10**7, "far", "z" * 200)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, shard int").repartition(3)
+    manifest = warc.write_archives(pages, f"{tmp_path}/one", file_bytes=file_bytes)
+    back = collected(warc.read_archives(spark, f"{tmp_path}/one", manifest))
+    assert len(back) == len(rows)
+    found = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in back if r["page_id"] in (3, 5, 7))
+    size = len(long_html.encode())
+    assert found == sorted([(3, "response", None, size), (5, "revisit", 3, size), (7, "revisit", 3, size), (7, "revisit", 3, size)])
+    assert all(r["record_type"] == "response" for r in back if r["page_id"] in (1, 2, 8, 9, 10**7))
+    for r in back:
+        if r["payload"] is not None:
+            assert r["payload_digest"] == hashlib.sha256(bytes(r["payload"])).hexdigest()
+    again = warc.write_archives(pages.repartition(5), f"{tmp_path}/two", file_bytes=file_bytes)
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, again.collect()))
+    assert warc.archive_report(pages.limit(0)).count() == 0
+
+
+def test_mix_caps_and_repeats(docs, empty):
+    out = collected(mixing.plan(docs).withColumn("taken", mixing.words_taken()))
+    again = collected(mixing.plan(docs.repartition(7)).withColumn("taken", mixing.words_taken()))
+    key = lambda r: str(sorted(r.items(), key=str))
+    assert sorted(map(key, out)) == sorted(map(key, again))
+    sizes, targets, taken = {}, {}, {}
+    for r in out:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        targets[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    names = sorted(n for n in sizes if n is not None) + [None]
+    weights, held = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}, set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[n] for n in held)) / (sum(weights[n] for n in names if n not in held) or 1)
+        over = {n for n in names if n not in held and level * weights[n] > 3 * sizes[n]}
+        if not over:
+            break
+        held |= over
+    for n in names:
+        assert targets[n] == pytest.approx(3 * sizes[n] if n in held else level * weights[n])
+        assert abs(taken[n] - targets[n]) <= 0.5
+    assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    whole = mixing.mixed(docs)
+    assert whole.columns == docs.columns and whole.count() > 0
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_token_counts(spark, docs, rule):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = collected(tokens.token_counts(docs, path, public_tokenizers.PATTERN, fields=("text", "lang_pred"), rule=rule))
+    encoding, _ = tokens.encoder(path, public_tokenizers.PATTERN)
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, text in enumerate(texts()):
+        n = len(encoding.encode_ordinary((text or "") + "\nx"))
+        assert by[i][0]["doc_tokens"] == n and sum(r["n_tokens"] for r in by[i]) == pytest.approx(n)
+
+
+def test_token_rules():
+    starts, ends = np.array([0, 3, 8]), np.array([3, 8, 10])  # the second token crosses into two sections
+    assert tokens.attribute(starts, ends, [0, 4, 7, 10], "first").tolist() == [2, 0, 1]
+    assert tokens.attribute(starts, ends, [0, 4, 7, 10], "most").tolist() == [1, 1, 1]
+    assert tokens.attribute(starts, ends, [0, 4, 7, 10], "share").tolist() == pytest.approx([1.2, 0.6, 1.2])
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_nearest(spark, monkeypatch, scaled):
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    r = np.random.default_rng(0)
+    v = r.normal(size=(400, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= r.uniform(0.5, 2, (400, 1)) if scaled else 1
+    v[100:160] = v[3]
+    rows = [(i, [float(x) for x in v[i]], "b") for i in range(400)]
+    rows += [(1000, None, "b"), (1020, [], "b"), (1040, [0.0] * 24, "b"), (1060, [float("nan")] + [1.0] * 23, "b"), (1080, [None] + [1.0] * 23, "b"), (None, rows[0][1], "b")]
+    rows.append(rows[7])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket string").repartition(4)
+    out = ann.nearest(df, F.col("vec_id") % 20 == 0, probes=20).collect()
+    hit = total = 0
+    for q in range(0, 400, 20):
+        mine = sorted((x for x in out if x.query_id == q), key=lambda x: x["rank"])
+        score = v @ v[q]
+        score[q] = -np.inf
+        want = sorted(range(400), key=lambda i: (-round(score[i], 12), i))[:20]
+        assert [x["rank"] for x in mine] == list(range(1, 21))
+        assert all(abs(x.score - score[x.vec_id]) < 1e-12 for x in mine)
+        hit, total = hit + len({x.vec_id for x in mine} & set(want)), total + 20
+    assert {x.query_id for x in out} == set(range(0, 400, 20)) and hit >= 0.9 * total
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_language(spark, empty):
+    r = random.Random(2)
+    make = {"en": "the of and thing with er".split(), "de": "der die und schön ung ge".split()}
+    rows = [(i, " ".join(r.choices(make[("en", "de")[i % 2]], k=30)), ("en", "de")[i % 2], "s", 1, "clash", "x") for i in range(80)]
+    odd = [(100, None, "en", "s", 1, "c", "x"), (101, "12 !!", "de", "s", 1, "c", "x"), (102, "", None, "s", 1, "c", "x"), (103, "und " * 3000, None, "s", 1, "c", "x")]
+    df = spark.createDataFrame(rows + odd, SCHEMA).repartition(4)
+    profiles = langid.fit(df.where(~langid.held_out("doc_id")))
+    out = {x["doc_id"]: x for x in collected(langid.predict(df.drop("lang_pred"), profiles))}
+    assert all(out[i]["lang_pred"] == lang for i, _, lang, *_ in rows) and all(0 <= x["score"] <= 1 for x in out.values())
+    assert [out[i]["lang_pred"] for i in (100, 101, 102, 103)] == ["und", "und", "und", "de"]
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(range(80)) | {103}
+    assert langid.keep_identified(empty).count() == 0
+    assert {x["lang_pred"] for x in collected(langid.predict(df.drop("lang_pred"), langid.fit(empty)))} == {"und"}
+
+
+def test_gram_pieces_do_not_matter(monkeypatch):
+    rows = ["the cat sat " * 40, "", "é ü " * 30, "one two three four"]
+
+    def all_of():
+        parts = list(zip(*langid.counted(rows)))
+        doc, gram, count = (np.concatenate(x) for x in parts)
+        order = np.lexsort((gram, doc))
+        return doc[order].tolist(), gram[order].tolist(), count[order].tolist()
+    whole = all_of()
+    monkeypatch.setattr(langid, "PIECE", 40)
+    assert all_of() == whole
+
+
+def repeated(rows, least=lines.RUN_WORDS):
+    """Lines in a window of enough words, from either end, that an earlier place has as well."""
+    seen, out = set(), {}
+    for d, text in rows:
+        key = [" ".join(text[a:b].lower().split()) for a, b in lines.split_lines(text)]
+        n, gone = [len(k.split()) for k in key], set()
+        for i in range(len(key)):
+            for step, last in ((1, len(key)), (-1, -1)):
+                total = 0
+                for j in range(i, last, step):
+                    total += n[j]
+                    if total >= least:
+                        a, b = min(i, j), max(i, j)
+                        if (step, tuple(key[a:b + 1])) in seen:
+                            gone |= {x for x in range(a, b + 1) if n[x]}
+                        seen.add((step, tuple(key[a:b + 1])))
+                        break
+        out[d] = gone
+    return out
+
+
+def test_repeated_lines(docs, empty):
+    out = {r["doc_id"]: r for r in collected(lines.remove_repeats(docs))}
+    rows = [(i, t) for i, t in enumerate(texts()) if t is not None]
+    want = repeated(rows)
+    assert out[0]["text"] is None and out[0]["n_deleted"] == 0
+    assert sum(map(len, want.values())) > 50
+    for d, text in rows:
+        cut = [tuple(map(int, x.split(":"))) for x in out[d]["deleted"].split(",") if x]
+        gone = {i for i, (a, b) in enumerate(lines.split_lines(text)) if text[a:b].strip() and any(x <= a and b <= y for x, y in cut)}
+        assert gone == want[d], d
+        if not cut:
+            assert out[d]["text"] == text
+    kept = lines.keep_unrepeated(docs)
+    assert kept.columns == docs.columns and all(r.n_chars == len(r.text) and r.text.strip() for r in kept.collect())
+    assert lines.keep_unrepeated(empty).count() == 0
+
+
+def brute_components(rows, percent=80):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    home = {i: i for i in sets}
+
+    def root(x):
+        while home[x] != x:
+            x = home[x]
+        return x
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and sets[j]:
+                a, b = root(i), root(j)
+                home[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 2, "BLOCK": 3, "LEADERS": 1, "SAMPLE": 1, "PAIR_COST": 50.0}])
+def test_components(spark, docs, empty, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(setjoin, name, value)
+    out = {r.id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(docs).collect()}
+    want = brute_components(list(enumerate(texts())))
+    assert out == want and len({c for _, c in want.values()}) < len(want) - 10
+    if not limits:
+        kept = setjoin.keep_one(docs.union(docs))
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+        assert setjoin.jaccard_components(empty).count() == 0
+
+
+def test_hashes_follow_the_words():
+    assert common.word_hashes(b" Ab\tcd\x0bab ").tolist()[0] == common.word_hashes(b"AB").tolist()[0]
+    assert len(common.word_hashes("é é é".encode())) == 2 and len(common.word_hashes(b" \n")) == 0
+
+
+def test_edit_report(spark, docs, empty):
+    rows = [t or "" for t in texts()]
+    out = {r["doc_id"]: r for r in collected(syncmers.edit_report(docs, per_part=4))}
+    prints = {}
+    for i, text in enumerate(rows):
+        nxt, half = rows[(i + 1) % len(rows)], len(text) // 2
+        edited = text[:len(text) - half] + nxt[:half]
+        assert (out[i]["n_chars"], out[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= out[i]["near_edited"] <= 1 and prints.setdefault(text, out[i]["fingerprint"]) == out[i]["fingerprint"]
+        if text == nxt:
+            assert out[i]["near_next"] == 1
+        mine, other = (set(re.findall(".{16}", out[x]["fingerprint"])) for x in (i, (i + 1) % len(rows)))
+        assert out[i]["near_next"] == pytest.approx(2 * len(mine & other) / (len(mine) + len(other)) if mine or other else 1)
+    one = collected(syncmers.edit_report(table(spark, ["a b c d e f"])))
+    assert one[0]["near_next"] == 1 and syncmers.edit_report(empty).count() == 0
+
+
+def test_syncmers_are_chosen_by_themselves(spark):
+    a, b = "u v w x y z one two three four five six seven", "other words first one two three four five six seven and more"
+    df = spark.createDataFrame([(a,), (b,), ("one two three four five six seven",)], "t string")
+    left, right, inner = (set(r.p) for r in df.select(syncmers.syncmers(F.col("t")).alias("p")).collect())
+    assert inner <= left & right
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    out = collected(packing.pack(docs, WORD_BPE))
+    assert out == sorted(collected(packing.pack(docs.repartition(5), WORD_BPE)), key=out.index)
+    by, sequences = {}, {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for i, text in enumerate(texts()):
+        ids, at = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for r in sorted(by[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at:at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert packing.pack(empty, WORD_BPE).count() == 0
+
+
+def test_cuts_are_the_cheapest():
+    r = random.Random(5)
+    for _ in range(30):
+        places, price, at = [], [], 0
+        for _ in range(12):
+            at += r.randint(1, 9)
+            places.append(at)
+            price.append(r.choice([0, 2, 5]))
+
+        def cost(ends):
+            start, total = 0, 0
+            for e in ends:
+                if e - start > 16:
+                    return None
+                total += 16 - (e - start) + price[places.index(e)]
+                start = e
+            return total
+        best = min(c for m in range(1 << 11) if (c := cost([p for i, p in enumerate(places) if i == 11 or m >> i & 1])) is not None)
+        monkey = packing.finish
+        packing.finish = lambda ends, size: ends
+        try:
+            assert cost(packing.cuts(np.array(places), np.array(price), 16)) == best
+        finally:
+            packing.finish = monkey
+    assert packing.finish([13], 2048) == [8, 12, 13] and packing.finish([2040], 2048) == [2040]
+
+
+def test_words_as_the_tokenizer_cuts_them():
+    words = packing.Words(WORD_BPE)
+    for text in ("It's o'Neil'S don't!!'s 12,5 ÀÉß×÷ ²½ Ǆ İx ﬁ á <|endoftext|>x 漢字  z", "'tis ''re %%'ll", "AKIA99zz"):
+        assert words.whole.encode(text, add_special_tokens=False).ids == np.frombuffer(
+            packing.encode(text.encode(), words)[0], "<u4")[:-1].tolist()
