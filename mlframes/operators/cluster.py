@@ -209,6 +209,7 @@ def cluster_report(predictions: DataFrame, data: DataFrame, id_col: str, order=(
     detail = join_predictions(predictions, data, id_col, order)
     numeric = [f.name for f in detail.schema if isinstance(f.dataType, NumericType) and f.name not in (id_col, "cluster")]
     summary = detail.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_count"), *[F.avg(c).alias(c) for c in numeric])
+    # Fixed value: the name of the output column.
     return detail, with_share(summary, "cluster_count", "cluster_precentage")
 
 

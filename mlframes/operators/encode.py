@@ -189,6 +189,13 @@ def collect_stats(df: DataFrame, features) -> dict[str, tuple[float, float]]:
     return {r["feature"]: (r["mean"], r["std"]) for r in scale_stats(df, features).collect()}
 
 
+def _number(name: str):
+    """Text as a number; blank is NULL, anything else that is no number an error."""
+    text = F.trim(F.col(f"`{name}`").cast("string"))
+    bad = F.raise_error(F.concat(F.lit(f"column {name} was numeric when fitted: "), text)).cast("double")
+    return F.coalesce(text.try_cast("double"), F.when(text != "", bad))
+
+
 class Prep:
     """The fitted preparation of a table. ``fit`` learns it, ``transform`` applies it row by row."""
 
@@ -226,7 +233,7 @@ class Prep:
         """The id, when there is one, and the prepared features."""
         keep = [self.id_col] if self.id_col else []
         data = df.select(*[F.col(f"`{c}`") for c in [*keep, *self.inputs]])
-        data = data.withColumns({c: F.trim(F.col(c)).try_cast("double") for c in self.numeric_text})
+        data = data.withColumns({c: _number(c) for c in self.numeric_text})
         data = data.withColumnsRenamed({self.id_col: "__id"}) if keep else data
         coded = self.encoder.transform(data)
         filled = coded.select(*(["__id"] if keep else []), *[

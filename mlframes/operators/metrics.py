@@ -36,14 +36,16 @@ def confusion_matrix(df: DataFrame, truth: str, predicted: str, norm: str | None
 
     ``norm='recall'`` divides by the truth row, ``'precision'`` by the predicted column. ``by`` gives
     one matrix per key. ``unknown='drop'`` leaves out rows whose prediction is no true class,
-    ``'map'`` counts them under ``unknown_to``. Data rows are counted once; what follows works on counts.
+    ``'map'`` counts them under ``unknown_to``. NULL is a class like any other. Data rows are counted once; what follows works on counts.
     """
     by = list(by)
     counts = _pair_counts(df, truth, predicted, by, unknown, unknown_to)
     classes = counts.groupBy(*by).agg(
-        F.array_union(F.collect_set("truth"), F.collect_set("predicted")).alias("classes"))
-    grid = (classes.select(*by, F.explode("classes").alias("truth"), "classes")
-            .select(*by, "truth", F.explode("classes").alias("predicted")))
+        F.array_union(F.collect_set(F.struct(F.col("truth").alias("c"))),  # a struct keeps the NULL class
+                      F.collect_set(F.struct(F.col("predicted").alias("c")))).alias("classes"))
+    grid = (classes.select(*by, F.explode("classes").alias("t"), "classes")
+            .select(*by, F.col("t.c").alias("truth"), F.explode("classes").alias("p"))
+            .select(*by, "truth", F.col("p.c").alias("predicted")))
     full = (join_on(grid, counts, [*by, "truth", "predicted"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
     if norm is None:

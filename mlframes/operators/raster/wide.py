@@ -47,10 +47,13 @@ def pivot_segments(ranked: DataFrame, ranks: int | None = None) -> DataFrame:
     """One row per image with a column ``<feature>_seg_<rank>`` for every feature and rank.
 
     An image's segments are gathered once, in rank order, and spread to columns by position: one
-    aggregate instead of one per column. ``ranks`` is the largest rank; it is looked up when not given.
+    aggregate instead of one per column. ``ranks`` may ask for more columns than
+    the largest rank needs, not for fewer.
     """
-    if ranks is None:
-        ranks = ranked.agg(F.max(RANK)).first()[0] or 0
+    largest = ranked.agg(F.max(RANK)).first()[0] or 0
+    if ranks is not None and largest > ranks:
+        raise ValueError(f"an image has {largest} segments, more than the {ranks} asked for")
+    ranks = ranks or largest
     ranked = ranked.withColumn("filename", F.trim("filename", F.lit("\n")))
     features = [c for c in ranked.columns if c not in ("filename", RANK)]
     row = F.struct(F.col(RANK), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(features)])

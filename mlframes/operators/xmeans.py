@@ -36,7 +36,7 @@ def bic_round(df: DataFrame, n_features: int, cluster: str = "cluster", part: st
     return out.withColumn("split", F.col("bic_before") < F.col("bic_after"))
 
 
-def split_clusters(assigned: DataFrame, cluster: str = "cluster", max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
+def split_clusters(assigned: DataFrame, cluster: str = "cluster", max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
     """Add ``part`` (0 or 1): every cluster cut in two by 2-means, all clusters in the same passes.
 
     The first centres of a cluster lie one deviation to either side of its mean along its widest
@@ -60,8 +60,8 @@ def split_clusters(assigned: DataFrame, cluster: str = "cluster", max_iter: int
             shift = max(shift, float(abs(new - old).max()))
             centres[r[cluster]][r["part"]] = new
         if shift <= tol:
-            break
-    return placed
+            return placed
+    raise RuntimeError(f"2-means not settled after {max_iter} passes")
 
 
 def _nearer(assigned: DataFrame, centres: dict, cluster: str) -> DataFrame:

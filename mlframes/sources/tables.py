@@ -10,10 +10,13 @@ from mlframes.operators.columns import stack
 def read_table(spark: SparkSession, path: str, sep: str | None = None, schema=None) -> DataFrame:
     """A CSV or JSON table by its suffix; ``sep`` reads any file as delimited text.
 
-    Without a schema the types are inferred, which reads the file once more.
+    Without a schema the types are inferred, which reads the file once more. JSON is one value per line where the
+    first line holds a whole object, else one document (such as an array) per file.
     """
     if sep is None and path.endswith(".json"):
-        reader = spark.read.option("multiLine", True)
+        first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").first()
+        lines = first is not None and first["v"].startswith("{") and first["v"].endswith("}")
+        reader = spark.read.options(multiLine=not lines, mode="FAILFAST")
         return (reader.schema(schema) if schema else reader).json(path)
     if sep is None and not path.endswith(".csv"):
         raise ValueError(f"not a .csv or .json path: {path}; pass sep for other delimited text")

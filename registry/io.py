@@ -33,6 +33,13 @@ def s02(spark, sf):
     return rounded(tables.read_table(spark, path).drop("part"))
 
 
+@query("s02_read_json_lines", _CUSTOMERS)
+def s02_lines(spark, sf):
+    path = shared_path(spark, "json") + ".json"
+    _customers(spark, sf).write.json(path)
+    return rounded(tables.read_table(spark, path))
+
+
 @query("s03_read_csv_folder", f"""select c_custkey, {rd('case when c_custkey%2=0 then c_acctbal end')} as c_acctbal,
     case when c_custkey%2=1 then c_mktsegment end as c_mktsegment from customer""")
 def s03(spark, sf):
