@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mlframes.llm.arrays import let
-from mlframes.llm.common import column, text_column
+from mlframes.llm.common import column, key_map, may_hold, text_column
 
 #: Letters of the sequence: words of up to 16 characters, and each character of scripts without spaces.
 UNIT = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
@@ -86,7 +86,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = ahead.withColumn("prints", syncmers(F.col("text"), k, s))
     ahead = ahead.withColumn("next_prints", F.lead("prints").over(inside))
     least = rows.groupBy("__part").agg(F.min("doc_id").alias("doc_id"))
-    firsts = (rows.join(least.withColumnsRenamed({"__part": "p", "doc_id": "d"}),
+    firsts = (may_hold(rows, key_map(least, "doc_id"), "doc_id").join(least.withColumnsRenamed({"__part": "p", "doc_id": "d"}),
                         (F.col("__part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
               .groupBy("__part").agg(F.min("text").alias("__head")))
     follow = successors(least.select("__part"), per_part)
