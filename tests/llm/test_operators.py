@@ -282,7 +282,7 @@ def brute_components(rows, percent=80):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 2, "BLOCK": 3, "LEADERS": 1, "SAMPLE": 1, "PAIR_COST": 50.0}])
+@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 2, "BLOCK": 3, "SKETCH_BLOCK": 4, "LEADERS": 1, "SAMPLE": 1, "PAIR_COST": 50.0}])
 def test_components(spark, docs, empty, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(setjoin, name, value)
