@@ -1,5 +1,6 @@
-"""Removal of repeated runs of lines: winnowed line hashes find them, and matches are extended both ways."""
+"""Removal of repeated runs of lines, found by winnowed line hashes and extended both ways, and of repeated passages of words."""
 
+import re
 from collections import deque
 
 import numpy as np
@@ -7,10 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
+from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, held, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
+#: Words that make a passage worth deleting wherever it starts and ends, and words hashed together to find candidates.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 25
+#: Bits of the map of repeated anchors.
+ANCHOR_BITS = 1 << 26
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
@@ -35,6 +40,51 @@ def hashed(text: str):
             np.array([len(w) for w in words], np.int64))
 
 
+class _Known(dict):
+    """Hashes of the words met last."""
+
+    def __missing__(self, word):
+        import xxhash
+        if len(self) >= 1 << 17:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def word_values(text: str) -> np.ndarray:
+    """Hash of each word, upper and lower case aside."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(held("line_words", _Known).__getitem__, words), np.uint64, len(words))
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each word on."""
+    n = len(words) - size + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)))])
+    back = np.full(n, _INVERSE)
+    back[0] = 1
+    return mix((sums[size:] - sums[:n]) * np.multiply.accumulate(back) + np.uint64(size))
+
+
+def _extreme(x: np.ndarray, size: int, of) -> np.ndarray:
+    """The minimum or maximum of each ``size`` neighbours."""
+    width = 1
+    while 2 * width <= size:
+        x, width = of(x[:-width], x[width:]), 2 * width
+    return of(x[:len(x) - size + width], x[size - width:])
+
+
+def anchors(words: np.ndarray):
+    """(smallest hash of ``ANCHOR_WORDS`` words in a row of the ``PASSAGE_WORDS`` words from each word on, those hashes
+    once per place, or twice at most). Equal passages have the same."""
+    if len(words) < PASSAGE_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    value, size = rolled(words, ANCHOR_WORDS), PASSAGE_WORDS - ANCHOR_WORDS + 1
+    least = _extreme(value, size, np.minimum)
+    chosen, places = np.unique(value[value == _extreme(np.pad(least, size - 1), size, np.maximum)], return_counts=True)
+    return least, np.repeat(chosen, np.minimum(places, 2))
+
+
 def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS):
     """(hash of each gram, gram chosen by each window, hash of each window): a gram starts at the line of its place, and
     so does a window, which chooses the gram with the smallest hash, the last on ties.
@@ -73,16 +123,18 @@ def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gra
 
 def _hash_documents(batches):
     for batch in sliced(batches):
-        lines, words, prints = [], [], []
+        lines, words, prints, marks = [], [], [], []
         for text in batch.column(3).to_pylist():
             h, w = hashed(text)
             lines.append(signed(h))
             words.append(w.astype(np.int32))
             value, chosen, _ = winnow(h, w)
             prints.append(signed(value[np.unique(chosen)]))
+            marks.append(signed(anchors(word_values(text))[1]))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in range(3)), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
-             pa.array(prints, pa.list_(pa.int64()))], names="id k1 k2 lines words prints".split())
+             pa.array(prints, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+            names="id k1 k2 lines words prints marks".split())
 
 
 def _windows(told):
@@ -104,6 +156,50 @@ def _windows(told):
     return run
 
 
+def _passages(told):
+    """Passages (id, k1, k2, print, at) of ``PASSAGE_WORDS`` words that may stand in another place, from documents."""
+    def run(batches):
+        for batch in sliced(batches):
+            rows, prints, places = [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                words = word_values(text)
+                least, _ = anchors(words)
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(least)), bool), least[1:] != least[:-1]]))
+                bit = (least[new] & np.uint64(ANCHOR_BITS - 1)).astype(np.int64)
+                known = told.value[bit >> 6] >> (bit & 63) & 1
+                at = np.flatnonzero(np.repeat(known, np.diff(new, append=len(least))))
+                if not len(at):
+                    continue
+                rows.append(np.full(len(at), i))
+                prints.append(signed(rolled(words, PASSAGE_WORDS)[at]))
+                places.append(at.astype(np.int32))
+            if rows and (taken := np.concatenate(rows)).size:
+                part = batch.select([0, 1, 2]).take(pa.array(taken))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(prints)), pa.array(np.concatenate(places))],
+                                                 names="id k1 k2 print at".split())
+    return run
+
+
+def _joined(batches):
+    """Stretches of words (k1, k2, a, b, words) covered by the repeated passages of a document."""
+    for batch in sliced(batches):
+        rows, first, end = [], [], []
+        spots = batch.column(2)
+        begins, stops = (parts_of(pa.ListArray.from_arrays(spots.offsets, spots.values.field(f))) for f in (0, 1))
+        for i, (a, b) in enumerate(zip(begins, stops)):
+            order = np.lexsort((b, a))
+            a, b = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            rows.append(np.full(len(new), i))
+            first.append(a[new])
+            end.append(b[np.concatenate([new[1:] - 1, [len(b) - 1]])])
+        if rows:
+            taken = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.concatenate(first), pa.int32()),
+                 pa.array(np.concatenate(end), pa.int32()), pa.array(np.ones(len(taken), bool))], names=["k1", "k2", "a", "b", "words"])
+
+
 def matched(lines, words, other, shifts, run_words: int = RUN_WORDS):
     """Runs of lines equal to an earlier text's, each (first, end): every shift between the two texts is followed as
     far as the lines agree, in both directions. A shift whose seeds a run already covers is not followed again."""
@@ -140,13 +236,29 @@ def _extend(batches):
                                          names=["k1", "k2", "a", "b"])
 
 
-def without(text: str, runs) -> tuple[str, list[tuple[int, int]], int, int]:
-    """The text without the lines of the runs, the character spans deleted, and the numbers of lines and of those
-    deleted. A line break goes with a line that has no sentence left."""
+def without(text: str, runs, passages=()) -> tuple[str, list[tuple[int, int]], int, int]:
+    """The text without the lines of the runs and the words of the passages, the character spans deleted, and the
+    numbers of lines and of those deleted whole. A line break goes with a line that has no sentence left."""
     spans = split_lines(text)
     gone = np.zeros(len(spans), bool)
     for a, b in runs:
         gone[a:b] = True
+    parts: dict = {}
+    if passages:
+        words = [m.span() for m in re.finditer(WORD, text)]
+        begins, stops = np.array([a for a, _ in words]), np.array([b for _, b in words])
+        lost = np.zeros(len(words) + 1, np.int64)
+        for a, b in passages:
+            lost[a + 1:b + 1] = 1
+        lost = np.cumsum(lost)
+        low, high = (np.searchsorted(begins, [s[k] for s in spans]) for k in (0, 1))
+        for a, b in passages:
+            inside = np.flatnonzero((high > a) & (low < b) | (low == high) & (low > a) & (low < b))
+            for i in inside[~gone[inside]].tolist():
+                if lost[high[i]] - lost[low[i]] == high[i] - low[i]:
+                    gone[i] = True
+                else:
+                    parts.setdefault(i, []).append((int(begins[max(a, low[i])]), int(stops[min(b, high[i]) - 1]), b >= high[i]))
     out, pieces, dropped = [], [], False
     for i, (a, b) in enumerate(spans):
         end = spans[i + 1][0] if i + 1 < len(spans) else len(text)
@@ -154,6 +266,12 @@ def without(text: str, runs) -> tuple[str, list[tuple[int, int]], int, int]:
         if gone[i]:
             dropped = True
         else:
+            for x, y, last in sorted(parts.get(i, ())):
+                dropped = True
+                pieces.append(text[a:x].rstrip(" \t") if last else text[a:x])
+                a = y
+                while a < b and text[a] in " \t\r\x0b\x0c":
+                    a += 1
             pieces.append(text[a:b] + ("" if "\n" in gap else gap))
         if "\n" in gap or i + 1 == len(spans):
             if pieces or not dropped:
@@ -162,6 +280,13 @@ def without(text: str, runs) -> tuple[str, list[tuple[int, int]], int, int]:
             pieces, dropped = [], False
     edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
     cut = [(spans[a][0], spans[b - 1][1]) for a, b in zip(edges[::2], edges[1::2])]
+    if passages:
+        cut, found = [], sorted(cut + [(int(begins[a]), int(stops[b - 1])) for a, b in passages])
+        for a, b in found:
+            if cut and a <= cut[-1][1]:
+                cut[-1] = cut[-1][0], max(b, cut[-1][1])
+            else:
+                cut.append((a, b))
     return "\n".join(out), cut, len(spans), int(gone.sum())
 
 
@@ -171,7 +296,7 @@ def _delete(place: int, runs: int):
             texts, spans, total, gone = [], [], [], []
             for text, found in zip(batch.column(place).to_pylist(), batch.column(runs).to_pylist()):
                 if found:
-                    text, cut, n, m = without(text, [(r["a"], r["b"]) for r in found])
+                    text, cut, n, m = without(text, *([(r["a"], r["b"]) for r in found if r["words"] == kind] for kind in (False, True)))
                 else:
                     cut, n, m = [], len(split_lines(text)) if text is not None else 0, 0
                 texts.append(text)
@@ -186,6 +311,31 @@ def _delete(place: int, runs: int):
     return run
 
 
+def _repeated(hashes: DataFrame, name: str, size: int):
+    """A broadcast map of ``size`` bits, with those set that fingerprints of more than one document or place choose."""
+    again = hashes.select(F.explode(name).alias("print")).groupBy("print").count().where("count > 1")
+    words = (again.groupBy(F.expr(f"(print & {size - 1}) div 64").alias("place"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("word")).toArrow())
+    bits = np.zeros(size // 64, np.int64)  # at most so many rows reach the driver
+    bits[words.column("place").to_numpy()] = words.column("word").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _repeated_passages(slim: DataFrame, told) -> DataFrame:
+    """Stretches of words (k1, k2, a, b, words) in which every passage stands earlier as well. Of a passage that
+    overlaps its own first place only the words after that place go."""
+    spot = F.struct("id", "k1", "k2", "at")
+    prints = saved(slim.mapInArrow(_passages(told), "id long, k1 long, k2 int, print long, at int"), "passages")
+    first = saved(prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+                  .where("first <> last").select("print", "first"), "passage_firsts")
+    own = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
+    begin = F.when(own, F.greatest("at", F.col("first.at") + PASSAGE_WORDS)).otherwise(F.col("at"))
+    later = (may_hold(prints, key_map(first, "print"), "print").join(first, "print").where(spot != F.col("first"))
+             .select("k1", "k2", F.struct(begin.alias("a"), (F.col("at") + PASSAGE_WORDS).alias("b")).alias("spot")))
+    return (later.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
+            .mapInArrow(_joined, "k1 long, k2 int, a int, b int, words boolean"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    names=("n_lines", "n_deleted", "deleted")) -> DataFrame:
     """The rows of ``docs`` with their texts free of repeated runs, the numbers of lines and of deleted ones, and the
@@ -195,6 +345,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same text. Windows over the line hashes choose fingerprints; those that occur again give their windows, and each window is
     tied to its first place (ids ascending), never to all others; between two texts so tied every run of equal lines
     is followed both ways. The first place of a run always stays. Shorter repeated lines, such as licence notes, stay.
+    A passage of ``PASSAGE_WORDS`` words or more that stands earlier goes wherever it starts and ends, word by word:
+    the smallest hashes within passages tell which may repeat, and of those the passage from every word on is compared
+    with its first place.
 
     A line of several sentences counts as that many lines, so passages within a paragraph are found. A null text stays
     null and an empty one empty. Rows equal in id and text are one document and are treated alike; rows of one id
@@ -205,14 +358,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns({k1: F.xxhash64(column(id_col), text), k2: F.hash(text, column(id_col))})
     slim = keyed.where(text.isNotNull()).select(column(id_col).cast("long").alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                                                 text.alias("text"))
-    schema = "id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>"
+    schema = "id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>, marks array<long>"
     hashes = saved(slim.mapInArrow(_hash_documents, schema), "lines")
-    again = hashes.select(F.explode("prints").alias("print")).groupBy("print").count().where("count > 1")
-    words = (again.groupBy(F.expr(f"(print & {MAP_BITS - 1}) div 64").alias("place"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(print & 63 as int))")).alias("word")).toArrow())
-    bits = np.zeros(MAP_BITS // 64, np.int64)  # at most so many rows reach the driver
-    bits[words.column("place").to_numpy()] = words.column("word").to_numpy()
-    told = docs.sparkSession.sparkContext.broadcast(bits)
+    told = _repeated(hashes, "prints", MAP_BITS)
     spot = F.struct("id", "k1", "k2", "at")
     prints = hashes.select("id", "k1", "k2", "lines", "words").mapInArrow(
         _windows(told), "id long, k1 long, k2 int, print long, at int")
@@ -228,8 +376,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sides = (pairs.join(once, ["k1", "k2"])
              .join(once.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("lines").alias("other")), ["f1", "f2"])
              .select("k1", "k2", "seeds", "lines", "words", "other"))
-    found = sides.mapInArrow(_extend, "k1 long, k2 int, a int, b int")
-    found = saved(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
+    found = sides.mapInArrow(_extend, "k1 long, k2 int, a int, b int").withColumn("words", F.lit(False))
+    found = found.union(_repeated_passages(slim, _repeated(hashes, "marks", ANCHOR_BITS)))
+    found = saved(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "words")).alias("runs")), "runs")
     o1, o2 = fresh(keyed.columns, "other_one", "other_two")
     found = found.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("runs").alias(runs))
     keyed, changed = keyed.withColumn(text_col, text), key_map(found, o1)

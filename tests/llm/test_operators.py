@@ -262,6 +262,36 @@ def test_repeated_lines(docs, empty):
     assert lines.keep_unrepeated(empty).count() == 0
 
 
+def test_passages_within_sentences(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(300)]
+
+    def fresh(k):
+        return [w + r.choice(["", "", "", "", "", "", "", ".", ",", ".\n"]) for w in r.choices(words, k=k)]
+    shared = [[w.rstrip(".,\n") for w in fresh(k)] for k in (51, 60, 92, 49, 70)]
+    rows = [None, "", " \n "]
+    for i in range(60):
+        parts = fresh(r.randint(3, 60))
+        for _ in range(r.randint(0, 2)):
+            take = r.choice(shared)
+            parts += (take if r.random() < 0.5 else take[r.randint(0, 20):]) + fresh(r.randint(1, 40))
+        rows.append(" ".join(parts))
+    rows += ["again and " * 200, "x " + " ".join(shared[2]) + " y", "q " + " ".join(shared[2]) + " y z"]
+    out = {x["doc_id"]: x for x in collected(lines.remove_repeats(table(spark, rows)))}
+    seen, total = {}, 0
+    for d, text in enumerate(rows):
+        spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+        key, gone = [text[a:b].lower() for a, b in spans], set()
+        for a in range(len(key) - lines.PASSAGE_WORDS + 1):
+            place = seen.setdefault(tuple(key[a:a + lines.PASSAGE_WORDS]), (d, a))
+            gone |= set(range(max(a, place[1] + lines.PASSAGE_WORDS) if place[0] == d else a, a + lines.PASSAGE_WORDS)) if place != (d, a) else set()
+        cut = [tuple(map(int, x.split(":"))) for x in out[d]["deleted"].split(",") if x]
+        assert gone == {i for i, (a, b) in enumerate(spans) if any(x <= a and b <= y for x, y in cut)}, d
+        assert (out[d]["text"] or "").split() == [text[a:b] for i, (a, b) in enumerate(spans) if i not in gone]
+        total += len(gone)
+    assert total > 1000 and out[len(rows) - 1]["text"] == "q z"
+
+
 def brute_components(rows, percent=80):
     sets = {}
     for i, t in rows:
