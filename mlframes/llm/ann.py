@@ -1,5 +1,7 @@
 """Approximate nearest neighbours by cross-polytope hashing: pseudo-rotations, multiprobe tables, exact reranking."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,8 @@ from mlframes.llm.common import column, saved
 TABLES, PROBES, HASHES = 16, 12, 1
 #: Vectors, and queries, of a bucket that are compared in one task.
 CHUNK = 4096
+#: Norms within a factor of ``BAND`` share tables; a band of no more than ``SMALL`` distinct vectors is one bucket.
+BAND, SMALL = 1.25, 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -31,14 +35,10 @@ def rotated(x: np.ndarray, seed) -> np.ndarray:
     return x
 
 
-def placed(vectors: np.ndarray, longest: float, even: bool, query: bool) -> np.ndarray:
-    """Unit vectors whose angle follows the inner product: where norms differ, a coordinate fills each vector up to the
-    longest one; queries are scaled. Padded to a power of two."""
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    parts = [vectors / norms if query or even else vectors / longest]
-    if not even:
-        parts.append(np.zeros_like(norms) if query else np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2)))
-    unit = np.concatenate(parts, axis=1)
+def placed(vectors: np.ndarray) -> np.ndarray:
+    """The directions of vectors, padded to a power of two."""
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     width = 2
     while width < unit.shape[1]:
         width *= 2
@@ -71,23 +71,35 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def _hash(longest: float, even: bool, tables: int, probes: int, hashes: int, seed: int, query: bool):
-    """Rows (k1, k2, dim, tab, bucket) of distinct vectors (k1, k2, vec)."""
+def _hash(bands: dict, tables: int, probes: int, hashes: int, seed: int, query: bool):
+    """Rows (k1, k2, dim, tab, bucket) of distinct vectors (k1, k2, vec, and band or nothing). ``bands`` has the number
+    and the count of each length's bands; a query looks into all of its length, a vector is in its own."""
     def run(batches):
         for batch in batches:
             sizes = np.asarray(pc.list_value_length(batch.column(2)))
             for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                part = batch.take(pa.array(rows))
-                unit = placed(_matrix(part.column(2)), longest, even, query)
-                for table in range(tables):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                own = None if query else part.column(3).to_numpy(zero_copy_only=False)
+                rest = part.columns[2:3] if query else [part.column(2), part.column(4)]
+                names = ["k1", "k2", "dim", "tab", "bucket", "vec", "ids"][:5 + len(rest)]
+
+                def sent(rows, tab, found):
+                    again = pa.array(np.repeat(rows, found.shape[1]))
+                    return pa.RecordBatch.from_arrays(
+                        [part.column(0).take(again), part.column(1).take(again), pa.array(np.full(len(again), dim, np.int32)),
+                         pa.array(np.full(len(again), tab, np.int32)), pa.array(found.ravel()), *(c.take(again) for c in rest)], names=names)
+                large = []
+                for band, (number, count) in bands[int(dim)].items():
+                    rows = np.arange(part.num_rows) if query else np.flatnonzero(own == band)
+                    if count > SMALL:
+                        large.append((rows, number))
+                    elif len(rows):
+                        yield sent(rows, number * tables, np.full((len(rows), 1), -1))
+                unit = placed(_matrix(part.column(2))) if large else None
+                for table in range(tables if large else 0):
                     found = buckets(unit, table, probes if query else 1, hashes, seed)
-                    again = np.repeat(np.arange(len(rows)), found.shape[1])
-                    sent = part.take(pa.array(again)) if query else part
-                    yield pa.RecordBatch.from_arrays(
-                        [sent.column(0), sent.column(1), pa.array(np.full(len(again), dim, np.int32)),
-                         pa.array(np.full(len(again), table, np.int32)), pa.array(found.ravel()), *sent.columns[2:]],
-                        names=["k1", "k2", "dim", "tab", "bucket", *part.schema.names[2:]])
+                    for rows, number in large:
+                        yield sent(rows, number * tables + table, found[rows])
     return run
 
 
@@ -154,9 +166,10 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds the ``top`` other rows found with the
     largest inner product, in double precision, ties to the smaller id.
 
-    Every vector is in a bucket of each of ``tables`` tables, named by the signed axis nearest to it after a
-    pseudo-rotation (``hashes`` of them); a query looks into ``probes`` buckets of each and all it finds there is
-    scored exactly. More hashes make finer buckets for larger tables, more probes and tables a higher recall.
+    Vectors are dealt into bands of norm, so that within one the inner product follows the angle. Every vector is in a
+    bucket of each of its band's ``tables`` tables, named by the signed axis nearest to it after a pseudo-rotation
+    (``hashes`` of them); a query looks into ``probes`` buckets of each table of every band and all it finds there is
+    scored exactly. A band of few vectors is one bucket. More hashes make finer buckets for larger tables, more probes and tables a higher recall.
     Equal vectors are hashed once, with their smallest ids, of which no more than ``top`` + 1 can be in a
     result; buckets are compared in chunks of ``CHUNK`` vectors and queries, so a full one is many small tasks.
 
@@ -169,17 +182,21 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     rows = vectors.where(fine & column(id_col).isNotNull()).select(
         column(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.xxhash64(vec).alias("k1"), F.hash(vec).alias("k2")).distinct()
-    norm = F.sqrt(F.aggregate(F.transform("vec", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, b: a + b))
-    low, high = rows.select(F.min(norm), F.max(norm)).first()
-    longest, even = high or 1.0, low is None or low >= (1 - 1e-6) * high
+    most = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    norm = F.log("most") + F.log(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("most"), F.lit(2.0)))) / 2
+    band = F.floor(norm / math.log(BAND) + 0.5).cast("int")  # norms near 1 are not near an edge
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
     index = (rows.withColumn("place", place).where(F.col("place") <= top + 1)
              .groupBy("k1", "k2").agg(F.min("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
     asked = rows.where("asks").groupBy("k1", "k2").agg(F.min("vec").alias("vec"))
     kind = index.schema["vec"].dataType.simpleString()
     head = "k1 long, k2 int, dim int, tab int, bucket long"
-    index = saved(index.mapInArrow(_hash(longest, even, tables, probes, hashes, seed, False), f"{head}, vec {kind}, ids array<long>"), "index")
-    asked = saved(asked.mapInArrow(_hash(longest, even, tables, probes, hashes, seed, True), f"{head}, vec {kind}"), "probes")
+    index = index.withColumn("most", most).select("k1", "k2", "vec", band.alias("band"), "ids")
+    bands: dict = {}
+    for number, (dim, b, n) in enumerate(index.groupBy(F.size("vec"), "band").count().collect()):
+        bands.setdefault(dim, {})[b] = number, n
+    index = saved(index.mapInArrow(_hash(bands, tables, probes, hashes, seed, False), f"{head}, vec {kind}, ids array<long>"), "index")
+    asked = saved(asked.mapInArrow(_hash(bands, tables, probes, hashes, seed, True), f"{head}, vec {kind}"), "probes")
     key = ["dim", "tab", "bucket"]
     sizes = (index.groupBy(*key).agg(F.count("*").alias("n"))
              .join(asked.groupBy(*key).agg(F.count("*").alias("m")), key)

@@ -195,6 +195,27 @@ def test_nearest(spark, monkeypatch, scaled):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "unequal"])
+@pytest.mark.parametrize("small", [0, ann.SMALL])
+def test_nearest_with_unequal_norms(spark, monkeypatch, kind, small):
+    monkeypatch.setattr(ann, "SMALL", small)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "outlier":
+        v[1] *= 30
+    else:
+        v *= r.uniform(0.5, 2, (3000, 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    out = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    hit = 0
+    for q in range(0, 3000, 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hit += len({x.vec_id for x in out if x.query_id == q} & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 30, hit
+
+
 def test_language(spark, empty):
     r = random.Random(2)
     make = {"en": "the of and thing with er".split(), "de": "der die und schön ung ge".split()}
