@@ -161,6 +161,24 @@ def _merge(top: int):
     return run
 
 
+def _scored(index: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """The best of each query (k1, k2, ids, scores) among the vectors in buckets that it looks into."""
+    key = ["dim", "tab", "bucket"]
+    sizes = (index.groupBy(*key).agg(F.count("*").alias("n"))
+             .join(asked.groupBy(*key).agg(F.count("*").alias("m")), key)
+             .select(*key, F.ceil(F.col("n") / CHUNK).cast("int").alias("cn"), F.ceil(F.col("m") / CHUNK).cast("int").alias("cm")))
+
+    def chunked(df, own, other, a, b):
+        df = df.join(sizes, key).withColumn(a, F.pmod(F.col("k2"), F.col(own)))
+        return df.withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("cn", "cm")
+
+    group = [*key, "i", "q"]
+    run, schema = _nearest(top)
+    found = (chunked(index, "cn", "cm", "i", "q").groupBy(*group)
+             .cogroup(chunked(asked, "cm", "cn", "q", "i").groupBy(*group)).applyInArrow(lambda a, b: run(a, b), schema))
+    return found.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_merge(top), schema)
+
+
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20,
             tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds the ``top`` other rows found with the
@@ -169,7 +187,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     Vectors are dealt into bands of norm, so that within one the inner product follows the angle. Every vector is in a
     bucket of each of its band's ``tables`` tables, named by the signed axis nearest to it after a pseudo-rotation
     (``hashes`` of them); a query looks into ``probes`` buckets of each table of every band and all it finds there is
-    scored exactly. A band of few vectors is one bucket. More hashes make finer buckets for larger tables, more probes and tables a higher recall.
+    scored exactly. A band of few vectors is one bucket. Queries that find fewer than ``top`` rows there, and fewer than
+    there are, are compared with all vectors, in chunks. More hashes make finer buckets for larger tables, more probes and tables a higher recall.
     Equal vectors are hashed once, with their smallest ids, of which no more than ``top`` + 1 can be in a
     result; buckets are compared in chunks of ``CHUNK`` vectors and queries, so a full one is many small tasks.
 
@@ -192,25 +211,20 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     kind = index.schema["vec"].dataType.simpleString()
     head = "k1 long, k2 int, dim int, tab int, bucket long"
     index = index.withColumn("most", most).select("k1", "k2", "vec", band.alias("band"), "ids")
-    bands: dict = {}
-    for number, (dim, b, n) in enumerate(index.groupBy(F.size("vec"), "band").count().collect()):
+    single, queries, bands = saved(index, "vectors"), asked, {}
+    for number, (dim, b, n) in enumerate(single.groupBy(F.size("vec"), "band").count().collect()):
         bands.setdefault(dim, {})[b] = number, n
-    index = saved(index.mapInArrow(_hash(bands, tables, probes, hashes, seed, False), f"{head}, vec {kind}, ids array<long>"), "index")
+    index = saved(single.mapInArrow(_hash(bands, tables, probes, hashes, seed, False), f"{head}, vec {kind}, ids array<long>"), "index")
     asked = saved(asked.mapInArrow(_hash(bands, tables, probes, hashes, seed, True), f"{head}, vec {kind}"), "probes")
-    key = ["dim", "tab", "bucket"]
-    sizes = (index.groupBy(*key).agg(F.count("*").alias("n"))
-             .join(asked.groupBy(*key).agg(F.count("*").alias("m")), key)
-             .select(*key, F.ceil(F.col("n") / CHUNK).cast("int").alias("cn"), F.ceil(F.col("m") / CHUNK).cast("int").alias("cm")))
-
-    def chunked(df, own, other, a, b):
-        df = df.join(sizes, key).withColumn(a, F.pmod(F.col("k2"), F.col(own)))
-        return df.withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("cn", "cm")
-
-    group = [*key, "i", "q"]
-    run, schema = _nearest(top + 1)
-    found = (chunked(index, "cn", "cm", "i", "q").groupBy(*group)
-             .cogroup(chunked(asked, "cm", "cn", "q", "i").groupBy(*group)).applyInArrow(lambda a, b: run(a, b), schema))
-    best = found.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_merge(top + 1), schema)
+    best = saved(_scored(index, asked, top + 1), "best")
+    # queries whose buckets held too few vectors are compared with all of their length
+    everything = [F.size("vec").alias("dim"), F.lit(0).alias("tab"), F.lit(-1).cast("long").alias("bucket")]
+    held = single.select(F.size("vec").alias("dim"), F.explode("ids").alias("id")).groupBy("dim").agg(F.countDistinct("id").alias("n"))
+    short = saved(queries.withColumn("dim", F.size("vec")).join(best, ["k1", "k2"], "left").join(held, "dim")
+                  .where(F.coalesce(F.size("ids"), F.lit(0)) < F.least(F.lit(top + 1), "n")).select("k1", "k2", "vec"), "short")
+    if not short.isEmpty():
+        exact = _scored(single.select("k1", "k2", *everything, "vec", "ids"), short.select("k1", "k2", *everything, "vec"), top + 1)
+        best = best.join(short, ["k1", "k2"], "left_anti").unionByName(exact)
     each = rows.where("asks").select(F.col("id").alias("query_id"), "k1", "k2").join(best, ["k1", "k2"])
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id"))
     return (each.select("query_id", F.posexplode(F.slice(pairs, 1, top)))

@@ -216,6 +216,26 @@ def test_nearest_with_unequal_norms(spark, monkeypatch, kind, small):
     assert hit >= 0.9 * 20 * 30, hit
 
 
+@pytest.mark.parametrize("n", [12, 21, 40])
+@pytest.mark.parametrize("small", [0, ann.SMALL])
+def test_nearest_gives_all_there_are(spark, monkeypatch, n, small):
+    monkeypatch.setattr(ann, "SMALL", small)
+    monkeypatch.setattr(ann, "CHUNK", 5)
+    r = np.random.default_rng(n)
+    v = r.normal(size=(n, 64))
+    v[5] = v[6]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, [1.0, 2.0]), (1001, [3.0, -1.0]), (1002, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = ann.nearest(df, F.lit(True)).collect()
+    for q in range(n):
+        mine = sorted((x for x in out if x.query_id == q), key=lambda x: x["rank"])
+        score = v @ v[q]
+        assert len(mine) == min(20, n - 1) and [x["rank"] for x in mine] == list(range(1, len(mine) + 1))
+        if n <= 21:
+            assert [x.vec_id for x in mine] == sorted(set(range(n)) - {q}, key=lambda i: (-round(score[i], 9), i))
+    assert [(x.query_id, x.vec_id, x.score) for x in sorted(out) if x.query_id >= 1000] == [(1000, 1001, 1.0), (1001, 1000, 1.0)]
+
+
 def test_language(spark, empty):
     r = random.Random(2)
     make = {"en": "the of and thing with er".split(), "de": "der die und schön ung ge".split()}
