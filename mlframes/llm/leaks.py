@@ -1,6 +1,7 @@
 """Secrets in texts: known forms, and windows of high character entropy, by DataFrame functions alone."""
 
 import math
+import re
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,10 +19,10 @@ WINDOW = 20
 #: Per character class: candidates, the characters in order, the bits a window needs. A random window of 20 has 3.46 bits of
 #: hexadecimal digits and 4.03 of the 66 characters on average; words have about 3.
 CLASSES = {
-    "entropy_hex": (r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", "0123456789abcdef", 3.1),
+    "entropy_hex": (r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", "0123456789abcdef", 3.1),
     "entropy_base64": (r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
 }
-#: Candidates that are no secrets: universally unique identifiers, documentation examples, alphabets in order.
+#: Pieces of candidates that are no secrets: universally unique identifiers, documentation examples, alphabets in order.
 ALLOWED = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example", r"(?i)abcdefghij", r"0123456789",
            r"(.)\1{9}")
 
@@ -87,6 +88,15 @@ def entropy_spans(text, symbols: str, bits: float, window: int = WINDOW):
         F.sequence(F.lit(1), F.size(x)), start, step(x, w), end)))
 
 
+def _any(rules) -> str:
+    """One pattern for all rules; references to groups are numbered on."""
+    out, groups = [], 0
+    for rule in rules:
+        out.append("(?:" + re.sub(r"\\([1-9])", lambda m: f"\\{int(m[1]) + groups}", rule) + ")")  # noqa: B023
+        groups += re.compile(rule).groups
+    return "|".join(out)
+
+
 def _entropy(text, kind: str, allowed):
     pattern, symbols, bits = CLASSES[kind]
     number = KINDS.index(kind)
@@ -95,17 +105,30 @@ def _entropy(text, kind: str, allowed):
         mixed = F.regexp_like(hit, F.lit("[0-9]")) & F.regexp_like(hit, F.lit("[A-Za-z]"))
         if kind == "entropy_base64":
             mixed = mixed & ~F.regexp_like(hit, F.lit("^[0-9A-Fa-f]+$"))
-        for rule in allowed:
-            mixed = mixed & ~F.regexp_like(hit, F.lit(rule))
         return mixed
 
+    def part(x):
+        return F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
+
+    def without(rule):
+        def left(x):
+            def between(cut):
+                starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda c: c["end"]))
+                ends = F.concat(F.transform(cut, lambda c: c["start"]), F.array(x["end"] - x["start"]))
+                return F.zip_with(starts, ends, lambda a, b: F.struct(
+                    (x["start"] + a).alias("start"), F.lit(number).alias("kind"), (x["start"] + b).alias("end")))
+            return F.filter(let(_found(part(x), rule, number), between), lambda y: y["end"] - y["start"] >= WINDOW)
+        return left
+
     def inner(x):
-        hit = F.substring(text, x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))
-        hit = F.lower(hit) if kind == "entropy_hex" else hit
+        hit = F.lower(part(x)) if kind == "entropy_hex" else part(x)
         return F.transform(entropy_spans(hit, symbols, bits), lambda s: F.struct(
             (x["start"] + s["a"]).alias("start"), F.lit(number).alias("kind"), (x["start"] + s["b"]).alias("end")))
 
-    return F.flatten(F.transform(_found(text, pattern, number, wanted), inner))
+    pieces = _found(text, pattern, number, wanted)
+    if allowed:
+        pieces = F.flatten(F.transform(pieces, without(_any(allowed))))
+    return F.flatten(F.transform(pieces, inner))
 
 
 def _written(spans):
@@ -119,8 +142,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Known forms: an assignment to a name such as ``token`` with a value of 6 characters or more, an access key of 20
     or more, 24 or more hexadecimal digits. High entropy: windows of ``WINDOW`` characters within strings that mix
-    letters and digits, per character class; strings that match a rule of ``allowed`` are left out there, known
-    forms never are. ``kind`` counts through ``KINDS``.
+    letters and digits, per character class; pieces that match a rule of ``allowed`` are cut out there, known
+    forms never are. Hexadecimal digits may stand next to any character but letters and digits. ``kind`` counts through ``KINDS``.
 
     Every row gives one row; a null or empty text has no spans; a null id stays; other columns are ignored. All of
     it is a projection: no shuffle.
