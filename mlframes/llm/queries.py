@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mlframes.llm import ann, langid, leaks, lines, mixing, packing, setjoin, syncmers, tokens, warc
+from mlframes.llm import ann, dialogue, langid, leaks, lexical, lines, mixing, packing, setjoin, sharding, syncmers, tokens, warc
 from mlframes.llm.common import text_column
 
 
@@ -62,6 +62,18 @@ def op10_pack(spark, sf):
     return packing.pack(_table(spark, sf, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_conversation_repair(spark, sf):
+    return dialogue.repair_report(_table(spark, sf, "conversations"))
+
+
+def op12_lexical_search(spark, sf):
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op13_hash_tree_shards(spark, sf):
+    return sharding.shard_report(_table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -99,7 +111,8 @@ from ordered join wanted using (name, none)
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_warc_round_trip, op3_mix_sources, op4_token_counts, op5_nearest_vectors, op6_language,
-    op7_line_dedup, op8_jaccard_components, op9_syncmers, op10_pack, pipeline)}
+    op7_line_dedup, op8_jaccard_components, op9_syncmers, op10_pack, op11_conversation_repair, op12_lexical_search, op13_hash_tree_shards,
+    pipeline)}
 
 OP2_SQL = """
 with rows as (
@@ -110,4 +123,56 @@ select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload)
   case when place > 1 and octet_length(payload) >= 100 then first end as refers_to from rows
 """
 
-ORACLES = {"op3_mix_sources": OP3_SQL, "op2_warc_round_trip": OP2_SQL}
+OP12_SQL = r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tfs as (select doc_id, term, count(*)::bigint as tf from terms group by all),
+sizes as (select doc_id, count(*)::bigint as n from terms group by all),
+totals as (select count(*)::bigint as docs, sum(n)::bigint as words from sizes),
+ms as (select doc_id, 75 + (25 * n * docs) // words as m from sizes, totals),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, totals group by term, docs),
+wanted as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from wanted join tfs using (term) join weights using (term) join ms using (doc_id) group by all)
+select item_id, (row_number() over best)::int as rank, doc_id, score from scores where score > 0
+window best as (partition by item_id order by score desc, doc_id) qualify row_number() over best <= 20
+"""
+
+OP13_SQL = """
+with crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as steps),
+docs as (
+  select doc_id, coalesce(doc_id::varchar, 'null') as key, octet_length(encode(coalesce(text, '')))::bigint + 1 as size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255)::int + 1])))::bigint as text_crc32
+  from documents, crc),
+keys as (select distinct key from docs),
+leaves as (
+  select n, s, '/r' || case when s < 8 then s // 4 else s end as region, '/k' || case when s < 8 then s // 2 % 2 else 0 end as rack
+  from (select unnest([8, 9]) as n), range(9) as r(s) where s < n),
+regions as (select n, region, count(*) as weight from leaves group by all),
+racks as (select n, region, rack, count(*) as weight from leaves group by all),
+one as (
+  select key, n, arg_max(region, ln((('0x' || md5(key || '|' || region)[:13])::bigint + 0.5) / 4503599627370496.0) / weight) as region
+  from keys, regions group by key, n),
+two as (
+  select key, n, region, arg_max(rack, ln((('0x' || md5(key || '|' || region || rack)[:13])::bigint + 0.5) / 4503599627370496.0) / weight) as rack
+  from one join racks using (n, region) group by key, n, region),
+three as (
+  select key, n, region, rack, arg_max(s, ln((('0x' || md5(key || '|' || region || rack || '/' || s)[:13])::bigint + 0.5) / 4503599627370496.0)) as s
+  from two join leaves using (n, region, rack) group by key, n, region, rack)
+select doc_id, size, text_crc32, 'key' as law, now.s::int as shard,
+  row_number() over (partition by now.s order by doc_id nulls first, size, text_crc32) - 1 as slot, later.s::int as grown_shard,
+  now.region[2:] as region, now.rack[2:] as rack
+from docs join three now using (key) join three later using (key) where now.n = 8 and later.n = 9
+"""
+
+ORACLES = {"op3_mix_sources": OP3_SQL, "op2_warc_round_trip": OP2_SQL, "op12_lexical_search": OP12_SQL,
+           "op13_hash_tree_shards": OP13_SQL}
