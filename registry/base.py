@@ -28,6 +28,10 @@ FIXTURES = {
         case when l_orderkey%97=0 then cast(0 as double) else l_extendedprice end as y,
         l_quantity*cast(2000 as double)*(1-l_discount) as yhat, l_extendedprice*l_tax as std, l_returnflag as label,
         l_quantity, l_discount, l_tax from {{lineitem}}""",
+    "boosted": f"""select {ROW_KEY} as k, case when l_orderkey%10<7 then 'Train' when l_orderkey%10<9 then 'Validation' else 'Test' end as split,
+        case when l_orderkey%13=0 then null else l_quantity end as quantity, case when l_partkey%7=0 then null else l_discount end as discount,
+        l_tax as tax, l_quantity*2000*(1-l_discount)+l_extendedprice/50 as y,
+        case when l_quantity>34 then 'A' when l_discount>0.06 then 'N' else l_returnflag end as label from {{lineitem}}""",
     "probs": f"""select {ROW_KEY} as k, l_discount+0.01 as w0, l_tax+0.02 as w1, l_quantity/1000.0 as w2 from {{lineitem}}""",
     "ratings": """select c_custkey, case when c_custkey%13=0 then null else round(c_acctbal/1800.0,2) end as rating
         from {customer}""",

@@ -1,7 +1,7 @@
 """Queries over clustering, X-means, tree models and importance."""
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Window, functions as F
 
 from mlframes.functions.likelihood import bic_penalty, log_likelihood
@@ -217,51 +217,127 @@ def a24(spark, sf):
 
 # ---- supervised --------------------------------------------------------------------------------
 
-def _regression(spark, sf):
-    return fixture(spark, sf, "regression").select("k", "split", "y", "label", "l_quantity", "l_discount", "l_tax")
+def _boosted(spark, sf):
+    """Rows whose features have NULLs; the target and the classes follow from two of them, with some noise."""
+    return fixture(spark, sf, "boosted")
 
 
-def _trained(spark, sf):
-    return supervised.train_regressor(_regression(spark, sf), "y", drop=["k"], rounds=5, maxDepth=4)
+# the best first split of all features, values and sides of missing values, by the loss's second order: curvature 1 a row, penalty 1
+_STUMP = f"""{cte('boosted')}, train as (select * from boosted where split='Train'), mean as (select avg(y) as base from train),
+    g as (select quantity, discount, tax, base-y as g from train, mean), total as (select sum(g) as g, count(*) as n, sum(g*g) as spread from g),
+    bins as (select 'quantity' as f, quantity as v, sum(g) as g, count(*) as n from g group by 2
+      union all select 'discount', discount, sum(g), count(*) from g group by 2 union all select 'tax', tax, sum(g), count(*) from g group by 2),
+    lost as (select f, coalesce(sum(g) filter (v is null), 0) as g, coalesce(sum(n) filter (v is null), 0) as n from bins group by 1),
+    below as (select f, v, sum(g) over (partition by f order by v) as g, sum(n) over (partition by f order by v) as n from bins where v is not null),
+    sides as (select f, v, false as missing_left, g, n from below union all
+      select f, v, true, below.g+lost.g, below.n+lost.n from below join lost using (f) where lost.n>0),
+    best as (select f, v, missing_left, sides.g as lg, sides.n as ln, total.g-sides.g as rg, total.n-sides.n as rn, total.n, total.spread,
+        pow(sides.g,2)/(sides.n+1)+pow(total.g-sides.g,2)/(total.n-sides.n+1)-pow(total.g,2)/(total.n+1) as gain
+      from sides, total where sides.n<total.n order by gain desc limit 1)"""
 
 
-@query("m08_boosted_regression", f"""{cte('regression')} select distinct split as "set", true as rmse_at_least_mae, true as train_beats_mean from regression""")
-def m08(spark, sf):
-    scores = _trained(spark, sf).validate(_regression(spark, sf))
-    part = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    return scores.groupBy("set").agg((part("rmse") >= part("mae")).alias("rmse_at_least_mae"),
-                                     ((part("explained_variance") > 0) | (F.first("set") != "Train")).alias("train_beats_mean"))
+def _stump(spark, sf):
+    return supervised.train_regressor(_boosted(spark, sf).drop("label"), "y", drop=["k"], rounds=1, depth=1, rate=1.0)
 
 
-@query("m09_classification", f"{cte('regression')} select distinct split as \"set\", true as recall_is_accuracy from regression")
-def m09(spark, sf):
-    df = _regression(spark, sf)
-    scores = supervised.train_classifier(df, "label", drop=["k"], rounds=5, maxDepth=4).validate(df)
-    # weighted by support, recall is accuracy
-    part = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    return scores.groupBy("set").agg((F.abs(part("recall") - part("accuracy")) < 1e-9).alias("recall_is_accuracy"))
+@query("m08_first_split", f"""{_STUMP} select f as "Features", v as threshold, missing_left, n::double as cover, {rd('gain/spread')} as gain_share from best""")
+def m08s(spark, sf):
+    t = _stump(spark, sf)
+    spread = _boosted(spark, sf).where("split = 'Train'").select((F.var_pop("y") * F.count("y"))).scalar()
+    names = F.array(*[F.lit(f) for f in t.features])
+    root = t.model.nodes(spark).where("node = 0")
+    return rounded(root.select(F.get(names, F.col("feature")).alias("Features"), "threshold", "missing_left", "cover",
+                               (F.col("gain") / spread).alias("gain_share")))
 
 
-@query("m10_probabilities", f"{cte('regression')} select split, count(*) as n, true as adds_up, true as class_is_likelier from regression group by 1")
+@query("m08_boosted_regression", f"""{_STUMP}, placed as (select split, case when f='quantity' then quantity when f='discount' then discount else tax end as x,
+      base, best.* from boosted, mean, best)
+    select split, {rd('base-case when coalesce(x<=v, missing_left) then lg/(ln+1) else rg/(rn+1) end', 4)} as prediction, count(*) as n from placed group by 1, 2""")
+def m08(spark, sf):
+    scored = _stump(spark, sf).score(_boosted(spark, sf))
+    return rounded(scored.select("split", "prediction"), 4).groupBy("split", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("m08_best_round", f"""{cte('boosted')} select true as losses_match, true as kept_is_best, true as waited_for_patience, count(*) as n from boosted""")
+def m08b(spark, sf):
+    df, patience = _boosted(spark, sf).drop("label"), 5
+    t = supervised.train_regressor(df, "y", drop=["k"], rounds=30, depth=6, rate=0.9, patience=patience)
+    stages = t.model.staged(t.encode(df), t.features)
+    # the losses of the kept rounds again, from the exported predictions of every prefix
+    per_round = (stages.select("split", "y", F.posexplode("stages").alias("at", "margins"))
+                 .groupBy((F.col("at") + 1).cast("bigint").alias("round"))
+                 .agg(*[F.avg(F.when(F.col("split") == s, F.pow(F.get("margins", F.lit(0)) - F.col("y"), 2))).alias(n)
+                        for s, n in (("Train", "again_train"), ("Validation", "again_validation"))]))
+    rounds = t.model.rounds(spark).join(per_round, "round", "left")
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) / F.col(b) - 1) < 1e-9, F.lit(True))
+    return rounds.agg(F.bool_and(near("train", "again_train") & near("validation", "again_validation")).alias("losses_match"),
+                      (F.min_by("round", "validation") == t.model.best).alias("kept_is_best"),
+                      (F.max("round") == F.least(F.lit(30), F.lit(t.model.best + patience))).alias("waited_for_patience")).withColumn(
+                          "n", F.lit(stages.count()))
+
+
+def _walked(nodes, rows, depth):
+    """(k, class, sum of leaf values) by joining rows with the exported nodes, level by level."""
+    at = rows.join(F.broadcast(nodes.select("round", "class").distinct()), F.lit(True)).withColumn("node", F.lit(0))
+    for _ in range(depth):
+        inner = F.broadcast(nodes.where("feature >= 0").select("round", "class", "node", "feature", "threshold", "missing_left"))
+        x = F.get("x", F.col("feature"))
+        step = F.when(F.coalesce(x <= F.col("threshold"), F.col("missing_left")), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+        at = (at.join(inner, ["round", "class", "node"], "left")
+              .withColumn("node", F.when(F.col("feature").isNotNull(), step).otherwise(F.col("node"))).select("k", "x", "round", "class", "node"))
+    leaves = F.broadcast(nodes.where("feature < 0").select("round", "class", "node", "value"))
+    return at.join(leaves, ["round", "class", "node"]).groupBy("k", "class").agg(F.sum("value").alias("margin"))
+
+
+@query("m09_classification", f"""{cte('boosted')} select split, count(*) as n, true as adds_up, true as nodes_agree, true as class_is_likeliest,
+    true as better_than_chance from boosted group by 1""")
+def m09(spark, sf):
+    df, depth = _boosted(spark, sf).drop("y"), 4
+    t = supervised.train_classifier(df, "label", drop=["k"], rounds=5, depth=depth)
+    p = [F.get("p", F.lit(i)) for i in range(3)]
+    scored = t.score(t.score(df, probabilities=True, name="p"), name="prediction")
+    nodes = t.model.nodes(spark)
+    margins = _walked(nodes, t.encode(df).select("k", F.array(*[F.col(f) for f in t.features]).alias("x")), depth)
+    start = F.get(F.array(*[F.lit(s) for s in t.model.start]), F.col("class"))
+    e = margins.groupBy("k").agg(*[F.sum(F.when(F.col("class") == i, F.exp(F.col("margin") + start))).alias(f"e{i}") for i in range(3)])
+    both = scored.join(e, "k")
+    agree = [F.abs(F.col(f"e{i}") / (F.col("e0") + F.col("e1") + F.col("e2")) - p[i]) < 1e-9 for i in range(3)]
+    own = F.get("p", F.array_position(F.array(*[F.lit(c) for c in t.classes]), F.col("label")).cast("int") - 1)
+    chosen = F.get("p", F.array_position(F.array(*[F.lit(c) for c in t.classes]), F.col("prediction")).cast("int") - 1)
+    return both.groupBy("split").agg(F.count("*").alias("n"), (F.max(F.abs(p[0] + p[1] + p[2] - 1)) < 1e-9).alias("adds_up"),
+                                     F.bool_and(agree[0] & agree[1] & agree[2]).alias("nodes_agree"),
+                                     F.bool_and(chosen == F.array_max("p")).alias("class_is_likeliest"),
+                                     (F.avg(-F.log(own)) < F.log(F.lit(3.0))).alias("better_than_chance"))
+
+
+@query("m09_losses", "select unnest(range(1, 7)) as round, true as train_falls from (select count(*) from lineitem)")
+def m09l(spark, sf):
+    t = supervised.train_classifier(_boosted(spark, sf).drop("y"), "label", drop=["k"], rounds=6, depth=3)
+    before = F.lag("train").over(Window.orderBy("round"))  # one row per round
+    return t.model.rounds(spark).select("round", (F.col("train") < before).alias("train_falls")).where("round > 0")
+
+
+@query("m10_probabilities", f"{cte('boosted')} select split, count(*) as n, true as adds_up, true as class_is_likelier from boosted group by 1")
 def m10(spark, sf):
-    df = _regression(spark, sf).withColumn("returned", (F.col("label") == "R").cast("int")).drop("label")
-    model = supervised.train_classifier(df, "returned", drop=["k"], rounds=3, maxDepth=3)
+    df = _boosted(spark, sf).withColumn("returned", (F.col("label") == "R").cast("int")).drop("label", "y")
+    model = supervised.train_classifier(df, "returned", drop=["k"], rounds=3, depth=3)
     scored = model.score(df, probabilities=True, name="p").select("k", "split", "p").join(model.score(df).select("k", "prediction"), "k")
     p0, p1 = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return scored.groupBy("split").agg(F.count("*").alias("n"), (F.max(F.abs(p0 + p1 - 1)) < 1e-9).alias("adds_up"),
                                        F.bool_and((F.col("prediction") == 1) == (p1 > p0)).alias("class_is_likelier"))
 
 
-@query("m11_importance", "select true as totals_match, true as features_known from (select count(*) from lineitem)")
+@query("m11_importance", f"""{_STUMP} select f as "Features", 1.0::double as weight_type, n::double as cover_type, n::double as total_cover_type,
+    {rd('gain/spread')} as gain_share, {rd('gain/spread')} as total_gain_share from best""")
 def m11(spark, sf):
-    t = _trained(spark, sf)
+    t = _stump(spark, sf)
     nodes = supervised.tree_nodes(t.model, shared_path(spark, "trees"), spark)
-    kinds = [supervised.feature_importance(nodes, t.features, k) for k in ("weight", "gain", "total_gain", "cover", "total_cover")]
-    both = kinds[0]
-    for k in kinds[1:]:
-        both = both.join(k, "Features")
-    match = lambda k: F.max(F.abs(F.col(f"total_{k}_type") / (F.col(f"{k}_type") * F.col("weight_type")) - 1)) < 1e-9
-    return both.agg((match("gain") & match("cover")).alias("totals_match"), F.bool_and(F.col("Features").isin(t.features)).alias("features_known"))
+    both = supervised.feature_importance(nodes, t.features, "weight")
+    for kind in ("cover", "total_cover", "gain", "total_gain"):
+        both = both.join(supervised.feature_importance(nodes, t.features, kind), "Features")
+    spread = _boosted(spark, sf).where("split = 'Train'").select((F.var_pop("y") * F.count("y"))).scalar()
+    return rounded(both.select("Features", "weight_type", "cover_type", "total_cover_type", (F.col("gain_type") / spread).alias("gain_share"),
+                               (F.col("total_gain_type") / spread).alias("total_gain_share")))
 
 
 def _scores(spark, sf):
@@ -284,22 +360,33 @@ def o03(spark, sf):
 
 
 def _classifiers(spark, sf):
-    df = fixture(spark, sf, "regression").withColumn("returned", (F.col("label") == "R").cast("int"))
-    both = {"tree": DecisionTreeClassifier(maxDepth=4), "logistic": LogisticRegression(maxIter=10)}
-    return df, supervised.Classifiers(both, ["l_quantity", "l_discount", "l_tax", "y"], "returned").train(df)
-
-
-@query("m12_classifiers", f"""{cte('regression')}, c as (select avg((label='R')::int) as r from regression)
-    select unnest(['tree', 'logistic']) as "Classifier", true as no_worse_than_one_class from c""")
+    df = _boosted(spark, sf).withColumn("returned", (F.col("label") == "R").cast("int"))
+    both = {"tree": DecisionTreeClassifier(maxDepth=1, maxBins=128), "logistic": LogisticRegression(maxIter=10)}
+    return df, supervised.Classifiers(both, ["quantity", "discount", "tax"], "returned").train(df)
+
+
+# accuracy of the best single split by Gini impurity, missing values on either side
+@query("m12_classifiers", f"""{cte('boosted')}, d as (select *, (label='R')::int as r from boosted), total as (select count(*) as n, sum(r) as r from d),
+    bins as (select 'quantity' as f, quantity as v, sum(r) as r, count(*) as n from d group by 2 union all select 'discount', discount, sum(r), count(*) from d group by 2
+      union all select 'tax', tax, sum(r), count(*) from d group by 2),
+    lost as (select f, coalesce(sum(r) filter (v is null), 0) as r, coalesce(sum(n) filter (v is null), 0) as n from bins group by 1),
+    below as (select f, v, sum(r) over (partition by f order by v) as r, sum(n) over (partition by f order by v) as n from bins where v is not null
+      union all select f, -1e9, 0, 0 from lost),
+    sides as (select f, v, r, n from below union all select f, v, below.r+lost.r, below.n+lost.n from below join lost using (f)),
+    cuts as (select s.r, s.n, t.r-s.r as rr, t.n-s.n as rn, t.n as nn from sides s, total t where s.n>0 and s.n<t.n),
+    best as (select * from cuts order by r*(n-r)::double/n+rr*(rn-rr)::double/rn limit 1)
+    select 'tree' as "Classifier", {rd('(greatest(r,n-r)+greatest(rr,rn-rr))/nn::double')} as "Test Accuracies", true as no_worse_than_one_class from best
+    union all select 'logistic', null, true""")
 def m12(spark, sf):
     df, models = _classifiers(spark, sf)
     accuracy = metrics.accuracy_table(models.score(df), "returned", models.predictions())
     share = F.avg("returned")
     common = df.select(F.greatest(share, 1 - share)).scalar()
-    return accuracy.select("Classifier", (F.col("Test Accuracies") >= common - 0.01).alias("no_worse_than_one_class"))
+    return rounded(accuracy.select("Classifier", F.when(F.col("Classifier") == "tree", F.col("Test Accuracies")).alias("Test Accuracies"),
+                                   (F.col("Test Accuracies") >= common - 0.01).alias("no_worse_than_one_class")))
 
 
-@query("m13_classifier_curves", f"{cte('regression')} select unnest(['tree', 'logistic']) as model, true as no_worse_than_chance from (select count(*) from regression)")
+@query("m13_classifier_curves", f"{cte('boosted')} select unnest(['tree', 'logistic']) as model, true as no_worse_than_chance from (select count(*) from boosted)")
 def m13c(spark, sf):
     df, models = _classifiers(spark, sf)
     long = curves.model_scores(models.score(df), "returned", models.probabilities())
@@ -309,12 +396,24 @@ def m13c(spark, sf):
 _U = "(('0x' || substr(md5('{seed}:' || k), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
-@query("a25_learning_curve", f"""{cte('regression')}, h as (select floor({_U.format(seed=42)}*3)::int as fold, {_U.format(seed=43)} as u from regression),
-    n as (select s, f, count(*) filter (fold=f) as v, count(*) filter (fold<>f and u<s) as t
-      from h, unnest([0.1::double, 0.55::double, 1.0::double]) a(s), range(3) b(f) group by 1,2)
-    select s as size, 'validation' as "set", {rd('avg(v)')} as "rows", true as is_loss from n group by 1
-    union all select s, 'train', {rd('avg(t)')}, true from n group by 1""")
+# a constant feature, so every fit predicts the mean of its training rows and SQL knows each score
+@query("a25_learning_curve", f"""{cte('boosted')}, h as (select y, floor({_U.format(seed=42)}*3)::int as fold, {_U.format(seed=43)} as u from boosted),
+    sized as (select s, f, y, fold=f as held, fold<>f and u<s as used from h,
+      unnest([0.1::double, 0.325::double, 0.55::double, 0.775::double, 1.0::double]) a(s), range(3) b(f)),
+    means as (select s, f, avg(y) as m from sized where used group by 1, 2),
+    scores as (select s, f, case when held then 'validation' else 'train' end as "set", count(*) as n, -avg(abs(y-m)) as score
+      from sized join means using (s, f) where held or used group by 1, 2, 3)
+    select s as size, "set", {rd('avg(n)')} as "rows", {rd('avg(score)', 4)} as mean, {rd('stddev_pop(score)', 4)} as std from scores group by 1, 2""")
 def a25(spark, sf):
-    df = _regression(spark, sf)
-    curve = supervised.learning_curve(df, ["l_quantity", "l_discount", "l_tax"], "y", "k", LinearRegression(maxIter=5), sizes=[0.1, 0.55, 1.0])
-    return rounded(curve.select("size", "set", "rows", ((F.col("mean") < 0) & (F.col("std") >= 0)).alias("is_loss")))
+    df = _boosted(spark, sf).withColumn("one", F.lit(1.0))
+    return rounded(rounded(supervised.learning_curve(df, ["one"], "y", "k", LinearRegression())).withColumns(
+        {c: F.round(c, 4) for c in ("mean", "std")}))
+
+
+@query("a25_learning_curve_missing", f"""{cte('boosted')} select unnest([0.5::double, 1.0::double]) as size, true as beats_the_mean
+    from (select count(*) from boosted)""")
+def a25m(spark, sf):
+    df = _boosted(spark, sf)
+    curve = supervised.learning_curve(df, ["quantity", "discount", "tax"], "y", "k", DecisionTreeRegressor(maxDepth=4), sizes=[0.5, 1.0])
+    spread = df.select(F.avg(F.abs(F.col("y") - df.select(F.avg("y")).scalar()))).first()[0]
+    return curve.where("set = 'validation'").select("size", (F.col("mean") > -spread / 2).alias("beats_the_mean"))
