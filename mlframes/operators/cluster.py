@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +12,7 @@ from pyspark.sql.types import NumericType
 from pyspark.storagelevel import StorageLevel
 
 from mlframes.functions.hashing import hash52
+from mlframes.operators.starts import Clusters, best_of_starts
 from mlframes.plans.joins import attach_small, join_on
 from mlframes.plans.ranks import first_per_key, with_share
 
@@ -32,8 +32,8 @@ def vectors(df: DataFrame, features=None, id_col: str | None = None) -> DataFram
 
 
 def fit_kmeans(df: DataFrame, k: int, features=None, id_col: str | None = None, n_init: int = N_INIT,
-               max_iter: int = MAX_ITER, seed: int = SEED) -> KMeansModel:
-    """The cheapest of ``n_init`` runs."""
+               max_iter: int = MAX_ITER, seed: int = SEED) -> Clusters:
+    """The cheapest of ``n_init`` runs, all in the same passes."""
     data = vectors(df, features, id_col).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return best_of(data, k, n_init, max_iter, seed)
@@ -41,25 +41,24 @@ def fit_kmeans(df: DataFrame, k: int, features=None, id_col: str | None = None,
         data.unpersist()
 
 
-def best_of(data: DataFrame, k: int, n_init: int, max_iter: int = MAX_ITER, seed: int = SEED) -> KMeansModel:
+def best_of(data: DataFrame, k: int, n_init: int, max_iter: int = MAX_ITER, seed: int = SEED) -> Clusters:
     """The cheapest of several runs on a cached frame with a ``features`` column."""
-    runs = (KMeans(k=k, maxIter=max_iter, seed=seed + i, predictionCol="cluster").fit(data) for i in range(n_init))
-    return min(runs, key=lambda m: m.summary.trainingCost)
+    return best_of_starts(data, [k], n_init, max_iter, seed)[k]
 
 
 def fit_many(df: DataFrame, ks, features=None, id_col: str | None = None, n_init: int = N_INIT,
              max_iter: int = MAX_ITER, seed: int = SEED):
-    """(models by k in ascending order, table (k, cost)); the data is cached once for all."""
+    """(models by k in ascending order, table (k, cost)); all ks and starts share the passes over the cached data."""
     data = vectors(df, features, id_col).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = {k: best_of(data, k, n_init, max_iter, seed) for k in sorted({int(k) for k in ks})}
+        models = best_of_starts(data, sorted({int(k) for k in ks}), n_init, max_iter, seed)
     finally:
         data.unpersist()
     costs = [(k, float(m.summary.trainingCost)) for k, m in models.items()]
     return models, df.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
-def centroids(model: KMeansModel, features, spark: SparkSession) -> DataFrame:
+def centroids(model: Clusters, features, spark: SparkSession) -> DataFrame:
     """(cluster, feature, value)."""
     rows = [(i, f, float(v)) for i, c in enumerate(model.clusterCenters()) for f, v in zip(features, c)]
     return spark.createDataFrame(rows, "cluster int, feature string, value double")
@@ -189,7 +188,7 @@ def choose_k(models: dict, costs: DataFrame):
 
 # ---- assignment and reports --------------------------------------------------------------------
 
-def predict(model: KMeansModel, df: DataFrame, id_col: str, features=None) -> DataFrame:
+def predict(model: Clusters, df: DataFrame, id_col: str, features=None) -> DataFrame:
     """(id, cluster). The id rides along, so nothing is matched by position."""
     if id_col not in df.columns:
         raise ValueError(f"no id column {id_col!r}: rows have no position to match them by")
@@ -213,7 +212,7 @@ def cluster_report(predictions: DataFrame, data: DataFrame, id_col: str, order=(
     return detail, with_share(summary, "cluster_count", "cluster_precentage")
 
 
-def model_report(model: KMeansModel, n_features: int, n_samples: int, spark: SparkSession, id_col: str | None = None,
+def model_report(model: Clusters, n_features: int, n_samples: int, spark: SparkSession, id_col: str | None = None,
                  bucket: str | None = None, folder: str | None = None) -> DataFrame:
     """One row describing a trained model, to be appended to a report table."""
     row = (bucket, folder, len(model.clusterCenters()), n_features, n_samples, id_col, float(model.summary.trainingCost))

@@ -53,34 +53,55 @@ def _invariants(array: str) -> str:
         f"{d} * {a} * {f} - {c} * {b} * {g}"]) + ")"
 
 
+#: Side of the tiles that sums are formed in: powers of a pixel's place in its tile are small whole numbers, so the sums are exact.
+TILE = 256
+
+
 def region_properties(px: DataFrame, gray: str = "bgr") -> DataFrame:
-    """One row per segment with its moment, ellipse and intensity properties, from one aggregation.
+    """One row per segment with its moment, ellipse and intensity properties.
 
-    Sums of ``row^p * col^q`` combine before the shuffle and are moved to the bounding box and the
-    centroid afterwards. Moment arrays hold the orders of ``ORDERS``. ``gray`` picks the luma order.
+    Sums of ``row^p * col^q`` are formed per segment and tile, about the tile's corner, and combine before the shuffle. A
+    tile's few numbers then move to the corner of the segment's bounding box, where they add up. So neither the place of a
+    segment in a large image costs digits, nor does a huge segment gather in one task. Moment arrays hold the orders of
+    ``ORDERS``. ``gray`` picks the luma order.
     """
-    px = px.select(*KEYS, "row", "col", "red", "green", "blue", F.col("row").cast("double").alias("__r"),
-                   F.col("col").cast("double").alias("__c"), colour.gray(gray).alias("__g"))
+    px = px.select(*KEYS, "row", "col", "red", "green", "blue", F.expr(f"floor(row / {TILE})").alias("__tr"),
+                   F.expr(f"floor(col / {TILE})").alias("__tc"), colour.gray(gray).alias("__g"))
+    px = px.withColumns({"__r": F.expr(f"cast(row - __tr * {TILE} as double)"), "__c": F.expr(f"cast(col - __tc * {TILE} as double)")})
     bands = {"gray": "__g", "red": "red", "green": "green", "blue": "blue"}
-    sums = [F.expr(f"sum({_power('__r', p)} * {_power('__c', q)}) as __m{p}{q}") for p, q in ORDERS]
-    sums += [F.expr(f"sum(__g * {_power('__r', p)} * {_power('__c', q)}) as __w{p}{q}") for p, q in ORDERS]
-    s = px.groupBy(*KEYS).agg(
-        F.count("*").alias("area"), F.min("row").alias("__top"), F.max("row").alias("__bottom"),
+    sums = [F.expr(f"sum({_power('__r', p)} * {_power('__c', q)}) as __t{p}{q}") for p, q in ORDERS]
+    sums += [F.expr(f"sum(__g * {_power('__r', p)} * {_power('__c', q)}) as __v{p}{q}") for p, q in ORDERS]
+    tiles = px.groupBy(*KEYS, "__tr", "__tc").agg(
+        F.count("*").alias("__n"), F.min("row").alias("__top"), F.max("row").alias("__bottom"),
         F.min("col").alias("__left"), F.max("col").alias("__right"), *sums,
-        *[f(b).alias(f"{name}_{stat}_intensity") for name, b in bands.items()
-          for stat, f in (("max", F.max), ("mean", F.avg), ("min", F.min))])
+        *[f(b).alias(f"__{name}_{stat}") for name, b in bands.items()
+          for stat, f in (("max", F.max), ("min", F.min), ("sum", F.sum), ("count", F.count))])
+    whole = Window.partitionBy(*KEYS)
+    # how far the segment's box lies behind the tile's corner
+    tiles = tiles.withColumns({"__dr": (F.min("__top").over(whole) - F.col("__tr") * TILE).cast("double"),
+                               "__dc": (F.min("__left").over(whole) - F.col("__tc") * TILE).cast("double")})
+    for kind, prefix in (("m", "__t"), ("w", "__v")):
+        tiles = tiles.withColumn(f"__{kind}", F.expr(_about(prefix, "__dr", "__dc")))
+    s = tiles.groupBy(*KEYS).agg(
+        F.sum("__n").alias("area"), F.min("__top").alias("__top"), F.max("__bottom").alias("__bottom"),
+        F.min("__left").alias("__left"), F.max("__right").alias("__right"),
+        *[F.sum(F.col(f"__{kind}")[i]).alias(f"__{kind}{p}{q}") for kind in "mw" for i, (p, q) in enumerate(ORDERS)],
+        *[c for name in bands for c in (
+            F.max(f"__{name}_max").alias(f"{name}_max_intensity"),
+            F.try_divide(F.sum(f"__{name}_sum"), F.sum(f"__{name}_count")).alias(f"{name}_mean_intensity"),
+            F.min(f"__{name}_min").alias(f"{name}_min_intensity"))])
     s = s.selectExpr(
         "*", "segment as label", "array(__top, __left, __bottom + 1, __right + 1) as bbox",
         "cast((__bottom - __top + 1) * (__right - __left + 1) as bigint) as bbox_area",
         "cast(__top as double) as __r0", "cast(__left as double) as __c0",
-        "__m10 / area as centroid_y", "__m01 / area as centroid_x",
+        "__m10 / area as local_centroid_y", "__m01 / area as local_centroid_x",
         "try_divide(__w10, __w00) as __wy", "try_divide(__w01, __w00) as __wx")
     s = s.selectExpr(
         "*", "area / bbox_area as extent", f"sqrt(area * {4 / math.pi!r}D) as equivalent_diameter",
-        "centroid_y - __r0 as local_centroid_y", "centroid_x - __c0 as local_centroid_x",
-        "array(__wy, __wx) as weighted_centroid", "array(__wy - __r0, __wx - __c0) as weighted_local_centroid",
-        f"{_about('__m', '__r0', '__c0')} as moments", f"{_about('__m', 'centroid_y', 'centroid_x')} as moments_central",
-        f"{_about('__w', '__r0', '__c0')} as weighted_moments", f"{_about('__w', '__wy', '__wx')} as weighted_moments_central")
+        "__r0 + local_centroid_y as centroid_y", "__c0 + local_centroid_x as centroid_x",
+        "array(__r0 + __wy, __c0 + __wx) as weighted_centroid", "array(__wy, __wx) as weighted_local_centroid",
+        f"{_about('__m', '0D', '0D')} as moments", f"{_about('__m', 'local_centroid_y', 'local_centroid_x')} as moments_central",
+        f"{_about('__w', '0D', '0D')} as weighted_moments", f"{_about('__w', '__wy', '__wx')} as weighted_moments_central")
     mu = {o: _entry("moments_central", *o) for o in ((0, 0), (0, 2), (1, 1), (2, 0))}
     s = s.selectExpr(
         "*", f"{_normalised('moments_central')} as moments_normalized", f"{_normalised('weighted_moments_central')} as __wn",

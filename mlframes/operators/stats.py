@@ -5,12 +5,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from mlframes.functions.arrays import argmax_column
 from mlframes.functions.bins import equal_width_bin
-from mlframes.functions.hashing import uniform
 from mlframes.functions.nulls import clean
 from mlframes.plans.joins import attach_small
 from mlframes.plans.ranks import dense_codes, with_share
@@ -168,36 +168,53 @@ def fit_line(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
 
 
 # Cumulative probabilities of a Poisson count with mean 1.
-POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(16)]
+
+
+def _poisson(rows: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """A Poisson count for every row and replicate, from a hash of both (the finaliser of SplitMix64)."""
+    x = rows[:, None] + replicates[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0 ** 53
+    return np.searchsorted(POISSON_CDF, u, "right").astype(float)
 
 
 def fit_band(df: DataFrame, x: str, y: str, key, ci: float = 80.0, points: int = 100, replicates: int = 1000,
-             buckets: int = 1000, seed: int = 42) -> DataFrame:
+             seed: int = 42) -> DataFrame:
     """(x, fit, low, high): bootstrap confidence band of the fitted line on a grid over x.
 
-    Rows are hashed into buckets whose sums are formed in one pass over the data; the bootstrap draws
-    buckets, so its cost does not depend on the number of rows.
+    Every row takes part in every replicate with a Poisson weight from a hash of its key. A task adds weighted sums of the
+    deviations from the means, which large values do not cancel, and only one row per task and replicate is shuffled.
+    Rows that share a key share their weights, so a key should tell rows apart, or name groups to draw together.
     """
     keys = [key] if isinstance(key, str) else list(key)
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    kept = df.where(a.isNotNull() & b.isNotNull())
-    sums = kept.groupBy(F.floor(uniform(seed, *keys) * buckets).alias("bucket")).agg(
-        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"),
-        F.sum(a * b).alias("sxy"), F.min(a).alias("lo"), F.max(a).alias("hi"))
-    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = uniform(seed + 1, "bucket", "replicate")
-    weight = sum(((u >= p).cast("int") for p in POISSON_CDF[1:]), (u >= POISSON_CDF[0]).cast("int"))
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, F.lit(1)).otherwise(weight))  # 0: the fit itself
-    fits = drawn.groupBy("replicate").agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")],
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    slope = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"),
-                         F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fits = fits.withColumn("slope", slope).withColumn(
-        "intercept", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("n")))
-    grid = fits.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    at = F.col("intercept") + F.col("slope") * F.col("x")
+    kept = df.where(a.isNotNull() & b.isNotNull()).select(F.xxhash64(F.lit(seed), *keys).alias("row"), a.alias("x"), b.alias("y"))
+    mean_x, mean_y, low, high = kept.agg(F.avg("x"), F.avg("y"), F.min("x"), F.max("x")).first()
+    names = ["n", "sx", "sy", "sxx", "sxy"]
+
+    def added(batches):
+        number = np.arange(1, replicates + 1, dtype=np.uint64)
+        sums = np.zeros((replicates + 1, len(names)))  # 0: the fit itself
+        for batch in batches:
+            row, dx, dy = (c.to_numpy() for c in batch.columns)
+            dx, dy = dx - mean_x, dy - mean_y
+            values = np.column_stack([np.ones(len(dx)), dx, dy, dx * dx, dx * dy])
+            sums[0] += values.sum(0)
+            for start in range(0, len(dx), 1024):
+                weights = _poisson(row[start:start + 1024].view(np.uint64), number)
+                sums[1:] += weights.T @ values[start:start + 1024]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates + 1)), *[pa.array(c) for c in sums.T.copy()]], names=["replicate", *names])
+
+    parts = kept.mapInArrow(added, "replicate bigint, " + ", ".join(f"{c} double" for c in names))
+    fits = parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]).where("n > 0")
+    # each replicate's own means are near the overall ones, so this last step cancels little
+    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
+    fits = fits.withColumn("slope", slope).withColumn("level", F.lit(mean_y) + (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
+    at = F.lit(low) + (F.lit(high) - F.lit(low)) * F.col("i") / (points - 1)
+    grid = fits.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at)
+    at = F.col("level") + F.col("slope") * (F.col("x") - F.lit(mean_x))
     side = (100.0 - ci) / 200.0
     resampled = F.when(F.col("replicate") > 0, at)
     return grid.groupBy("i").agg(

@@ -1,6 +1,6 @@
 """X-means (Pelleg and Moore, 2000): k-means that finds its own k by the BIC."""
 
-from pyspark.ml.clustering import KMeansModel
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -8,6 +8,7 @@ from pyspark.storagelevel import StorageLevel
 
 from mlframes.functions.likelihood import bic_penalty, log_likelihood
 from mlframes.operators.cluster import SEED, best_of, vectors
+from mlframes.operators.starts import Clusters, drawn_points, plus_plus, settle
 from mlframes.plans.joins import join_on
 
 PARTS = 2  # fixed value: parts a cluster is split into
@@ -36,32 +37,26 @@ def bic_round(df: DataFrame, n_features: int, cluster: str = "cluster", part: st
     return out.withColumn("split", F.col("bic_before") < F.col("bic_after"))
 
 
-def split_clusters(assigned: DataFrame, cluster: str = "cluster", max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
-    """Add ``part`` (0 or 1): every cluster cut in two by 2-means, all clusters in the same passes.
+def split_clusters(assigned: DataFrame, cluster: str = "cluster", max_iter: int = 1000, n_init: int = 10, seed: int = SEED) -> DataFrame:
+    """Add ``part`` (0 or 1): every cluster cut in two by the cheapest of ``n_init`` runs of 2-means, all clusters and runs in
+    the same passes.
 
-    The first centres of a cluster lie one deviation to either side of its mean along its widest
-    dimension. A pass is one aggregate by (cluster, part); at most two centres per cluster come back.
+    The first run of a cluster starts one deviation to either side of its mean along its widest feature, the others from
+    points drawn by k-means++.
     """
+    points = assigned.select(F.col(cluster).cast("int").alias("group"), vector_to_array("features").alias("point"))
     summary = Summarizer.metrics("mean", "variance").summary(F.col("features"))
-    centres = {}
-    for r in assigned.groupBy(cluster).agg(summary.alias("s")).collect():
-        mean, variance = r["s"]["mean"].toArray(), r["s"]["variance"].toArray()
-        widest = int(variance.argmax())
-        step = mean * 0
-        step[widest] = variance[widest] ** 0.5
-        centres[r[cluster]] = [mean - step, mean + step]
-    placed = assigned
-    for _ in range(max_iter):
-        placed = _nearer(assigned, centres, cluster)
-        moved = placed.groupBy(cluster, "part").agg(Summarizer.mean(F.col("features")).alias("m")).collect()
-        shift = 0.0
-        for r in moved:
-            new, old = r["m"].toArray(), centres[r[cluster]][r["part"]]
-            shift = max(shift, float(abs(new - old).max()))
-            centres[r[cluster]][r["part"]] = new
-        if shift <= tol:
-            return placed
-    raise RuntimeError(f"2-means not settled after {max_iter} passes")
+    drawn, starts = drawn_points(points, "group", 200), []
+    for r in assigned.groupBy(F.col(cluster).cast("int").alias("group")).agg(summary.alias("s")).collect():  # one row per cluster
+        mean, variance = r["s"]["mean"].toArray(), np.nan_to_num(r["s"]["variance"].toArray())
+        step = np.where(np.arange(len(mean)) == variance.argmax(), variance.max() ** 0.5, 0.0)
+        starts.append((r["group"], np.array([mean - step, mean + step])))
+        starts += [(r["group"], plus_plus(drawn[r["group"]], PARTS, np.random.default_rng([seed, i, r["group"]]))) for i in range(1, n_init)]
+    best = {}
+    for (group, _), found in zip(starts, settle(points, starts, max_iter)):
+        if group not in best or found.cost < best[group].cost:
+            best[group] = found
+    return _nearer(assigned, {g: c.centres for g, c in best.items()}, cluster)
 
 
 def _nearer(assigned: DataFrame, centres: dict, cluster: str) -> DataFrame:
@@ -75,7 +70,7 @@ def _nearer(assigned: DataFrame, centres: dict, cluster: str) -> DataFrame:
 
 
 def fit_xmeans(df: DataFrame, features=None, id_col: str | None = None, kmax: int = 50, max_rounds: int = 100,
-               n_init: int = 10, max_iter: int = 300, seed: int = SEED) -> tuple[KMeansModel, list[int]]:
+               n_init: int = 10, max_iter: int = 1000, seed: int = SEED) -> tuple[Clusters, list[int]]:
     """(model, k of each round). From k = 2, k grows by the clusters whose BIC rises when cut in two, until none
     does or ``kmax`` is reached; the model has the k of the last round before growth."""
     if kmax < 1:
@@ -88,7 +83,7 @@ def fit_xmeans(df: DataFrame, features=None, id_col: str | None = None, kmax: in
             rounds.append(k)
             model = best_of(data, k, n_init, max_iter, seed)
             assigned = model.transform(data).persist(StorageLevel.MEMORY_AND_DISK)
-            grown = bic_round(split_clusters(assigned), n_features).where("split").count()
+            grown = bic_round(split_clusters(assigned, n_init=n_init, max_iter=max_iter, seed=seed), n_features).where("split").count()
             assigned.unpersist()
             k += grown
             if grown == 0 or k >= kmax:

@@ -5,19 +5,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mlframes.operators.columns import stack
+from mlframes.operators.encode import NUMBER
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None, schema=None) -> DataFrame:
     """A CSV or JSON table by its suffix; ``sep`` reads any file as delimited text.
 
-    Without a schema the types are inferred, which reads the file once more. JSON is one value per line where the
-    first line holds a whole object, else one document (such as an array) per file.
+    Without a schema the types are inferred, which reads the file once more. A JSON file whose first line holds a whole
+    object or array has one value per line; any other is one document. Each file of a folder is read in its own form.
     """
     if sep is None and path.endswith(".json"):
-        first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").first()
-        lines = first is not None and first["v"].startswith("{") and first["v"].endswith("}")
-        reader = spark.read.options(multiLine=not lines, mode="FAILFAST")
-        return (reader.schema(schema) if schema else reader).json(path)
+        first = _first_lines(spark, path).select("path", F.trim("first").alias("v"))
+        lines = F.col("v").rlike(r"(?s)^(\{.*\}|\[.*\])$")
+        forms = {r["lines"]: r["paths"] for r in first.groupBy(lines.alias("lines")).agg(F.collect_list("path").alias("paths")).collect()}
+        read = [(reader.schema(schema) if schema else reader).json(sorted(paths)) for form, paths in sorted(forms.items())
+                for reader in [spark.read.options(multiLine=not form, mode="FAILFAST")]]
+        return stack(*read) if read else spark.read.schema(schema or "value string").json(path)
     if sep is None and not path.endswith(".csv"):
         raise ValueError(f"not a .csv or .json path: {path}; pass sep for other delimited text")
     return _csv(spark, path, sep or ",", schema)
@@ -28,25 +31,58 @@ def _csv(spark, path, sep=",", schema=None):
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def _first_lines(spark: SparkSession, paths) -> DataFrame:
+    """(path, first): the first line of each file that is not blank."""
+    lines = spark.read.text(paths).select(
+        "value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"))
+    return lines.where("start = 0 and trim(value) <> ''").groupBy("path").agg(F.min_by("value", "line").alias("first"))
+
+
+#: What a column of text may be read as, narrowest first, and the form its values must have; anything else stays text.
+TYPES = {"bigint": r"^\s*[+-]?\d+\s*$", "double": NUMBER, "boolean": r"^(?i:true|false)$", "date": r"^\d{4}-\d{2}-\d{2}$",
+         "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"}
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns as the first of ``TYPES`` that every value of the whole table fits, found by one aggregate. Whole numbers
+    beside fractions become doubles, and numbers beside words stay text."""
+    if not df.columns:
+        return df
+    fits = []
+    for i, c in enumerate(df.columns):
+        text = F.col(f"`{c}`")
+        fits += [F.coalesce(F.bool_and(text.isNull() | text.rlike(form) & F.trim(text).try_cast(t).isNotNull()), F.lit(True)).alias(f"{i}_{t}")
+                 for t, form in TYPES.items()]
+        fits.append(F.count(text).alias(f"n{i}"))
+    row = df.agg(*fits).first()
+    kinds = [next((t for t in TYPES if row[f"n{i}"] and row[f"{i}_{t}"]), "string") for i in range(len(df.columns))]
+    return df.select(*[(F.trim(F.col(f"`{c}`")) if t != "string" else F.col(f"`{c}`")).cast(t).alias(c) for c, t in zip(df.columns, kinds)])
+
+
+def _csv_files(spark: SparkSession, paths, sep: str) -> DataFrame | None:
+    """Files with any headers as one table, columns matched by name and typed over all files; None without a row."""
+    first = _first_lines(spark, paths)
+    groups = first.groupBy("first").agg(F.collect_list("path").alias("paths")).collect()  # one row per distinct header
+    read = [spark.read.options(header=True, sep=sep, inferSchema=False).csv(sorted(g["paths"])) for g in sorted(groups, key=lambda g: g["first"])]
+    return _typed(stack(*read)) if read else None
+
+
 def read_csv_folder(spark: SparkSession, pattern: str, sep: str = ",") -> DataFrame:
     """Every CSV under a pattern as one table, columns matched by name.
 
-    A single read would match columns by position, so files are grouped by their header line first. The
-    headers are found in one distributed pass; one read per distinct header follows.
+    A single read would match columns by position, so files are grouped by their header line: one distributed pass finds the
+    headers, one read per distinct header gives text, and one aggregate over all of it decides the types.
     """
     try:
-        lines = spark.read.text(pattern).select(
-            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("line"))
-        first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-        groups = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+        table = _csv_files(spark, pattern, sep)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no files match {pattern}") from e
         raise
-    if not groups:
+    if table is None:
         raise FileNotFoundError(f"no rows under {pattern}")
-    return stack(*[_csv(spark, sorted(g["paths"]), sep) for g in sorted(groups, key=lambda g: g["header"])])
+    return table
 
 
 def existing_paths(spark: SparkSession, paths) -> tuple[list[str], list[str]]:
@@ -62,7 +98,7 @@ def read_objects(spark: SparkSession, folder: str, names, sep: str = ",") -> tup
     """(one table of the named objects that exist, the names that do not), read in place."""
     paths = {f"{folder.rstrip('/')}/{n}": n for n in names}
     present, absent = existing_paths(spark, paths)
-    table = stack(*[_csv(spark, p, sep) for p in present]) if present else None
+    table = _csv_files(spark, present, sep) if present else None
     return table, [paths[p] for p in absent]
 
 

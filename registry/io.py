@@ -50,6 +50,29 @@ def s03(spark, sf):
     return rounded(out.withColumn("c_custkey", F.col("c_custkey").cast("bigint")))
 
 
+@query("s02_read_json_mixed", _CUSTOMERS)
+def s02_mixed(spark, sf):
+    # files of JSON lines and of one array each, in one folder
+    path, rows = shared_path(spark, "json") + ".json", _customers(spark, sf)
+    rows.where("c_custkey % 3 = 0").write.json(path)
+    rows.where("c_custkey % 3 <> 0").groupBy(F.pmod("c_custkey", F.lit(4)).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).drop("part").write.mode("append").text(path)
+    return rounded(tables.read_table(spark, path))
+
+
+@query("s03_read_csv_folder_types", f"""select c_custkey, {rd("case when c_custkey%3=0 then c_custkey else c_acctbal end")} as amount,
+    case when c_custkey%2=0 then c_custkey::varchar else c_mktsegment end as mixed from customer""")
+def s03_types(spark, sf):
+    # whole numbers in some files and fractions in others, numbers here and words there
+    path, df = shared_path(spark, "folder"), _customers(spark, sf)
+    for i in range(6):
+        amount = F.col("c_custkey").cast("string") if i % 3 == 0 else F.col("c_acctbal").cast("string")
+        mixed = F.col("c_custkey").cast("string") if i % 2 == 0 else F.col("c_mktsegment")
+        part = df.where(F.col("c_custkey") % 6 == i).select("c_custkey", amount.alias("amount"), mixed.alias("mixed"))
+        part.select(*(part.columns if i < 3 else part.columns[::-1])).write.option("header", True).csv(f"{path}/{i}")
+    return rounded(tables.read_csv_folder(spark, f"{path}/*/*.csv").select("c_custkey", "amount", "mixed"))
+
+
 @query("s04_read_objects", "select c_custkey, c_mktsegment from customer")
 def s04(spark, sf):
     path, df = shared_path(spark, "objects"), _customers(spark, sf).select("c_custkey", "c_mktsegment")

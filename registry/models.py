@@ -34,7 +34,7 @@ def _centres(spark, model):
 @query("k01_kmeans", "select 10 as k, count(*) as n_points, true as cost_is_inertia from embeddings")
 def k01(spark, sf):
     df = _spread(spark, sf)
-    model = cluster.fit_kmeans(df, 10, id_col="id", n_init=3, max_iter=50)
+    model = cluster.fit_kmeans(df, 10, id_col="id")
     placed = cluster.predict(model, df, "id").join(_points(spark, sf), "id")
     again = cluster.inertia(placed, "cluster", "embedding", _centres(spark, model)).withColumn("n_points", F.lit(df.count()))
     return again.select(F.lit(len(model.clusterCenters())).alias("k"), "n_points",
@@ -43,7 +43,7 @@ def k01(spark, sf):
 
 @query("k02_kmeans_many", """select unnest([2, 5, 8]) as k, true as cost_falls from (select count(*) from embeddings)""")
 def k02(spark, sf):
-    costs = cluster.fit_many(_spread(spark, sf), [8, 2, 5], id_col="id", n_init=2, max_iter=30)[1]
+    costs = cluster.fit_many(_spread(spark, sf), [8, 2, 5], id_col="id")[1]
     before = F.lag("cost").over(Window.orderBy("k"))
     return costs.select("k", F.coalesce(F.col("cost") < before, F.lit(True)).alias("cost_falls"))
 
@@ -81,7 +81,7 @@ def k04s(spark, sf):
 @query("k05_predict", "select vec_id as id, true as nearest from embeddings")
 def k05(spark, sf):
     df = _spread(spark, sf)
-    model = cluster.fit_kmeans(df, 10, id_col="id", n_init=1, max_iter=30)
+    model = cluster.fit_kmeans(df, 10, id_col="id")
     # the assigned centre is as near as any
     apart = F.expr("aggregate(zip_with(embedding, centre, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)")
     placed = cluster.predict(model, df, "id").join(_points(spark, sf), "id")
@@ -90,21 +90,39 @@ def k05(spark, sf):
     return near.groupBy("id").agg((F.min(F.when(F.col("other") == F.col("cluster"), apart)) <= F.min(apart) + 1e-9).alias("nearest"))
 
 
-@query("k06_choose_k", "select 6 as n_candidates, true as knee_is_candidate from (select count(*) from embeddings)")
+@query("k06_choose_k", "select 6 as n_candidates, true as costs_are_inertia, true as falls, true as chosen_is_knee from (select count(*) from embeddings)")
 def k06(spark, sf):
-    models, costs = cluster.fit_many(_spread(spark, sf), range(2, 13, 2), id_col="id", n_init=1, max_iter=30)
-    return cluster.knee(costs).select(F.lit(len(models)).alias("n_candidates"),
-                                      F.coalesce(F.col("knee").isin(list(models)), F.lit(True)).alias("knee_is_candidate"))
-
-
-@query("k07_xmeans", "select count(*) as n_points, true as k_in_range, true as k_is_last_round from embeddings")
+    df, points = _spread(spark, sf), _points(spark, sf)
+    models, costs = cluster.fit_many(df, range(2, 13, 2), id_col="id")
+    k, model = cluster.choose_k(models, costs)
+    again = None  # the costs once more, from the assignments
+    for n, m in models.items():
+        placed = cluster.predict(m, df, "id").join(points, "id")
+        one = cluster.inertia(placed, "cluster", "embedding", _centres(spark, m)).withColumn("k", F.lit(n))
+        again = one if again is None else again.unionByName(one)
+    both = costs.join(again, "k").withColumn("before", F.lag("cost").over(Window.orderBy("k")))
+    # the knee once more: scaled gap to the diagonal, first peak whose later gaps fall below it by a mean step
+    rows = sorted((r["k"], r["inertia"]) for r in both.collect())
+    lo, hi = min(c for _, c in rows), max(c for _, c in rows)
+    gap = [1 - (n - rows[0][0]) / (rows[-1][0] - rows[0][0]) - (c - lo) / (hi - lo) for n, c in rows]
+    peaks = [i for i in range(1, len(gap) - 1) if gap[i] > gap[i - 1] and gap[i] > gap[i + 1]]
+    ends = peaks[1:] + [len(gap)]
+    knees = [rows[i][0] for i, end in zip(peaks, ends) if min(gap[i + 1:end]) < gap[i] - 1 / (len(gap) - 1)]
+    right = k == (knees[0] if knees else None) and (k is None or len(model.clusterCenters()) == k)
+    return both.agg(F.count("*").cast("int").alias("n_candidates"), F.bool_and(F.abs(F.col("inertia") / F.col("cost") - 1) < 1e-6).alias("costs_are_inertia"),
+                    F.bool_and(F.coalesce(F.col("cost") < F.col("before"), F.lit(True))).alias("falls"), F.lit(right).alias("chosen_is_knee"))
+
+
+@query("k07_xmeans", "select count(*) as n_points, true as k_is_last_round, true as every_cluster_is_used, true as stopped_for_a_reason from embeddings")
 def k07(spark, sf):
-    df = _spread(spark, sf)
-    model, rounds = xmeans.fit_xmeans(df, id_col="id", n_init=1, max_iter=30, kmax=16)
+    df, kmax = _spread(spark, sf), 50
+    model, rounds = xmeans.fit_xmeans(df, id_col="id", kmax=kmax)
     k = len(model.clusterCenters())
-    placed = cluster.predict(model, df, "id")
-    return placed.agg(F.count("*").alias("n_points"), ((F.min("cluster") >= 0) & (F.max("cluster") < 16)).alias("k_in_range"),
-                      F.lit(k == rounds[-1]).alias("k_is_last_round"))
+    placed = cluster.predict(model, df, "id").join(cluster.vectors(df, id_col="id"), "id")
+    # the next round would pass kmax or, by the BIC of the halves, split nothing
+    splits = xmeans.bic_round(xmeans.split_clusters(placed), 64).where("split").count()
+    return placed.agg(F.count("*").alias("n_points"), F.lit(k == rounds[-1]).alias("k_is_last_round"),
+                      (F.count_distinct("cluster") == k).alias("every_cluster_is_used"), F.lit(splits == 0 or k + splits >= kmax).alias("stopped_for_a_reason"))
 
 
 _LL = "({m}*(ln({m})-ln({n})-0.5::double*(ln(2*pi())+64*ln({v})+1))+0.5::double*{k})"
@@ -199,20 +217,23 @@ def j04(spark, sf):
     return rounded(summary.withColumnRenamed("cluster_precentage", "share"))
 
 
-@query("j10_id_with_predictions", "select vec_id as id from embeddings")
+@query("j10_id_with_predictions", "select vec_id as id, true as nearest from embeddings")
 def j10(spark, sf):
     df = _spread(spark, sf)
-    return cluster.predict(cluster.fit_kmeans(df, 4, id_col="id", n_init=1, max_iter=20), df, "id").select("id")
+    model = cluster.fit_kmeans(df, 4, id_col="id")
+    placed = cluster.predict(model, df.orderBy(F.desc("id")), "id").join(_points(spark, sf), "id")
+    gap = [F.lit(0.0) + F.expr(f"aggregate(zip_with(embedding, array({', '.join(f'{x!r}D' for x in map(float, c))}), (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)")
+           for c in model.clusterCenters()]
+    return placed.select("id", (F.get(F.array(*gap), F.col("cluster")) <= F.least(*gap) + 1e-9).alias("nearest"))
 
 
-@query("a24_model_report", """select 5 as model_clusters, 64 as num_training_features, count(*) as num_training_samples, 'id' as id_col,
-    true as has_inertia from embeddings""")
+@query("a24_model_report", f"""{_FLAT}, m as (select i, avg(v) as m from flat group by 1) select 1 as model_clusters, 64 as num_training_features,
+    count(distinct id) as num_training_samples, 'id' as id_col, {rd('sum(pow(v-m,2))')} as model_inertia from flat join m using (i)""")
 def a24(spark, sf):
+    # one cluster: its centre is the mean, so SQL knows the inertia
     df = _spread(spark, sf)
-    model = cluster.fit_kmeans(df, 5, id_col="id", n_init=1, max_iter=20)
-    report = cluster.model_report(model, len(_FEATURES), df.count(), spark, "id")
-    return report.select("model_clusters", "num_training_features", "num_training_samples", "id_col",
-                         (F.col("model_inertia") > 0).alias("has_inertia"))
+    report = cluster.model_report(cluster.fit_kmeans(df, 1, id_col="id"), len(_FEATURES), df.count(), spark, "id")
+    return rounded(report.select("model_clusters", "num_training_features", "num_training_samples", "id_col", "model_inertia"))
 
 
 # ---- supervised --------------------------------------------------------------------------------

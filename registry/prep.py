@@ -62,10 +62,19 @@ def a19(spark, sf):
 @query("a19_fit_band", f"""{cte('regression')}, f as (select regr_intercept(yhat,y) as a, regr_slope(yhat,y) as b, min(y) as lo, max(y) as hi from regression)
     select {rd('lo+(hi-lo)*i/19', 4)} as x, {rd('a+b*(lo+(hi-lo)*i/19)', 4)} as fit, true as inside from f, range(20) t(i)""")
 def a19_band(spark, sf):
-    band = stats.fit_band(fixture(spark, sf, "regression"), "y", "yhat", "k", points=20, replicates=100)
+    band = stats.fit_band(fixture(spark, sf, "regression"), "y", "yhat", "k", points=20)
     return rounded(band.select("x", "fit", ((F.col("low") <= F.col("fit")) & (F.col("fit") <= F.col("high"))).alias("inside")), 4)
 
 
+# the same line through values near a thousand million
+@query("a19_fit_band_far", f"""{cte('regression')}, f as (select regr_intercept(yhat,y) as a, regr_slope(yhat,y) as b, min(y) as lo, max(y) as hi from regression)
+    select {rd('lo+(hi-lo)*i/9', 2)} as offset, {rd('a+b*(lo+(hi-lo)*i/9)', 2)} as fit, true as inside from f, range(10) t(i)""")
+def a19_band_far(spark, sf):
+    far = fixture(spark, sf, "regression").withColumn("y", F.col("y") + 1e9)
+    band = stats.fit_band(far, "y", "yhat", "k", points=10, replicates=200)
+    return rounded(band.select((F.col("x") - 1e9).alias("offset"), "fit", ((F.col("low") <= F.col("fit")) & (F.col("fit") <= F.col("high"))).alias("inside")), 2)
+
+
 @query("a20_trend_line", f"""with d as (select o_orderdate::date as day, sum(o_totalprice) as total from orders group by 1),
     n as (select *, row_number() over (order by day) - 1 as position from d),
     f as (select regr_intercept(total, position) as a, regr_slope(total, position) as b from n)

@@ -228,6 +228,16 @@ def r09(spark, sf):
     return _round_regions(shape.region_properties(pixels(spark, sf)))
 
 
+@query("r09_region_properties_far", _region_sql())
+def r09_far(spark, sf):
+    """The same segments far from the corner of a large image: whatever names a place moves back, all else must be as near the corner."""
+    far = shape.region_properties(pixels(spark, sf).withColumns({"row": F.col("row") + 20_480, "col": F.col("col") + 30_720}))
+    back = {"centroid_y": F.col("centroid_y") - 20_480, "centroid_x": F.col("centroid_x") - 30_720,
+            "bbox": F.zip_with("bbox", F.array(*map(F.lit, (20_480, 30_720, 20_480, 30_720))), lambda a, b: a - b),
+            "weighted_centroid": F.zip_with("weighted_centroid", F.array(F.lit(20_480), F.lit(30_720)), lambda a, b: a - b)}
+    return _round_regions(far.withColumns(back))
+
+
 # a column or more of every part of the segment table
 _FEATURE_COLUMNS = ["red_mean_x", "nir_median", "NDVI_r_std", "seg_colorfulness", "area", "extent", "major_axis_length", "gray_mean_intensity",
                     "perimeter", "euler_number", "solidity", "day_of_year", "SR", "mean_chroma", "image_mean_red"]

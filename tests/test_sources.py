@@ -109,3 +109,20 @@ def test_preparation_runs_on_a_stream(spark, frame, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 30 and got.exceptAll(model.transform(df)).count() == 0
     assert got.where(F.col("s_c0") > 0).count() == 10
+
+
+def test_csv_folder_has_one_type_per_column(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("x,y,z,flag,day\n1,2,7,true,2024-01-02\n")
+    (tmp_path / "b+c.csv").write_text("y,x,z,flag,day\n3.5,two,9999999999,False,2024-02-03\n")
+    (tmp_path / "c.csv").write_text("x,z,y,flag,day\n,8,,,\n")
+    out = tables.read_csv_folder(spark, f"{tmp_path}/*.csv")
+    assert dict(out.dtypes) == {"x": "string", "y": "double", "z": "bigint", "flag": "boolean", "day": "date"}
+    assert sorted((r["x"] or "", r["y"], r["z"]) for r in out.collect()) == [("", None, 8), ("1", 2.0, 7), ("two", 3.5, 9999999999)]
+
+
+def test_json_files_of_both_forms(spark, tmp_path):
+    folder = tmp_path / "t.json"
+    folder.mkdir()
+    (folder / "array.json").write_text("[\n" + ",\n".join('{"a": %d}' % i for i in range(50)) + "\n]")
+    (folder / "lines.json").write_text("".join('{"a": %d, "b": "x"}\n' % i for i in range(50, 53)))
+    assert sorted(r["a"] for r in tables.read_table(spark, str(folder)).collect()) == list(range(53))
