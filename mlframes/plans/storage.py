@@ -28,9 +28,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Cut the lineage through a table in the shared folder.
+
+    ``DataFrame.checkpoint`` would cut it too, but hands on what the optimizer inferred about the columns, which grows with
+    every round of a loop until planning takes longer than the work.
+    """
+    path = shared_path(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

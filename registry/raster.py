@@ -1,5 +1,6 @@
 """Queries over pixel tables."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from mlframes.functions import colour, dates, indices
@@ -334,7 +335,7 @@ def r13(spark, sf):
     true as numbered_from_one, true as had_more from part""")
 def r14(spark, sf):
     px = pixels(spark, sf).drop("segment")
-    merged, original = superpixel.segment_images(px, n_segments=10, standardize=8, iterations=3)
+    merged, original = superpixel.segment_images(px, n_segments=10, standardize=8)
     found = merged.groupBy("filename").agg(F.count("*").alias("n_pixels"), F.min("segment").alias("low"), F.max("segment").alias("high"),
                                            F.count_distinct("segment").alias("n"))
     return join_on(found, original, ["filename"]).select(
@@ -343,6 +344,47 @@ def r14(spark, sf):
         (F.col("num_orig_segments") >= F.col("n")).alias("had_more"))
 
 
+@query("r14_connected", f"""select concat('img_', p_partkey::varchar) as filename, {16 * 16}::bigint as n_pixels, true as one_piece_each,
+    true as none_too_small from part""")
+def r14c(spark, sf):
+    found = superpixel.superpixels(pixels(spark, sf).drop("segment"), n_segments=10, sigma=1.0)
+
+    def flooded(image: pd.DataFrame) -> pd.DataFrame:
+        """Pieces by flooding one small image, another way than the operator's."""
+        left = {(r, c): s for r, c, s in zip(image["row"], image["col"], image["segment"])}
+        n, pieces, sizes = len(left), [], []
+        while left:
+            start = next(iter(left))
+            label, todo, size = left.pop(start), [start], 0
+            while todo:
+                r, c = todo.pop()
+                size += 1
+                for at in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if left.get(at) == label:
+                        del left[at]
+                        todo.append(at)
+            pieces.append(label)
+            sizes.append(size)
+        return pd.DataFrame({"filename": [image["filename"].iloc[0]], "n_pixels": [n], "one_piece_each": [len(set(pieces)) == len(pieces)],
+                             "none_too_small": [min(sizes) >= n / 20 or len(sizes) == 1]})
+
+    return found.groupBy("filename").applyInPandas(flooded, "filename string, n_pixels bigint, one_piece_each boolean, none_too_small boolean")
+
+
+_GAUSS = "exp(-0.5::double*d*d)/(1+2*exp(-0.5::double)+2*exp(-2.0::double)+2*exp(-4.5::double)+2*exp(-8.0::double))"
+
+
+# the weighted sum over both directions at once; mirrored at the border
+@query("r14_smoothed", f"""{PX}, w as (select d, {_GAUSS} as w from range(-4, 5) t(d)),
+    pairs as (select p.filename, p."row", p.col, a.w*b.w as w,
+        case when p."row"+a.d<0 then -(p."row"+a.d)-1 when p."row"+a.d>15 then 31-(p."row"+a.d) else p."row"+a.d end as y,
+        case when p.col+b.d<0 then -(p.col+b.d)-1 when p.col+b.d>15 then 31-(p.col+b.d) else p.col+b.d end as x from pixels p, w a, w b)
+    select p.filename, p."row", p.col, {rd('sum(p.w*q.blue)')} as blue, {rd('sum(p.w*q.green)')} as green, {rd('sum(p.w*q.red)')} as red
+    from pairs p join pixels q on q.filename=p.filename and q."row"=p.y and q.col=p.x group by 1, 2, 3""")
+def r14s(spark, sf):
+    return rounded(superpixel.smoothed(pixels(spark, sf).select("filename", "row", "col", "blue", "green", "red"), 1.0))
+
+
 _CENTROIDS = """centroids as (select filename, segment, avg("row") as cy, avg(col) as cx from pixels group by 1,2)"""
 
 

@@ -232,7 +232,7 @@ def test_cutting_keeps_the_lightest_edges(spark):
 def test_superpixels_cover_images_with_compact_regions(spark):
     halves = "\n".join("1" * 20 + "2" * 20 for _ in range(40))
     px = image(spark, halves, bands=lambda y, x, s: ((200.0,) * 4 if x < 20 else (20.0,) * 4)).withColumnRenamed("segment", "truth")
-    out = superpixel.superpixels(px, n_segments=9, iterations=4)
+    out = superpixel.superpixels(px, n_segments=9, iterations=4, connected=False)
     assert out.count() == 1600 and out.where("segment is null").count() == 0
     found = out.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_distinct("truth").alias("sides"),
                                    (F.max("row") - F.min("row")).alias("h"), (F.max("col") - F.min("col")).alias("w"))
@@ -279,3 +279,53 @@ def test_clumps_get_dense_numbers(spark):
     out = by_segment(features.clump_statistics(image(spark, "2277 9977")))
     assert {s: r["segment_number"] for s, r in out.items()} == {2: 1, 7: 2, 9: 3}
     assert out[7]["blue_sum"] == 280.0
+
+
+def test_pieces_hang_together_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(superpixel, "TILE", 4)
+    # a snake of 1 in a field of 2, a stray 3, and 2 cut in two by the snake
+    lines = ["1111111111", "2222222221", "2222222221", "1111111111", "1222222222", "1222232222", "1111111111", "2222222221", "2222222221"]
+    rows = [("f", r, c, int(s)) for r, line in enumerate(lines) for c, s in enumerate(line)]
+    px = spark.createDataFrame(rows, "filename string, row int, col int, segment int").repartition(3)
+    out = {(r["row"], r["col"]): r["segment"] for r in superpixel.connected_pieces(px, 4, 0.3).collect()}
+    assert len(out) == 90
+    groups = {}
+    for at, s in out.items():
+        groups.setdefault(s, set()).add(at)
+    for cells in groups.values():
+        todo, seen = [next(iter(cells))], set()
+        while todo:
+            r, c = at = todo.pop()
+            if at in cells and at not in seen:
+                seen.add(at)
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        assert seen == cells and len(cells) >= 90 / 4 * 0.3
+    snake = {(r, c) for r, line in enumerate(lines) for c, s in enumerate(line) if s == "1"}
+    assert snake | {(5, 5)} in groups.values() and len(groups) == 4  # the stray joined the largest piece it touches
+
+
+def test_smoothing_keeps_constants_and_rows(spark):
+    rows = [("f", r, c, 7.0, float(c), None, r + c) for r in range(6) for c in range(9)]
+    px = spark.createDataFrame(rows, "filename string, row int, col int, blue double, green double, red double, extra int")
+    out = superpixel.smoothed(px, 2.0).collect()
+    assert len(out) == 54
+    for r in out:
+        assert r["blue"] == pytest.approx(7) and r["red"] == 0 and r["extra"] == r["row"] + r["col"]
+    weights = superpixel.gaussian_weights(2.0)
+    line = np.convolve(np.pad(np.arange(9.0), 8, mode="symmetric"), weights, "valid")
+    assert {r["col"]: r["green"] for r in out} == {c: pytest.approx(v) for c, v in enumerate(line)}
+
+
+def test_moments_far_from_the_corner(spark):
+    rng = np.random.default_rng(4)
+    cells = {(int(a), int(b)) for a, b in rng.normal(300, 60, (800, 2))}
+    rows = [("f", 1, r, c, float(r % 7), float(c % 5), float((r * c) % 11)) for r, c in cells]
+    schema = "filename string, segment int, row int, col int, blue double, green double, red double"
+    near = shape.region_properties(spark.createDataFrame(rows, schema)).first()
+    far = shape.region_properties(spark.createDataFrame([(f, s, r + 20_000, c + 20_000, *b) for f, s, r, c, *b in rows], schema)).first()
+    r, c = np.array(sorted(cells)).T
+    for (p, q), value in zip(shape.ORDERS, near["moments_central"]):
+        assert value == pytest.approx((((r - r.mean()) ** p) * ((c - c.mean()) ** q)).sum(), rel=1e-6, abs=1e-3)
+    for name in ("moments", "moments_central", "weighted_moments_central", "moments_hu", "weighted_moments_hu", "inertia_tensor_eigvals"):
+        assert far[name] == pytest.approx(near[name], rel=1e-6, abs=1e-6), name
+    assert far["centroid_y"] - 20_000 == pytest.approx(near["centroid_y"]) and far["orientation"] == pytest.approx(near["orientation"])
