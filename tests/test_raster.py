@@ -239,7 +239,7 @@ def test_superpixels_cover_images_with_compact_regions(spark):
     rows = found.collect()
     assert 6 <= len(rows) <= 9 and all(r["sides"] == 1 for r in rows)
     assert all(r["h"] < 30 and r["w"] < 30 for r in rows)
-    merged, original = superpixel.segment_images(px, n_segments=9, standardize=2, iterations=3)
+    merged, original = superpixel.segment_images(px, n_segments=9, standardize=2, iterations=3, sigma=0.0, connected=False)
     assert merged.select("segment").distinct().count() == 2 and merged.count() == 1600
     assert merged.groupBy("segment").agg(F.count_distinct("truth").alias("t")).where("t > 1").count() == 0
     assert original.first()["num_orig_segments"] >= 6
