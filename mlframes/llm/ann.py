@@ -114,10 +114,13 @@ def _nearest(top: int):
             owners = index.column("ids").to_pylist()
             rough = asked @ vectors.T
             few = min(top, rough.shape[1])
-            picks = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            exact = (asked[:, None, :] * vectors[picks]).sum(axis=2) if few else rough
-            for k1, k2, pick, score in zip(queries.column("k1").to_pylist(), queries.column("k2").to_pylist(), picks.tolist(), exact.tolist()):
-                found = sorted((-s, i) for p, s in zip(pick, score) for i in owners[p])[:top]
+            last = -np.partition(-rough, few - 1, axis=1)[:, few - 1] if few else np.zeros(len(asked))
+            # no rough score is further off than this, so all that may be among the best, ties too, are scored exactly
+            off = 4e-16 * vectors.shape[1] * np.abs(vectors).max() * np.abs(asked).sum(axis=1)
+            for k1, k2, ask, near, least in zip(queries.column("k1").to_pylist(), queries.column("k2").to_pylist(), asked, rough, last - 2 * off):
+                pick = np.flatnonzero(near >= least)
+                exact = (ask * vectors[pick]).sum(axis=1)
+                found = sorted((-s, i) for p, s in zip(pick.tolist(), exact.tolist()) for i in owners[p])[:top]
                 out["k1"].append(k1)
                 out["k2"].append(k2)
                 out["ids"].append([i for _, i in found])

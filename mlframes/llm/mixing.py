@@ -86,10 +86,14 @@ def copies_taken():
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, whole, each as often as it is taken, columns as they were. Rows of one id are
-    taken equally often; rows without an id or without words are not taken."""
-    key, times = fresh(docs.columns, "mix_id", "mix_times")
+    """The documents of the mix, whole, each as often as it is taken, columns as they were. Rows that agree in id, source
+    and size, null or not, are taken equally often; rows without words are not taken."""
+    text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
+    key, of, words, times, here = fresh(docs.columns, "mix_id", "mix_source", "mix_words", "mix_times", "mix_size")
     taken = (plan(docs, id_col, **options).withColumn(times, copies_taken()).where(F.col(times) > 0)
-             .groupBy(F.col("doc_id").alias(key)).agg(F.max(times).cast("int").alias(times)))
-    joined = docs.join(taken, column(id_col) == F.col(key))
+             .groupBy(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("size").alias(words))
+             .agg(F.max(times).cast("int").alias(times)))
+    sized = docs.withColumn(here, F.regexp_count(text_column(text_col), F.lit(WORD)).cast("long"))
+    joined = sized.join(taken, column(id_col).eqNullSafe(F.col(key)) & column(source_col).cast("string").eqNullSafe(F.col(of))
+                        & (F.col(here) == F.col(words)))
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[column(c) for c in docs.columns])

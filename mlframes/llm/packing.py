@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mlframes.llm.common import SPACE, column, held, sliced, texts_of
 
-#: Documents of so many successive ids are packed together; a part ends early at so many tokens.
-IDS_PER_PART, PART_TOKENS = 1024, 1 << 22
+#: About so many documents are packed together; a part ends early at so many tokens.
+PART_DOCS, PART_TOKENS = 1024, 1 << 22
 #: What a cut costs, in tokens of padding: at a sentence's end, and within one.
 SENTENCE_CUT, WORD_CUT = 4, 16
 #: Cuts within a sentence are considered every so many tokens.
@@ -39,25 +39,33 @@ class Words(dict):
         from tokenizers import Tokenizer, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces: dict = {}
+        # words and pieces not met since the younger tables began go when those are full; none is emptied at once
+        self.pieces, self.old, self.old_pieces = {}, {}, {}
         self.most = most
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) + len(self.pieces) > self.most:
+        if len(self) > self.most // 4:
+            self.old = dict(self)
             self.clear()
-            self.pieces.clear()
-        text = word.decode("utf-8")
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self.pieces.get(x) or self._piece(x) for x in PIECES.findall(text.lower())])
-        else:
-            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode("utf-8")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join([self.pieces.get(x) or self._piece(x) for x in PIECES.findall(text.lower())])
+            else:
+                ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
     def _piece(self, text: str) -> bytes:
-        ids = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        if len(self.pieces) > self.most // 4:
+            self.old_pieces, self.pieces = self.pieces, {}
+        ids = self.old_pieces.get(text)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        self.pieces[text] = ids
         return ids
 
 
@@ -165,16 +173,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces of documents in sequences of up to ``size`` (a power of two) ids: (doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset).
 
-    Documents keep the order of their ids. Those of ``IDS_PER_PART`` successive ids meet in one task, whatever the
-    partitions of the input, and share no sequence with others, so every run gives the same rows; a part ends
-    early at ``PART_TOKENS`` ids, which bounds a task's memory beyond its longest text. Sequence numbers count within
-    a part, the part's number above them (2**24 sequences each).
+    A part holds about ``PART_DOCS`` documents, chosen by a hash of id and text, in the order of their ids (null first), then
+    texts. Its number follows from the rows and their count alone, whatever the ids and the partitions of the input, so every
+    run gives the same rows. Parts share no sequence, and a part ends early at ``PART_TOKENS`` ids, which bounds a task's
+    memory beyond its longest text. Sequence numbers count within a part, the part's number above them (2**24 sequences each).
 
-    A null text is empty and has its end id only; so has an empty one. Equal rows are packed each; rows of one id
-    are ordered by their text. A null id is a part of its own. Other columns are ignored.
+    A null text is empty and has its end id only; so has an empty one. Equal rows are packed each; other columns are ignored.
     """
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
-    part = F.coalesce(F.floor(F.col("doc_id") / IDS_PER_PART).cast("long"), F.lit(-2**38))
+    parts = max(1, -(-docs.count() // PART_DOCS))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
     rows = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", "doc_id", "text")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]

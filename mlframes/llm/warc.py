@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     repeated = digests.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
     marks = digests.join(repeated, "digest").where("page <> first").select("page", "digest", F.col("first").alias("refers")).distinct()
     both = marks.unionByName(rows, allowMissingColumns=True)
-    shard = F.expr(f"(page - {low}) div {width}")
+    shard = F.expr(f"(cast(page as decimal(38)) - cast('{low}' as decimal(38))) div cast('{width}' as decimal(38))")
     dealt = (both.withColumn("shard", shard).repartitionByRange("shard")
              .sortWithinPartitions("shard", "page", F.col("digest").desc(), "url", "html"))
     schema = "temporary string, file string, bytes long, records long, sha256 string"
