@@ -17,7 +17,7 @@ SENTENCE_CUT, WORD_CUT = 4, 16
 #: Cuts within a sentence are considered every so many tokens.
 STRIDE = 32
 #: Words and pieces of words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 ENDS = np.zeros(256, bool)
 ENDS[[33, 46, 63]] = True  # ! . ?
 
@@ -46,28 +46,42 @@ class Words(dict):
         self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > self.most // 4:
-            self.old = dict(self)
-            self.clear()
         ids = self.old.get(word)
         if ids is None:
-            text = word.decode("utf-8")
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                ids = b"".join([self.pieces.get(x) or self._piece(x) for x in PIECES.findall(text.lower())])
+            if word.isalpha():
+                found = (word.decode().lower(),)
+            elif word[-1:] in b".,;:!?" and word[:-1].isalpha():
+                text = word.decode().lower()
+                found = text[:-1], text[-1]
+            else:
+                text = word.decode("utf-8")
+                found = PIECES.findall(text.lower()) if PLAIN.fullmatch(text) and "<|" not in text else None
+            if found is None:
+                ids, known = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes(), True
             else:
-                ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+                parts = [self.pieces.get(x) for x in found]
+                known = None not in parts
+                ids = b"".join(parts if known else [p or self._piece(x) for p, x in zip(parts, found)])
+            if not known:  # a word with a new piece may be the only one of its kind: its pieces are kept, not yet the word
+                return ids
         self[word] = ids
+        self._turn()
         return ids
 
     def _piece(self, text: str) -> bytes:
-        if len(self.pieces) > self.most // 4:
-            self.old_pieces, self.pieces = self.pieces, {}
         ids = self.old_pieces.get(text)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))]).tobytes()
         self.pieces[text] = ids
+        self._turn()
         return ids
 
+    def _turn(self):
+        """Full young tables become the old ones."""
+        if len(self) + len(self.pieces) > self.most // 2:
+            self.old, self.old_pieces, self.pieces = dict(self), self.pieces, {}
+            self.clear()
+
 
 def encode(text: bytes, words: Words, end: int = 1):
     """The ids of a text with the end id, as bytes, and the places of its sentence ends."""
