@@ -93,21 +93,25 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z."""
-    data = np.frombuffer(text.lower(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
+def hashed_words(data: np.ndarray, block: int = 1 << 18):
+    """(start, 64-bit hash) of each word of bytes, hashed in blocks of about so many bytes."""
     inside = ~SPACE[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    data, first = data[starts[0]:], starts - starts[0]
-    gaps = np.diff(first, append=len(data))
-    place = np.arange(len(data)) - np.repeat(first, gaps)
-    sums = np.add.reduceat(_BYTES[data] * powers(int(gaps.max()))[place], first)
-    return mix(sums + (ends - starts).astype(np.uint64) * _STEP)
+    cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, len(data), block)), [len(starts)]]))
+    sums = [np.zeros(0, np.uint64)]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        first, stop = starts[low:high] - starts[low], ends[high - 1]
+        gaps = np.diff(first, append=stop - starts[low])
+        part = data[starts[low]:stop]
+        place = np.arange(len(part)) - np.repeat(first, gaps)
+        sums.append(np.add.reduceat(_BYTES[part] * powers(int(gaps.max()))[place], first))
+    return starts, mix(np.concatenate(sums) + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z as a-z."""
+    return hashed_words(np.frombuffer(text.lower(), np.uint8))[1]
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:

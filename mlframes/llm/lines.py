@@ -1,14 +1,12 @@
 """Removal of repeated runs of lines, found by winnowed line hashes and extended both ways, and of repeated passages of words."""
 
-import re
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, held, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
+from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, hashed_words, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -32,154 +30,195 @@ def split_lines(text: str):
     return out
 
 
-def hashed(text: str):
-    """Hash and number of words of each line, upper and lower case and white space aside."""
-    import xxhash
-    words = [text[a:b].lower().encode("utf-8", "surrogatepass").split() for a, b in split_lines(text)]
-    return (np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64),
-            np.array([len(w) for w in words], np.int64))
+_inverses = np.ones(1, np.uint64)
+
 
+def inverses(n: int) -> np.ndarray:
+    """The first ``n`` powers of the inverse of the number whose powers are ``powers``."""
+    global _inverses
+    if len(_inverses) < n:
+        more = np.full(max(n, 2 * len(_inverses)), _INVERSE)
+        more[0] = 1
+        _inverses = np.multiply.accumulate(more)
+    return _inverses[:n]
 
-class _Known(dict):
-    """Hashes of the words met last."""
 
-    def __missing__(self, word):
-        import xxhash
-        if len(self) >= 1 << 17:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def spans_hashed(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of ``values[first:stop]`` for each pair; equal stretches have equal hashes wherever they stand."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values)))])
+    return mix((sums[stop] - sums[first]) * inverses(len(values) + 1)[first] + (stop - first + 1).astype(np.uint64))
 
 
-def word_values(text: str) -> np.ndarray:
-    """Hash of each word, upper and lower case aside."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(held("line_words", _Known).__getitem__, words), np.uint64, len(words))
+def read_texts(texts):
+    """(hash of each word, words before each text, hash of each line, number of its words, lines before each text) of
+    texts one after the other, upper and lower case and white space aside; the lines are those of ``split_lines``."""
+    lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(lowered), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    starts, words = hashed_words(data)
+    sentence = (data[:-1] == 33) | (data[:-1] == 46) | (data[:-1] == 63)
+    breaks = data == 10
+    breaks[1:] |= sentence & ((data[1:] == 32) | (data[1:] == 9))
+    breaks = np.flatnonzero(breaks)
+    first = np.concatenate([[0], np.searchsorted(starts, breaks), [len(starts)]])  # the first word of each line, and the end
+    return (words, np.concatenate([[0], np.searchsorted(starts, ends)]), spans_hashed(words, first[:-1], first[1:]),
+            np.diff(first), np.concatenate([[0], np.searchsorted(breaks, ends - 1) + 1]))
 
 
 def rolled(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each word on."""
-    n = len(words) - size + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words)))])
-    back = np.full(n, _INVERSE)
-    back[0] = 1
-    return mix((sums[size:] - sums[:n]) * np.multiply.accumulate(back) + np.uint64(size))
+    first = np.arange(max(0, len(words) - size + 1))
+    return spans_hashed(words, first, first + size)
 
 
-def _extreme(x: np.ndarray, size: int, of) -> np.ndarray:
-    """The minimum or maximum of each ``size`` neighbours."""
-    width = 1
+def last_least(values: np.ndarray, size: int):
+    """(least of each ``size`` neighbours, its last place)."""
+    def both(value, place, by):
+        ahead = value[:-by] < value[by:]
+        return np.where(ahead, value[:-by], value[by:]), np.where(ahead, place[:-by], place[by:])
+    width, found = 1, (values, np.arange(len(values)))
     while 2 * width <= size:
-        x, width = of(x[:-width], x[width:]), 2 * width
-    return of(x[:len(x) - size + width], x[size - width:])
-
+        found, width = both(*found, width), 2 * width
+    return both(*found, size - width) if size > width else found
 
-def anchors(words: np.ndarray):
-    """(smallest hash of ``ANCHOR_WORDS`` words in a row of the ``PASSAGE_WORDS`` words from each word on, those hashes
-    once per place, or twice at most). Equal passages have the same."""
-    if len(words) < PASSAGE_WORDS:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    value, size = rolled(words, ANCHOR_WORDS), PASSAGE_WORDS - ANCHOR_WORDS + 1
-    least = _extreme(value, size, np.minimum)
-    chosen, places = np.unique(value[value == _extreme(np.pad(least, size - 1), size, np.maximum)], return_counts=True)
-    return least, np.repeat(chosen, np.minimum(places, 2))
 
+def segments(words: np.ndarray, before: np.ndarray):
+    """(first passage, number of passages, anchor, hash of all its words) of each segment of texts one after the other.
 
-def winnow(lines: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS):
-    """(hash of each gram, gram chosen by each window, hash of each window): a gram starts at the line of its place, and
-    so does a window, which chooses the gram with the smallest hash, the last on ties.
+    A passage is the ``PASSAGE_WORDS`` words from a word on; its anchor is the smallest hash of ``ANCHOR_WORDS`` words in
+    a row in it, the last on ties. A segment is the passages in a row with their anchor at one place: at most
+    ``PASSAGE_WORDS - ANCHOR_WORDS + 1``, no two alike. Equal passages have equal anchors, and copies of a longer
+    stretch equal segments except at its ends.
+    """
+    count = len(words) - PASSAGE_WORDS + 1
+    if count < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    least, place = last_least(rolled(words, ANCHOR_WORDS), PASSAGE_WORDS - ANCHOR_WORDS + 1)
+    whole = np.flatnonzero(np.arange(count) + PASSAGE_WORDS <= np.repeat(before[1:], np.diff(before))[:count])
+    place = place[whole]
+    new = np.flatnonzero(np.diff(place, prepend=-1))
+    at, sizes = whole[new], np.diff(new, append=len(whole))
+    return at, sizes, least[at], spans_hashed(words, at, at + sizes + PASSAGE_WORDS - 1)
+
+
+def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place of the least of ``values[first:last + 1]`` for each pair, the last on ties."""
+    chosen, level = np.zeros(len(first), np.int64), np.frexp(last - first + 1.0)[1] - 1
+    place = np.arange(len(values))
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            a, b = place[:-(1 << k >> 1)], place[1 << k >> 1:]
+            place = np.where(values[a] < values[b], a, b)
+        here = np.flatnonzero(level == k)
+        a, b = place[first[here]], place[last[here] - (1 << k) + 1]
+        chosen[here] = np.where(values[a] < values[b], a, b)
+    return chosen
+
+
+def winnow(lines: np.ndarray, words: np.ndarray, before: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS):
+    """(line at which each window starts, hash of the window, line of the gram it chooses, hash of that gram) of texts one
+    after the other. A window chooses the gram with the smallest hash in it, the last on ties.
 
     A gram is as many lines from a line on as make ``gram_words`` words, a window those that make ``run_words``. Any
     run that two documents share and that has ``run_words`` words covers a window, so both choose its gram.
     """
     n = len(lines)
-    before = np.concatenate([[0], np.cumsum(words)])
-    gram_end = np.searchsorted(before, before[:-1] + gram_words)  # lines up to here make a gram
-    window_end = np.searchsorted(before, before[:-1] + run_words)
-    windows = int(np.searchsorted(window_end, n + 1))
-    if not windows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = int(np.searchsorted(gram_end, n + 1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(n))])
-    back = np.full(grams, _INVERSE)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    value = mix((sums[gram_end[:grams]] - sums[:grams]) * back)
-    whole = mix((sums[window_end[:windows]] - sums[:windows]) * back[:windows] + np.uint64(1))
+    counted = np.concatenate([[0], np.cumsum(words)])
+    gram_end = np.searchsorted(counted, counted[:-1] + gram_words)  # lines up to here make a gram
+    window_end = np.searchsorted(counted, counted[:-1] + run_words)
+    first = np.flatnonzero(window_end <= np.repeat(before[1:], np.diff(before)))
+    value = spans_hashed(lines, np.arange(n), np.minimum(gram_end, n))
     # the last gram that ends within each window
-    last = np.searchsorted(gram_end[:grams], window_end[:windows], side="right") - 1
-    queue, chosen, nxt, hashes = deque(), [], 0, value.tolist()
-    for first, stop in enumerate(last.tolist()):
-        while nxt <= stop:
-            while queue and hashes[queue[-1]] >= hashes[nxt]:
-                queue.pop()
-            queue.append(nxt)
-            nxt += 1
-        while queue[0] < first:
-            queue.popleft()
-        chosen.append(queue[0])
-    return value, np.array(chosen), whole
+    last = np.searchsorted(gram_end, window_end[first], side="right") - 1
+    chosen = _least_between(value, first, last)
+    return first, spans_hashed(lines, first, window_end[first]), chosen, value[chosen]
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
+    """Values one after the other as lists; ``rows`` holds the number of values before each list."""
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values, kind))
+
+
+def _by_bytes(batches, place: int, limit: int = 1 << 18):
+    """Arrow batches cut after about ``limit`` bytes of a column of texts."""
+    for batch in batches:
+        sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(place)).to_numpy(zero_copy_only=False).astype(float)))
+        cuts = np.searchsorted(sizes, np.arange(1, int(sizes[-1]) // limit + 1) * limit) + 1 if len(sizes) else []
+        cuts = np.unique(np.concatenate([[0], cuts, [batch.num_rows]])).astype(int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def _hash_documents(batches):
-    for batch in sliced(batches):
-        lines, words, prints, marks = [], [], [], []
-        for text in batch.column(3).to_pylist():
-            h, w = hashed(text)
-            lines.append(signed(h))
-            words.append(w.astype(np.int32))
-            value, chosen, _ = winnow(h, w)
-            prints.append(signed(value[np.unique(chosen)]))
-            marks.append(signed(anchors(word_values(text))[1]))
+    for batch in _by_bytes(batches, 3):
+        words, word_rows, lines, counts, line_rows = read_texts(batch.column(3).to_pylist())
+        _, _, chosen, value = winnow(lines, counts, line_rows)
+        new = np.flatnonzero(np.diff(chosen, prepend=-1))
+        at, sizes, anchor, segment = segments(words, word_rows)
+        print_rows, segment_rows = np.searchsorted(chosen[new], line_rows), np.searchsorted(at, word_rows)
+        at = at - np.repeat(word_rows[:-1], np.diff(segment_rows))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
-             pa.array(prints, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
-            names="id k1 k2 lines words prints marks".split())
+            [*(batch.column(i) for i in range(3)), _lists(line_rows, signed(lines), pa.int64()), _lists(line_rows, counts, pa.int32()),
+             _lists(print_rows, signed(value[new]), pa.int64()), _lists(segment_rows, signed(anchor), pa.int64()),
+             _lists(segment_rows, signed(segment), pa.int64()), _lists(segment_rows, at, pa.int32()), _lists(segment_rows, sizes, pa.int32())],
+            names="id k1 k2 lines words prints anchors segments ats sizes".split())
+
+
+def _flat(column, *values):
+    """(values before each list from 0 on, the lists' values one after the other) of columns of lists of the same lengths."""
+    return [column.offsets.to_numpy() - column.offsets[0].as_py(), *(c.flatten().to_numpy(zero_copy_only=False) for c in (column, *values))]
+
+
+def _known(told, hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places of the hashes whose bit is set."""
+    bit = (hashes & np.uint64(size - 1)).astype(np.int64)
+    return np.flatnonzero(told.value[bit >> 6] >> (bit & 63) & 1)
 
 
 def _windows(told):
     """Windows (id, k1, k2, print, at) whose fingerprint may stand in another place, from hashed documents."""
     def run(batches):
         for batch in sliced(batches):
-            rows, prints, places = [], [], []
-            for i, (lines, words) in enumerate(zip(parts_of(batch.column(3)), parts_of(batch.column(4)))):
-                value, chosen, whole = winnow(lines.view(np.uint64), words.astype(np.int64))
-                bit = (value[chosen] & np.uint64(MAP_BITS - 1)).astype(np.int64)
-                at = np.flatnonzero(told.value[bit >> 6] >> (bit & 63) & 1)
-                rows.append(np.full(len(at), i))
-                prints.append(signed(whole[at]))
-                places.append(at.astype(np.int32))
-            if rows and (taken := np.concatenate(rows)).size:
-                part = batch.select([0, 1, 2]).take(pa.array(taken))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(prints)), pa.array(np.concatenate(places))],
-                                                 names="id k1 k2 print at".split())
+            before, lines, words = _flat(batch.column(3), batch.column(4))
+            first, whole, _, value = winnow(lines.view(np.uint64), words.astype(np.int64), before)
+            at = _known(told, value, MAP_BITS)
+            row = np.searchsorted(before, first[at], side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select([0, 1, 2]).take(pa.array(row)).columns, pa.array(signed(whole[at])),
+                 pa.array(first[at] - before[row], pa.int32())], names="id k1 k2 print at".split())
     return run
 
 
-def _passages(told):
-    """Passages (id, k1, k2, print, at) of ``PASSAGE_WORDS`` words that may stand in another place, from documents."""
+def _segments(told):
+    """Segments (id, k1, k2, anchor, segment, at, size) whose anchor may stand in another place, from hashed documents."""
     def run(batches):
         for batch in sliced(batches):
-            rows, prints, places = [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                words = word_values(text)
-                least, _ = anchors(words)
-                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(least)), bool), least[1:] != least[:-1]]))
-                bit = (least[new] & np.uint64(ANCHOR_BITS - 1)).astype(np.int64)
-                known = told.value[bit >> 6] >> (bit & 63) & 1
-                at = np.flatnonzero(np.repeat(known, np.diff(new, append=len(least))))
-                if not len(at):
-                    continue
-                rows.append(np.full(len(at), i))
-                prints.append(signed(rolled(words, PASSAGE_WORDS)[at]))
-                places.append(at.astype(np.int32))
-            if rows and (taken := np.concatenate(rows)).size:
-                part = batch.select([0, 1, 2]).take(pa.array(taken))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(prints)), pa.array(np.concatenate(places))],
-                                                 names="id k1 k2 print at".split())
+            before, anchor, segment, at, size = _flat(*(batch.column(i) for i in range(3, 7)))
+            found = _known(told, anchor.view(np.uint64), ANCHOR_BITS)
+            row = np.searchsorted(before, found, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select([0, 1, 2]).take(pa.array(row)).columns, *(pa.array(x[found]) for x in (anchor, segment, at, size))],
+                names="id k1 k2 anchor segment at size".split())
     return run
 
 
+def _passages(batches):
+    """Passages (id, k1, k2, print, at) in the given segments of texts."""
+    for batch in _by_bytes(batches, 3):
+        words, before, *_ = read_texts(batch.column(3).to_pylist())
+        spots = batch.column(4)
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
+        at, size = (spots.flatten().field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+        place = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        rows = np.repeat(rows, size)
+        first = place + before[rows]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.select([0, 1, 2]).take(pa.array(rows)).columns, pa.array(signed(spans_hashed(words, first, first + PASSAGE_WORDS))),
+             pa.array(place, pa.int32())], names="id k1 k2 print at".split())
+
+
 def _joined(batches):
     """Stretches of words (k1, k2, a, b, words) covered by the repeated passages of a document."""
     for batch in sliced(batches):
@@ -245,9 +284,10 @@ def without(text: str, runs, passages=()) -> tuple[str, list[tuple[int, int]], i
         gone[a:b] = True
     parts: dict = {}
     if passages:
-        words = [m.span() for m in re.finditer(WORD, text)]
-        begins, stops = np.array([a for a, _ in words]), np.array([b for _, b in words])
-        lost = np.zeros(len(words) + 1, np.int64)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.flatnonzero(np.diff((points != 32) & ((points < 9) | (points > 13)), prepend=False, append=False))
+        begins, stops = edges[::2], edges[1::2]
+        lost = np.zeros(len(begins) + 1, np.int64)
         for a, b in passages:
             lost[a + 1:b + 1] = 1
         lost = np.cumsum(lost)
@@ -298,7 +338,7 @@ def _delete(place: int, runs: int):
                 if found:
                     text, cut, n, m = without(text, *([(r["a"], r["b"]) for r in found if r["words"] == kind] for kind in (False, True)))
                 else:
-                    cut, n, m = [], len(split_lines(text)) if text is not None else 0, 0
+                    cut, n, m = [], text.count("\n") + len(SENTENCE_END.findall(text)) + 1 if text is not None else 0, 0
                 texts.append(text)
                 spans.append(",".join(f"{a}:{b}" for a, b in cut))
                 total.append(n)
@@ -321,18 +361,42 @@ def _repeated(hashes: DataFrame, name: str, size: int):
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _repeated_passages(slim: DataFrame, told) -> DataFrame:
+def _repeated_passages(hashes: DataFrame, slim: DataFrame) -> DataFrame:
     """Stretches of words (k1, k2, a, b, words) in which every passage stands earlier as well. Of a passage that
-    overlaps its own first place only the words after that place go."""
+    overlaps its own first place only the words after that place go.
+
+    A segment that stands earlier goes as a whole. Passages are compared one by one only where a segment that stands
+    first shares its anchor with another one, and where a segment overlaps its own first place: the first place of any
+    passage lies in the first place of a segment, so the outcome is that of comparing all passages.
+    """
     spot = F.struct("id", "k1", "k2", "at")
-    prints = saved(slim.mapInArrow(_passages(told), "id long, k1 long, k2 int, print long, at int"), "passages")
-    first = saved(prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-                  .where("first <> last").select("print", "first"), "passage_firsts")
+    cut = hashes.select("id", "k1", "k2", "anchors", "segments", "ats", "sizes").mapInArrow(
+        _segments(_repeated(hashes, "anchors", ANCHOR_BITS)), "id long, k1 long, k2 int, anchor long, segment long, at int, size int")
+    cut = saved(cut, "segments")
+    first = saved(cut.groupBy("anchor", "segment").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.max("size").alias("size")),
+                  "segment_firsts")
+    again = first.where("first <> last").select("segment", "first")
+    later = may_hold(cut, key_map(again, "segment"), "segment").join(again, "segment").where(spot != F.col("first"))
     own = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
+    later = saved(later.select("k1", "k2", "at", "size", F.when(own & (F.col("at") < F.col("first.at") + PASSAGE_WORDS), F.col("first.at"))
+                               .alias("near")), "later_segments")
+    shared = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    near = later.where("near is not null")
+    open_ = (may_hold(first, key_map(shared, "anchor"), "anchor").join(shared, "anchor").select("first.k1", "first.k2", "first.at", "size")
+             .union(near.select("k1", "k2", "at", "size")).union(near.select("k1", "k2", "near", "size")))
+    open_ = saved(open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "size")).alias("spots")), "open_segments")
+    texts = (may_hold(slim, key_map(open_, "k1"), "k1").join(open_, ["k1", "k2"])
+             .select("id", "k1", "k2", "text", "spots"))
+    prints = saved(texts.mapInArrow(_passages, "id long, k1 long, k2 int, print long, at int"), "passages")
+    begun = (prints.groupBy("print").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+             .where("first <> last").select("print", "first"))
+    begun = saved(begun, "passage_firsts")
     begin = F.when(own, F.greatest("at", F.col("first.at") + PASSAGE_WORDS)).otherwise(F.col("at"))
-    later = (may_hold(prints, key_map(first, "print"), "print").join(first, "print").where(spot != F.col("first"))
-             .select("k1", "k2", F.struct(begin.alias("a"), (F.col("at") + PASSAGE_WORDS).alias("b")).alias("spot")))
-    return (later.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
+    single = (may_hold(prints, key_map(begun, "print"), "print").join(begun, "print").where(spot != F.col("first"))
+              .select("k1", "k2", F.struct(begin.alias("a"), (F.col("at") + PASSAGE_WORDS).alias("b")).alias("spot")))
+    whole = later.where("near is null").select("k1", "k2", F.struct(
+        F.col("at").alias("a"), (F.col("at") + F.col("size") + (PASSAGE_WORDS - 1)).alias("b")).alias("spot"))
+    return (single.union(whole).groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
             .mapInArrow(_joined, "k1 long, k2 int, a int, b int, words boolean"))
 
 
@@ -346,8 +410,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tied to its first place (ids ascending), never to all others; between two texts so tied every run of equal lines
     is followed both ways. The first place of a run always stays. Shorter repeated lines, such as licence notes, stay.
     A passage of ``PASSAGE_WORDS`` words or more that stands earlier goes wherever it starts and ends, word by word:
-    the smallest hashes within passages tell which may repeat, and of those the passage from every word on is compared
-    with its first place.
+    the smallest hashes within passages cut texts into segments, and segments, or single passages where segments differ,
+    are compared with their first place.
 
     A line of several sentences counts as that many lines, so passages within a paragraph are found. A null text stays
     null and an empty one empty. Rows equal in id and text are one document and are treated alike; rows of one id
@@ -358,7 +422,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns({k1: F.xxhash64(column(id_col), text), k2: F.hash(text, column(id_col))})
     slim = keyed.where(text.isNotNull()).select(column(id_col).cast("long").alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                                                 text.alias("text"))
-    schema = "id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>, marks array<long>"
+    schema = ("id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>, "
+              "anchors array<long>, segments array<long>, ats array<int>, sizes array<int>")
     hashes = saved(slim.mapInArrow(_hash_documents, schema), "lines")
     told = _repeated(hashes, "prints", MAP_BITS)
     spot = F.struct("id", "k1", "k2", "at")
@@ -377,7 +442,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .join(once.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("lines").alias("other")), ["f1", "f2"])
              .select("k1", "k2", "seeds", "lines", "words", "other"))
     found = sides.mapInArrow(_extend, "k1 long, k2 int, a int, b int").withColumn("words", F.lit(False))
-    found = found.union(_repeated_passages(slim, _repeated(hashes, "marks", ANCHOR_BITS)))
+    found = found.union(_repeated_passages(hashes, slim))
     found = saved(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "words")).alias("runs")), "runs")
     o1, o2 = fresh(keyed.columns, "other_one", "other_two")
     found = found.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("runs").alias(runs))
