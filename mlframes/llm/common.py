@@ -71,7 +71,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES[SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_powers = _inverses = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +94,17 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def hashed_words(data: np.ndarray, block: int = 1 << 18):
+def inverses(n: int) -> np.ndarray:
+    """The first ``n`` powers of the inverse of the number whose powers are ``powers``."""
+    global _inverses
+    if len(_inverses) < n:
+        more = np.full(max(n, 2 * len(_inverses)), _BACK)
+        more[0] = 1
+        _inverses = np.multiply.accumulate(more)
+    return _inverses[:n]
+
+
+def hashed_words(data: np.ndarray, block: int = 1 << 16):
     """(start, 64-bit hash) of each word of bytes, hashed in blocks of about so many bytes."""
     inside = ~SPACE[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -101,11 +112,10 @@ def hashed_words(data: np.ndarray, block: int = 1 << 18):
     cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, len(data), block)), [len(starts)]]))
     sums = [np.zeros(0, np.uint64)]
     for low, high in zip(cuts[:-1], cuts[1:]):
-        first, stop = starts[low:high] - starts[low], ends[high - 1]
-        gaps = np.diff(first, append=stop - starts[low])
-        part = data[starts[low]:stop]
-        place = np.arange(len(part)) - np.repeat(first, gaps)
-        sums.append(np.add.reduceat(_BYTES[part] * powers(int(gaps.max()))[place], first))
+        part, first = data[starts[low]:ends[high - 1]], starts[low:high] - starts[low]
+        before = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * powers(len(part)), out=before[1:])
+        sums.append((before[ends[low:high] - starts[low]] - before[first]) * inverses(len(part))[first])
     return starts, mix(np.concatenate(sums) + (ends - starts).astype(np.uint64) * _STEP)
 
 

@@ -6,7 +6,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import MAP_BITS, SENTENCE_END, WORD, column, fresh, hashed_words, key_map, may_hold, mix, parts_of, powers, saved, signed, sliced
+from mlframes.llm.common import (MAP_BITS, SENTENCE_END, WORD, column, fresh, hashed_words, inverses, key_map, may_hold, mix,
+                                 parts_of, powers, saved, signed, sliced)
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -14,7 +15,6 @@ RUN_WORDS, GRAM_WORDS = 32, 16
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 25
 #: Bits of the map of repeated anchors.
 ANCHOR_BITS = 1 << 26
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def split_lines(text: str):
@@ -30,19 +30,6 @@ def split_lines(text: str):
     return out
 
 
-_inverses = np.ones(1, np.uint64)
-
-
-def inverses(n: int) -> np.ndarray:
-    """The first ``n`` powers of the inverse of the number whose powers are ``powers``."""
-    global _inverses
-    if len(_inverses) < n:
-        more = np.full(max(n, 2 * len(_inverses)), _INVERSE)
-        more[0] = 1
-        _inverses = np.multiply.accumulate(more)
-    return _inverses[:n]
-
-
 def spans_hashed(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of ``values[first:stop]`` for each pair; equal stretches have equal hashes wherever they stand."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values)))])
