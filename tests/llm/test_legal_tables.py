@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mlframes.llm import ann, mixing, packing, setjoin, warc
+from mlframes.llm import ann, lines, mixing, packing, setjoin, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +81,17 @@ def test_null_ids_stay_in_the_mix(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = mixing.mixed(df).collect()
     assert sum(r.doc_id is None for r in out) > 0 and sum(r.doc_id is not None for r in out) > 0
+
+
+def test_line_dedup_of_null_ids_repeats_and_long_texts(spark):
+    words = [f"w{i}" for i in range(170_000)]  # over 1 MB
+    long, passage = " ".join(words), " ".join(words[70_000:70_060])
+    rows = [(1, long), (None, f"one {passage} two"), (None, None), (3, f"x {passage} y"), (3, f"x {passage} y"), (3, "short text"), (4, ""),
+            (5, "ab " * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.text or "") for r in lines.remove_repeats(docs).collect())
+    # the null id comes first and keeps the passage; rows equal in id and text are one document
+    kept = " ".join(words[:70_000] + words[70_060:])
+    assert out == sorted([(1, kept), (0, f"one {passage} two"), (0, ""), (3, "x y"), (3, "x y"), (3, "short text"), (4, ""),
+                          (5, ("ab " * 50).strip())])
+    assert lines.remove_repeats(docs.limit(0)).count() == 0
