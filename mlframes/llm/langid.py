@@ -15,6 +15,8 @@ PIECE = 1 << 18
 FIT_ROWS = 4_000
 #: Languages a model may hold: it goes to every task.
 MOST_LANGUAGES = 2_000
+#: The share of a language's fit rows, and of the likeness which that share of them stays under, that bound what is told.
+LOW_SHARE, LOW_PART = 0.01, 0.6
 
 
 def _letters() -> np.ndarray:
@@ -140,11 +142,12 @@ def _count(batches):
                                          names=["lang", "gram", "c"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Profiles (lang, gram, rank): the ``KEPT`` most frequent n-grams of each language.
+def fit_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text) that a model is fitted on.
 
     Rows without a language or text teach nothing. Of a language with more than ``fit_rows`` rows about that many
-    are read, whole, chosen by a hash of the text: the documented bound of the fit.
+    are read, whole, chosen by a hash of the text: the documented bound of the fit. More than ``MOST_LANGUAGES``
+    languages are an error.
     """
     rows = labelled.select(column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
@@ -152,8 +155,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
     if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * fit_rows)
-    counts = (rows.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
-              .mapInArrow(_count, "lang string, gram long, c long")
+    return rows.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Profiles (lang, gram, rank): the ``KEPT`` most frequent n-grams of each language, of the rows of ``fit_sample``."""
+    return _profiles(fit_sample(labelled, text_col, lang_col, fit_rows))
+
+
+def _profiles(sample: DataFrame) -> DataFrame:
+    counts = (sample.mapInArrow(_count, "lang string, gram long, c long")
               .groupBy("lang", "gram").agg(F.sum("c").alias("c")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram")) - 1
     return counts.withColumn("rank", place).where(F.col("rank") < KEPT).select("lang", "gram", "rank")
@@ -187,27 +198,34 @@ def _distances(texts: list[str], known: np.ndarray, ranks: np.ndarray):
 
 
 def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", names=("lang_pred", "score")) -> DataFrame:
-    """The rows of ``docs`` with the nearest language and a likeness from 0 to 1.
+    """The rows of ``docs`` with the nearest language and a likeness from 0 to 1, and under a third name, if one is
+    given, the number of n-grams that were ranked.
 
     A null text, or one without a letter, is ``und`` with likeness 0, and so is every text when nothing was
-    learned. Ties go to the language that sorts first. Only the text is read. The two names must be free.
+    learned. Ties go to the language that sorts first. Only the text is read. The names must be free.
     """
-    langs, known, ranks = _model(profiles)
-    schema = StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
+    return _told(docs, _model(profiles), text_col, names)
+
+
+def _told(docs: DataFrame, model, text_col: str, names) -> DataFrame:
+    langs, known, ranks = model
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in zip(names, ("string", "double", "long")):
+        schema = schema.add(name, kind)
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in sliced(batches):
             texts = _strings(batch.column(place))
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            lang, score, n = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             if len(langs) and len(texts):
                 away, n = _distances(texts, known, ranks)
                 best = away.argmin(axis=1)
                 some = n > 0
                 lang[some] = np.array(langs, object)[best[some]]
                 score[some] = 1 - away[np.arange(len(texts)), best][some] / (KEPT * n[some])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)],
-                                             names=[*batch.schema.names, *names])
+            told = [pa.array(lang, pa.string()), pa.array(score), pa.array(n)][:len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, *names])
     return docs.mapInArrow(run, schema)
 
 
@@ -216,11 +234,30 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                    least: float = 0.05) -> DataFrame:
-    """The documents whose language could be told: those without letters, and those whose likeness to every known
-    language is under ``least``, go. Columns stay as they are."""
-    names = fresh(docs.columns, "lang_pred", "score")
-    profiles = fit(docs.where(~held_out(id_col)), text_col, lang_col)
-    told = predict(docs, profiles, text_col, names)
-    return told.where((column(names[0]) != "und") & (column(names[1]) >= least)).drop(*names)
+def least_likeness(sample: DataFrame, model, share: float = LOW_SHARE, part: float = LOW_PART) -> DataFrame:
+    """(lang, grams, least): by language and number of ranked n-grams (as its binary logarithm, rounded down),
+    ``part`` of the likeness that ``share`` of the fit rows of that language stay under."""
+    lang, score, n = "lang_pred", "score", "ranked"
+    told = _told(sample, model, "text", (lang, score, n)).where(F.col(n) > 0)
+    return told.groupBy(F.col(lang).alias("lang"), _grams(n).alias("grams")).agg(
+        (F.percentile_approx(score, share, 10_000) * part).alias("least"))
+
+
+def _grams(name: str):
+    return F.floor(F.log2(column(name))).cast("int")
+
+
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """The documents whose language could be told: those without letters go, and those that are less like their nearest
+    language than ``least_likeness`` says of texts of as many n-grams. Noise made of known letters and languages
+    that were not learned are as far from every profile as that, unless they are a few words. Where no fit row has as many
+    n-grams nothing is known, and the document stays. Columns stay as they are."""
+    names = fresh(docs.columns, "lang_pred", "score", "ranked", "grams", "least")
+    sample = fit_sample(docs.where(~held_out(id_col)), text_col, lang_col)
+    model = _model(_profiles(sample))
+    lows = saved(least_likeness(sample, model), "likeness")  # a row per language and ten lengths at most
+    lows = lows.select(F.col("lang").alias(names[0]), F.col("grams").alias(names[3]), F.col("least").alias(names[4]))
+    told = _told(docs, model, text_col, names[:3]).where((column(names[0]) != "und") & (column(names[2]) > 0))
+    told = told.withColumn(names[3], _grams(names[2])).join(F.broadcast(lows), [names[0], names[3]], "left")
+    low = column(names[4])
+    return told.where(low.isNull() | (column(names[1]) >= low)).select(*[column(c) for c in docs.columns])

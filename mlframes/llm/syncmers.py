@@ -10,8 +10,10 @@ UNIT = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p
         r"|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,16}")
 #: Units of a k-mer and of its inner substrings.
 K, S = 5, 2
-#: Successive ids that meet in one window.
-IDS_PER_PART = 256
+#: Rows of successive ids that meet in one window, about.
+ROWS_PER_PART = 256
+#: Ranges that ids are cut into by a bounded sketch, and the numbers of parts kept for each.
+RANGES, PARTS = 1 << 10, 1 << 40
 
 
 def syncmers(text, k: int = K, s: int = S):
@@ -61,6 +63,34 @@ def successors(parts: DataFrame, per_part: int, levels: int = 3) -> DataFrame:
     return placed.join(heads, "__up").select("__part", F.coalesce("__next", "__first").alias("__next"))
 
 
+def with_parts(rows: DataFrame, per_part: int) -> DataFrame:
+    """The rows with ``__part``, a number that grows with ``doc_id`` and that about ``per_part`` rows share.
+
+    Quantiles of a sketch cut the ids into at most ``RANGES`` ranges, and each range is cut evenly, as its own ids lie. So
+    parts are as large for ids without gaps as for hashes, and ids that lie close together far from the rest take a part
+    of at most a range's rows. The sketch works in doubles, which keeps up to 1,024 (near 2**63) neighbouring ids together.
+    Null ids are a part of their own, before all others.
+    """
+    probs = [i / RANGES for i in range(1, RANGES)]
+    cut = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                   F.percentile_approx("doc_id", probs, 10 * RANGES).alias("b"))
+    # few rows need few ranges
+    cut = cut.withColumn("step", F.expr(f"cast(greatest(1, ceil({RANGES * per_part} / nullif(n, 0))) as int)"))
+    cut = cut.withColumn("b", F.expr("filter(b, (x, i) -> (i + 1) % step = 0)"))
+    cut = cut.select(F.struct(
+        "b", F.expr("filter(b, (x, i) -> i % 32 = 31)").alias("coarse"),
+        F.expr("concat(array(low), b)").alias("froms"),
+        # a range's width as a share of the parts it should have
+        F.expr(f"transform(concat(b, array(high)), (x, i) -> greatest(1D, (double(x) - double(if(i = 0, low, b[i - 1])))"
+               f" * {per_part * RANGES}D / (double(n) * step)))").alias("widths")))
+    held = rows.withColumn("__cut", cut.scalar())
+    held = held.withColumn("__step", F.expr("size(filter(__cut.coarse, x -> x < doc_id)) * 32"))
+    held = held.withColumn("__range", F.expr("__step + size(filter(slice(__cut.b, __step + 1, 32), x -> x < doc_id))"))
+    inside = F.expr(f"least({PARTS - 1}L, bigint(floor((double(doc_id) - double(__cut.froms[__range])) / __cut.widths[__range])))")
+    part = F.when(F.col("doc_id").isNotNull(), F.col("__range") * F.lit(PARTS) + inside).otherwise(F.lit(-2**62))
+    return held.withColumn("__part", part).drop("__cut", "__step", "__range")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """(doc_id, text, prints): the fingerprint of every row. A null text is empty, an empty one has no anchors."""
     return docs.select(column(id_col).alias("doc_id"), text_column(text_col).alias("text")).withColumn(
@@ -68,19 +98,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S,
-                per_part: int = IDS_PER_PART) -> DataFrame:
+                per_part: int = ROWS_PER_PART) -> DataFrame:
     """For every row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next row's
     text, ids ascending, the first row's for the last. ``near_edited`` and ``near_next`` are the likeness of the
     fingerprint to the edited text's and the next row's.
 
-    Rows of ``per_part`` successive ids meet in a window, which costs one shuffle of the texts; only its last row
-    takes the next part's first text by a join. A null text is empty; rows of one id are ordered by their text; a null
+    About ``per_part`` rows of successive ids meet in a window, which costs one shuffle of the texts; only its last row
+    takes the next part's first text by a join. Ids may be any: ``with_parts`` cuts them by where they lie. A null text is empty; rows of one id are ordered by their text; a null
     id comes first.
     """
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    rows = rows.withColumn("__part", F.coalesce(F.floor(F.col("doc_id") / per_part), F.lit(-2**62)))
+    rows = with_parts(rows, per_part)
     inside = Window.partitionBy("__part").orderBy("doc_id", "text")
     ahead = rows.withColumn("next_text", F.lead("text").over(inside))
     ahead = ahead.withColumn("prints", syncmers(F.col("text"), k, s))
