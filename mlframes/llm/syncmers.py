@@ -74,21 +74,25 @@ def with_parts(rows: DataFrame, per_part: int) -> DataFrame:
     probs = [i / RANGES for i in range(1, RANGES)]
     cut = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                    F.percentile_approx("doc_id", probs, 10 * RANGES).alias("b"))
-    # few rows need few ranges
-    cut = cut.withColumn("step", F.expr(f"cast(greatest(1, ceil({RANGES * per_part} / nullif(n, 0))) as int)"))
-    cut = cut.withColumn("b", F.expr("filter(b, (x, i) -> (i + 1) % step = 0)"))
-    cut = cut.select(F.struct(
-        "b", F.expr("filter(b, (x, i) -> i % 32 = 31)").alias("coarse"),
-        F.expr("concat(array(low), b)").alias("froms"),
-        # a range's width as a share of the parts it should have
-        F.expr(f"transform(concat(b, array(high)), (x, i) -> greatest(1D, (double(x) - double(if(i = 0, low, b[i - 1])))"
-               f" * {per_part * RANGES}D / (double(n) * step)))").alias("widths")))
-    held = rows.withColumn("__cut", cut.scalar())
-    held = held.withColumn("__step", F.expr("size(filter(__cut.coarse, x -> x < doc_id)) * 32"))
-    held = held.withColumn("__range", F.expr("__step + size(filter(slice(__cut.b, __step + 1, 32), x -> x < doc_id))"))
-    inside = F.expr(f"least({PARTS - 1}L, bigint(floor((double(doc_id) - double(__cut.froms[__range])) / __cut.widths[__range])))")
+    found = cut.first()  # one row, of RANGES numbers at most
+    if not found.n:
+        return rows.withColumn("__part", F.lit(-2**62))
+    step = -(-RANGES * per_part // found.n)  # few rows need few ranges
+    edges = found.b[step - 1::step]
+    froms, tos = [found.low, *edges], [*edges, found.high]
+    # a range's width as a share of the parts it should have
+    widths = [max(1.0, (float(z) - float(a)) * per_part * RANGES / (float(found.n) * step)) for a, z in zip(froms, tos)]
+    longs, coarse = (F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<long>") for xs in (edges, edges[31::32]))
+
+    def below(bounds):
+        return F.size(F.filter(bounds, lambda x: x < F.col("doc_id")))
+
+    held = rows.withColumn("__step", below(coarse) * 32)
+    held = held.withColumn("__range", F.col("__step") + below(F.slice(longs, F.col("__step") + 1, 32)))
+    start, width = (F.get(F.array(*[F.lit(x).cast("double") for x in xs]), F.col("__range")) for xs in (froms, widths))
+    inside = F.least(F.lit(PARTS - 1), F.floor((F.col("doc_id").cast("double") - start) / width).cast("long"))
     part = F.when(F.col("doc_id").isNotNull(), F.col("__range") * F.lit(PARTS) + inside).otherwise(F.lit(-2**62))
-    return held.withColumn("__part", part).drop("__cut", "__step", "__range")
+    return held.withColumn("__part", part).drop("__step", "__range")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
