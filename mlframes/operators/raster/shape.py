@@ -7,10 +7,12 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from mlframes.functions import colour
 from mlframes.operators.raster import KEYS, join_keyed
+from mlframes.plans.components import connected_components
+from mlframes.plans.storage import checkpoint
 
 # Moment orders (p over rows, q over columns) up to three: the order of entries in moment arrays.
 ORDERS = [(p, q) for p in range(4) for q in range(4 - p)]
@@ -208,85 +210,150 @@ def _half_hull(points):
     return hull
 
 
-def _hull_pixels(rows, starts, ends) -> int:
-    """Pixels whose centre lies in the convex hull of the pixels' edge midpoints."""
-    lines, first = np.unique(rows, return_index=True)
-    lo = np.minimum.reduceat(starts, first)
-    hi = np.maximum.reduceat(ends, first)
-    points = set()
-    for y, a, b in zip(lines.tolist(), lo.tolist(), hi.tolist()):
-        points |= {(y, a - 0.5), (y, b + 0.5), (y - 0.5, a), (y + 0.5, a), (y - 0.5, b), (y + 0.5, b)}
-    points = sorted(points)
-    lower, upper = _half_hull(points), _half_hull(points[::-1])[::-1]
-    y = np.arange(lines[0], lines[-1] + 1)
-    sides = [np.interp(y, [p[0] for p in side], [p[1] for p in side]) for side in (lower, upper)]
+def _hull(y: np.ndarray, x: np.ndarray):
+    """The lower and the upper chain of the convex hull of points."""
+    points = sorted(set(zip(y.tolist(), x.tolist())))
+    return _half_hull(points), _half_hull(points[::-1])[::-1]
+
+
+def _hull_of_lines(rows, low, high):
+    """Corners (y, x) of the hull of the edge midpoints of lines of pixels."""
+    y = np.concatenate([rows, rows, rows - 0.5, rows + 0.5, rows - 0.5, rows + 0.5])
+    x = np.concatenate([low - 0.5, high + 0.5, low, low, high, high])
+    lower, upper = _hull(y, x)
+    corners = np.array(lower + upper)
+    return corners[:, 0], corners[:, 1]
+
+
+def _hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
+    """Pixels whose centre lies in the convex hull of points."""
+    lower, upper = _hull(y, x)
+    lines = np.arange(math.ceil(y.min()), math.floor(y.max()) + 1)
+    sides = [np.interp(lines, [p[0] for p in side], [p[1] for p in side]) for side in (lower, upper)]
     left, right = np.minimum(*sides), np.maximum(*sides)
     return int((np.floor(right + 1e-9) - np.ceil(left - 1e-9) + 1).sum())
 
 
-def _hole_pixels(rows, starts, ends) -> int:
-    """Pixels of the gaps between runs that no four-connected path leads out of."""
+def _first_of_each(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below ``n`` that each one hangs together with by the pairs."""
+    parent = np.arange(n)
+    while True:
+        before = parent.copy()
+        low = np.minimum(parent[a], parent[b])
+        np.minimum.at(parent, before[a], low)
+        np.minimum.at(parent, before[b], low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        if (parent == before).all():
+            return parent
+
+
+def _gaps(rows, starts, ends, block: int, size: int):
+    """What the gaps between a block's runs add to the holes: the pixels of groups of gaps that are closed within the block,
+    and for the others (group, gap, pixels, outside), a row per gap on a line that two blocks know.
+
+    A gap leads outside where the line above or below does not reach over it. ``rows`` may hold the lines before and after
+    the block's own; their gaps only tie groups together.
+    """
+    lines, first = np.unique(rows, return_index=True)
+    low, high = np.minimum.reduceat(starts, first), np.maximum.reduceat(ends, first)
     inside = rows[1:] == rows[:-1]
-    gap_row, gap_from, gap_to = rows[1:][inside], ends[:-1][inside] + 1, starts[1:][inside] - 1
-    if not len(gap_row):
-        return 0
-    extent = {}
-    for y, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
-        low, high = extent.get(y, (a, b))
-        extent[y] = (min(low, a), max(high, b))
-    parent = list(range(len(gap_row) + 1))  # the last one stands for the outside
-    outside = len(gap_row)
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    by_row = {}
-    for i, y in enumerate(gap_row.tolist()):
-        by_row.setdefault(y, []).append(i)
-    for y, here in by_row.items():
-        for i in here:
-            for other in (y - 1, y + 1):
-                low, high = extent.get(other, (math.inf, -math.inf))
-                if gap_from[i] < low or gap_to[i] > high:
-                    parent[find(i)] = find(outside)
-        below, k = by_row.get(y + 1, []), 0
-        for i in here:  # both lists run from left to right
-            while k < len(below) and gap_to[below[k]] < gap_from[i]:
-                k += 1
-            j = k
-            while j < len(below) and gap_from[below[j]] <= gap_to[i]:
-                parent[find(i)] = find(below[j])
-                j += 1
-    away = find(outside)
-    return int(sum(gap_to[i] - gap_from[i] + 1 for i in range(len(gap_row)) if find(i) != away))
-
-
-@F.pandas_udf(StructType([StructField("convex_area", LongType()), StructField("holes", LongType())]))
-def _outline(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for rows, starts, ends in parts:
-        runs = [[np.asarray(v, dtype=np.int64) for v in row] for row in zip(rows, starts, ends)]
-        yield pd.DataFrame({"convex_area": [_hull_pixels(*r) for r in runs], "holes": [_hole_pixels(*r) for r in runs]})
-
-
-def outlines(around: DataFrame) -> DataFrame:
+    row, left, right = rows[1:][inside], ends[:-1][inside] + 1, starts[1:][inside] - 1
+    own = row // size == block
+    if not own.any():
+        return 0, *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+    outside = np.zeros(len(row), bool)
+    for other in (row - 1, row + 1):
+        at = np.minimum(np.searchsorted(lines, other), len(lines) - 1)
+        outside |= (lines[at] != other) | (left < low[at]) | (right > high[at])
+    outside &= own
+    # gaps of the next line that overlap: neither ends before this one, nor begins after it
+    since = np.searchsorted(row * PLACE + right, (row + 1) * PLACE + left)
+    n = np.maximum(np.searchsorted(row * PLACE + left, (row + 1) * PLACE + right, "right") - since, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(since, n)
+    group = _first_of_each(len(row), a, b)
+    pixels = np.bincount(group, np.where(own, right - left + 1, 0), len(row)).astype(np.int64)
+    leads = np.bincount(group, outside, len(row)) > 0
+    known = (row > 0) & ((row % size == 0) | (row % size == size - 1))  # lines that the next or the last block has too
+    least = np.full(len(row), len(row))
+    np.minimum.at(least, group[known], np.flatnonzero(known))
+    closed = (np.arange(len(row)) == group) & (least == len(row)) & ~leads
+    gap = np.flatnonzero(known)
+    head = least[group[gap]]
+    number = row * PLACE + left
+    return int(pixels[closed].sum()), number[head], number[gap], np.where(head == gap, pixels[group[gap]], 0), leads[group[gap]]
+
+
+#: Lines of a block: what a task holds of a segment at a time is the runs of one block. Gaps are numbered row * PLACE + col.
+LINES = 256
+PLACE = 1 << 31
+_BLOCK = "y array<double>, x array<double>, closed bigint, head array<bigint>, gap array<bigint>, pixels array<bigint>, outside array<boolean>"
+
+
+def _block_outline(size: int):
+    @F.pandas_udf(_BLOCK)
+    def outline(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for blocks, *runs in parts:
+            found = []
+            for block, *run in zip(blocks, *runs):
+                rows, starts, ends = (np.asarray(v, dtype=np.int64) for v in run)
+                lines, first = np.unique(rows, return_index=True)
+                y, x = _hull_of_lines(lines, np.minimum.reduceat(starts, first), np.maximum.reduceat(ends, first))
+                found.append((y, x, *_gaps(rows, starts, ends, block, size)))
+            yield pd.DataFrame(found, columns=["y", "x", "closed", "head", "gap", "pixels", "outside"])
+    return outline
+
+
+@F.pandas_udf(LongType())
+def _convex_area(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for ys, xs in parts:
+        yield pd.Series([_hull_pixels(np.asarray(y), np.asarray(x)) for y, x in zip(ys, xs)], dtype="int64")
+
+
+def _open_holes(blocks: DataFrame) -> DataFrame:
+    """(filename, segment, open): pixels of holes that lie in more than one block of lines."""
+    met = checkpoint(blocks.select(*KEYS, F.inline(F.arrays_zip("b.head", "b.gap", "b.pixels", "b.outside"))))
+    groups = met.groupBy(*KEYS, F.col("head").alias("node")).agg(F.sum("pixels").alias("pixels"), F.max("outside").alias("outside"))
+    edges = met.where("head <> gap").select("filename", F.col("head").alias("n1"), F.col("gap").alias("n2"))
+    if edges.isEmpty():
+        whole = groups.withColumnRenamed("node", "component")
+    else:  # a gap follows a pixel of its segment, so its number is of one segment only
+        nodes = met.select("filename", F.col("head").alias("node")).union(met.select("filename", "gap"))
+        whole = join_keyed(groups, connected_components(nodes, edges, "filename", "node"), ["filename", "node"])
+    whole = whole.groupBy(*KEYS, "component").agg(F.sum("pixels").alias("pixels"), F.max("outside").alias("outside"))
+    return whole.where("not outside").groupBy(*KEYS).agg(F.sum("pixels").alias("open"))
+
+
+def outlines(around: DataFrame, lines_per_block: int = LINES) -> DataFrame:
     """(filename, segment, area, filled_area, convex_area, solidity, euler_number).
 
-    A segment is reduced to its horizontal runs, found where a neighbour differs, so what reaches the
-    Python helper is the outline and not the area.
+    A segment is reduced to its horizontal runs, found where a neighbour differs, and these to blocks of lines: a
+    block gives the corners of its hull, the pixels of holes that close within it, and the groups of gaps that touch a line
+    which the next block has too. The corners of all blocks (few, as they are corners on a grid) give the hull; groups are
+    tied together by their common gaps. So however large a segment is, no task holds more than a block of it.
     """
     def ordered(edge):
-        return F.sort_array(F.collect_list(F.when(~_same(edge), F.struct("row", "col"))))
-
-    runs = around.groupBy(*KEYS).agg(F.count("*").alias("area"), _euler(), ordered("w").alias("__from"),
-                                     ordered("e").alias("__to"))
-    shape = _outline(F.col("__from.row"), F.col("__from.col"), F.col("__to.col"))
-    out = runs.withColumn("__shape", shape)
-    return out.select(*KEYS, "area", (F.col("area") + F.col("__shape.holes")).alias("filled_area"),
-                      F.col("__shape.convex_area").alias("convex_area"),
-                      (F.col("area") / F.col("__shape.convex_area")).alias("solidity"), "euler_number")
+        return F.sort_array(F.collect_list(F.when(~_same(edge), F.col("col"))))
+
+    lines = around.groupBy(*KEYS, F.col("row").cast("long").alias("row")).agg(
+        F.count("*").alias("n"), F.sum(_quad_twelfths()).alias("q"), ordered("w").alias("from"), ordered("e").alias("to"))
+    near = F.array_distinct(F.array(*[F.floor((F.col("row") + i) / lines_per_block) for i in (-1, 0, 1)]))
+    lines = lines.withColumn("block", F.explode(near))
+    own = F.floor(F.col("row") / lines_per_block) == F.col("block")
+    blocks = lines.groupBy(*KEYS, "block").agg(
+        F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("q"))).alias("q"),
+        F.sort_array(F.collect_list(F.struct("row", "from", "to"))).alias("r")).where("n > 0")
+    rows = F.flatten(F.transform("r", lambda x: F.array_repeat(x["row"], F.size(x["from"]))))
+    blocks = checkpoint(blocks.select(*KEYS, "n", "q", _block_outline(lines_per_block)(
+        F.col("block"), rows, F.flatten("r.from"), F.flatten("r.to")).alias("b")))
+    whole = blocks.groupBy(*KEYS).agg(
+        F.sum("n").alias("area"), (F.sum("q") / 12).cast("int").alias("euler_number"), F.sum("b.closed").alias("closed"),
+        F.collect_list(F.struct("b.y", "b.x")).alias("hull"))
+    whole = whole.withColumn("convex_area", _convex_area(F.flatten("hull.y"), F.flatten("hull.x")))
+    out = join_keyed(whole, _open_holes(blocks), KEYS, "left")
+    return out.select(*KEYS, "area", (F.col("area") + F.col("closed") + F.coalesce("open", F.lit(0))).alias("filled_area"),
+                      "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"), "euler_number")
 
 
 def outline_properties(px: DataFrame) -> DataFrame:

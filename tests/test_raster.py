@@ -115,6 +115,36 @@ def test_random_shapes_against_brute_force(spark, seed):
         assert out[s]["perimeter"] == pytest.approx(brute_perimeter(mask))
 
 
+def brute_hull(mask):
+    """Pixels that no straight line through two edge midpoints parts from the segment, by turning around all pairs."""
+    pts = sorted({(y + i, x + j) for y, x in np.argwhere(mask) for i, j in ((0, .5), (0, -.5), (.5, 0), (-.5, 0))})
+    edges = [(p, q) for p in pts for q in pts if p != q
+             and all((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]) >= -1e-9 for r in pts)]
+    return sum(all((q[0] - p[0]) * (x - p[1]) - (q[1] - p[1]) * (y - p[0]) >= -1e-9 for p, q in edges)
+               for y, x in np.ndindex(mask.shape))
+
+
+SHAPES = {"comb": "1" * 13 + " " + " ".join(["12" * 6 + "1"] * 8), "spiral": "\n".join([
+    "1111111111", "1222222221", "1211111121", "1212222121", "1212112121", "1212212121", "1211112121", "1222222121", "1111111121", "2222222221"]),
+    "rings": "1111111111 1222222221 1211111121 1212222121 1212112121 1212112121 1212222121 1211111121 1222222221 1111111111",
+    "far apart": "1222222 2222222 2222222 2222222 2222222 2222221 2222122 2221212 2222122"}
+
+
+@pytest.mark.parametrize("name", [*SHAPES, 4, 5])
+@pytest.mark.parametrize("lines_per_block", [2, 3])
+def test_outlines_by_blocks_of_lines(spark, name, lines_per_block):
+    text = SHAPES.get(name)
+    if text is None:
+        grid = np.random.default_rng(name).choice([1, 2], (10, 9), p=[.65, .35])
+        text = " ".join("".join(map(str, line)) for line in grid)
+    grid = np.array([list(map(int, line)) for line in text.split()])
+    out = by_segment(shape.outlines(shape.neighbourhood(image(spark, text)), lines_per_block))
+    for s in (1, 2):
+        mask = grid == s
+        assert (out[s]["area"], out[s]["filled_area"], out[s]["euler_number"]) == (mask.sum(), brute_fill(mask), parts_minus_holes(mask))
+        assert out[s]["convex_area"] == brute_hull(mask)
+
+
 def test_moments_of_a_shifted_rectangle(spark):
     big = "\n".join(["2" * 12] * 3 + ["2222" + "11111" + "222"] * 2 + ["2" * 12] * 2)
     r = by_segment(shape.region_properties(image(spark, big)))[1]
