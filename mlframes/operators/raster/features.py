@@ -61,7 +61,7 @@ def ratio_statistics(px: DataFrame) -> DataFrame:
 def paint_segment_means(px: DataFrame, bands=("blue", "green", "red")) -> DataFrame:
     """Each pixel with the mean of its segment, ``<band>_segment``. Hot segments are salted."""
     means = px.groupBy(*KEYS).agg(*[F.avg(b).alias(f"{b}_segment") for b in bands])
-    return attach(px, means, KEYS)
+    return attach(px, means, KEYS, hint="shuffle_hash")
 
 
 # ---- spectral features -------------------------------------------------------------------------

@@ -80,3 +80,11 @@ def test_segment_tables_join_where_they_lie(spark):
     from mlframes.operators.raster.features import index_features
     text = plan(index_features(pixels(spark, SF)))
     assert text.count("hashpartitioning(filename") == 2 and text.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("name", ["r02_spectral_features", "r09_region_properties", "r09_region_properties_far", "r11_region_edges",
+                                  "r15_edges_below", "r17_pivot_segments", "w05_segment_mean_image", "j06_join_segment_features"])
+def test_tables_of_pixels_are_never_broadcast(spark, name):
+    """Exploded pixels look as small as the rows they come from, so Spark would send them through the driver."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "BroadcastExchange" not in text or name == "r02_spectral_features" and text.count("BroadcastExchange") == 1
