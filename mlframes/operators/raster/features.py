@@ -22,12 +22,16 @@ def index_features(px: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """55 columns ``<quantity>_<statistic>`` per segment. NULL pixels are skipped.
 
     Simple statistics combine before the shuffle; medians take the size-checked path of
-    ``grouped_quantiles``. Both are partitioned by the segment, so joining them moves nothing.
+    ``grouped_quantiles``, which moves the four bands and works the indices out where they are sorted. Both are partitioned by the segment, so joining them moves nothing.
     """
-    values = indices.with_indices(px).select(*KEYS, *[F.col(q).cast("double").alias(q) for q in QUANTITIES])
+    def quantities(bands: DataFrame) -> DataFrame:
+        return indices.with_indices(bands).select(*KEYS, *[F.col(q).cast("double").alias(q) for q in QUANTITIES])
+
+    px = px.select(*KEYS, *indices.BANDS)
+    values = quantities(px)
     simple = {"min": F.min, "max": F.max, "std": F.stddev_pop, "mean": F.avg}
     basic = values.groupBy(*KEYS).agg(*[f(q).alias(f"{q}_{s}") for q in QUANTITIES for s, f in simple.items()])
-    medians = grouped_quantiles(values, KEYS, QUANTITIES, [0.5], group_rows)
+    medians = grouped_quantiles(px, KEYS, QUANTITIES, [0.5], group_rows, quantities)
     medians = medians.withColumnsRenamed({f"{q}_q0": f"{q}_median" for q in QUANTITIES})
     return join_keyed(basic, medians, KEYS).select(*KEYS, *[f"{q}_{s}" for q in QUANTITIES for s in STATISTICS])
 
@@ -83,8 +87,9 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
     ``images`` (filename, date as yyyymmdd) adds ``day_of_year``. Image means are added up from the
     segments, so the pixels are not read again for them.
     """
-    base = spectral_bands(px)
     rededge = ["rededge"] if "rededge" in px.columns else []
+    px = px.select(*KEYS, "red", "green", "blue", "nir", *rededge)
+    base = spectral_bands(px)
     named = ["red", "green", "blue", *rededge, "nir", *"hsvlabxyz"]
     r, g, b, n = (F.col(c) for c in ("red", "green", "blue", "nir"))
     means = {"SR": indices.simple_ratio(n, r), "CL_green": indices.chlorophyll(n, g),
@@ -100,7 +105,7 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
         *[F.avg(e).alias(name) for name, e in {**means, **differences}.items()],
         (F.greatest(*[F.max(c) for c in rgb]) - F.least(*[F.min(c) for c in rgb])).alias("mean_chroma"),
         *[F.sum(c).alias(f"__{c}") for c in named], F.count("red").alias("__n"))
-    inner = grouped_interquartile_means(base, KEYS, named, group_rows)
+    inner = grouped_interquartile_means(px, KEYS, named, group_rows, spectral_bands)
     inner = inner.withColumnsRenamed({c: f"{c}_mean" for c in named})
     per_image = per_segment.groupBy("filename").agg(
         *[F.try_divide(F.sum(f"__{c}"), F.sum("__n")).alias(f"image_mean_{c}") for c in named])

@@ -26,6 +26,14 @@ def split_by_size(df: DataFrame, keys, group_rows: int = GROUP_ROWS):
     return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi")
 
 
+def _derived(small: DataFrame, hot: DataFrame | None, keys, derive):
+    """Both parts with the columns that ``derive`` makes of a row. Rows of small groups are moved to their task before that: derived
+    values are many and hardly compress, while their inputs do."""
+    if derive is None:
+        return small, hot
+    return derive(small.repartition(*keys)), hot if hot is None else derive(hot)
+
+
 def sorted_values(columns):
     """Aggregates giving the sorted non-null values of each column. For size-checked groups only."""
     return [F.sort_array(F.collect_list(c)).alias(f"__{c}") for c in columns]
@@ -60,10 +68,11 @@ def _wide(long: DataFrame, keys, columns, values) -> DataFrame:
         F.max(F.when(F.col("quantity") == c, F.col(v))).alias(f"{c}_{v}") for c in columns for v in values])
 
 
-def grouped_quantiles(df: DataFrame, keys, columns, probs, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Columns ``<column>_q0``, ``<column>_q1``, ... for the given probabilities."""
+def grouped_quantiles(df: DataFrame, keys, columns, probs, group_rows: int = GROUP_ROWS, derive=None) -> DataFrame:
+    """Columns ``<column>_q0``, ``<column>_q1``, ... for the given probabilities. ``derive``, a function from frame to frame that
+    works row by row, makes the columns from those of ``df``."""
     keys, columns = list(keys), list(columns)
-    small, hot = split_by_size(df, keys, group_rows)
+    small, hot = _derived(*split_by_size(df, keys, group_rows), keys, derive)
     arrays = small.groupBy(*keys).agg(*sorted_values(columns))
     out = arrays.select(*keys, *[sorted_quantile(f"__{c}", p).alias(f"{c}_q{i}")
                                  for c in columns for i, p in enumerate(probs)])
@@ -75,10 +84,11 @@ def grouped_quantiles(df: DataFrame, keys, columns, probs, group_rows: int = GRO
     return out.unionByName(join_on(hot.select(*keys).distinct(), wide, keys, "left"))
 
 
-def grouped_interquartile_means(df: DataFrame, keys, columns, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Mean of the values strictly between the first and third quartile, one column per input column."""
+def grouped_interquartile_means(df: DataFrame, keys, columns, group_rows: int = GROUP_ROWS, derive=None) -> DataFrame:
+    """Mean of the values strictly between the first and third quartile, one column per column. ``derive`` is as in
+    ``grouped_quantiles``."""
     keys, columns = list(keys), list(columns)
-    small, hot = split_by_size(df, keys, group_rows)
+    small, hot = _derived(*split_by_size(df, keys, group_rows), keys, derive)
     arrays = small.groupBy(*keys).agg(*sorted_values(columns))
     out = arrays.select(*keys, *[interquartile_mean(f"__{c}").alias(c) for c in columns])
     if hot is None:

@@ -88,3 +88,11 @@ def test_tables_of_pixels_are_never_broadcast(spark, name):
     """Exploded pixels look as small as the rows they come from, so Spark would send them through the driver."""
     text = plan(QUERIES[name](spark, SF))
     assert "BroadcastExchange" not in text or name == "r02_spectral_features" and text.count("BroadcastExchange") == 1
+
+
+def test_quantiles_move_bands_and_not_what_is_derived_from_them(spark):
+    from mlframes.operators.raster.features import index_features, spectral_features
+    for df, derived in ((index_features(pixels(spark, SF)), "MSAVI"), (spectral_features(pixels(spark, SF)), "AS v")):
+        lines = plan(df).splitlines()
+        moved = [below for line, below in zip(lines, lines[1:]) if "REPARTITION_BY_COL" in line]
+        assert len(moved) == 1 and "nir" in moved[0] and derived not in moved[0]
