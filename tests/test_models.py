@@ -191,3 +191,9 @@ def test_learning_curve_improves(frame):
     assert len(out) == 4 and all(r["mean"] < 0 and r["std"] >= 0 for r in out.values())
     assert out[0.1, "train"]["rows"] < out[1.0, "train"]["rows"] == pytest.approx(400)
     assert out[1.0, "validation"]["mean"] > -6
+
+
+def test_report_describes_a_model_of_several_clusters(spark):
+    from registry import QUERIES
+    rows = {r["model_clusters"]: r for r in QUERIES["a24_model_report"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == {1, 5} and all(r["inertia_is_cost"] for r in rows.values())
