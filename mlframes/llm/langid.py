@@ -11,8 +11,6 @@ from mlframes.llm.common import column, fresh, held, saved, sliced
 KEPT, LONGEST = 300, 3
 #: Characters whose n-grams are counted at once.
 PIECE = 1 << 18
-#: Labelled rows read for each language, about.
-FIT_ROWS = 4_000
 #: Languages a model may hold: it goes to every task.
 MOST_LANGUAGES = 2_000
 #: The share of a language's fit rows, and of the likeness which that share of them stays under, that bound what is told.
@@ -142,29 +140,24 @@ def _count(batches):
                                          names=["lang", "gram", "c"])
 
 
-def fit_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(lang, text) that a model is fitted on.
-
-    Rows without a language or text teach nothing. Of a language with more than ``fit_rows`` rows about that many
-    are read, whole, chosen by a hash of the text: the documented bound of the fit. More than ``MOST_LANGUAGES``
+def fit_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text) that a model is fitted on: every row with a language and a text, whole. More than ``MOST_LANGUAGES``
     languages are an error.
     """
     rows = labelled.select(column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    sizes = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * fit_rows)
-    return rows.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
+    return rows
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Profiles (lang, gram, rank): the ``KEPT`` most frequent n-grams of each language, of the rows of ``fit_sample``."""
-    return _profiles(fit_sample(labelled, text_col, lang_col, fit_rows))
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Profiles (lang, gram, rank): the ``KEPT`` most frequent n-grams of each language, of all rows of ``fit_rows``."""
+    return _profiles(fit_rows(labelled, text_col, lang_col))
 
 
-def _profiles(sample: DataFrame) -> DataFrame:
-    counts = (sample.mapInArrow(_count, "lang string, gram long, c long")
+def _profiles(learned: DataFrame) -> DataFrame:
+    counts = (learned.mapInArrow(_count, "lang string, gram long, c long")
               .groupBy("lang", "gram").agg(F.sum("c").alias("c")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram")) - 1
     return counts.withColumn("rank", place).where(F.col("rank") < KEPT).select("lang", "gram", "rank")
@@ -234,11 +227,11 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def least_likeness(sample: DataFrame, model, share: float = LOW_SHARE, part: float = LOW_PART) -> DataFrame:
+def least_likeness(learned: DataFrame, model, share: float = LOW_SHARE, part: float = LOW_PART) -> DataFrame:
     """(lang, grams, least): by language and number of ranked n-grams (as its binary logarithm, rounded down),
     ``part`` of the likeness that ``share`` of the fit rows of that language stay under."""
     lang, score, n = "lang_pred", "score", "ranked"
-    told = _told(sample, model, "text", (lang, score, n)).where(F.col(n) > 0)
+    told = _told(learned, model, "text", (lang, score, n)).where(F.col(n) > 0)
     return told.groupBy(F.col(lang).alias("lang"), _grams(n).alias("grams")).agg(
         (F.percentile_approx(score, share, 10_000) * part).alias("least"))
 
@@ -253,9 +246,9 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     that were not learned are as far from every profile as that, unless they are a few words. Where no fit row has as many
     n-grams nothing is known, and the document stays. Columns stay as they are."""
     names = fresh(docs.columns, "lang_pred", "score", "ranked", "grams", "least")
-    sample = fit_sample(docs.where(~held_out(id_col)), text_col, lang_col)
-    model = _model(_profiles(sample))
-    lows = saved(least_likeness(sample, model), "likeness")  # a row per language and ten lengths at most
+    learned = fit_rows(docs.where(~held_out(id_col)), text_col, lang_col)
+    model = _model(_profiles(learned))
+    lows = saved(least_likeness(learned, model), "likeness")  # a row per language and ten lengths at most
     lows = lows.select(F.col("lang").alias(names[0]), F.col("grams").alias(names[3]), F.col("least").alias(names[4]))
     told = _told(docs, model, text_col, names[:3]).where((column(names[0]) != "und") & (column(names[2]) > 0))
     told = told.withColumn(names[3], _grams(names[2])).join(F.broadcast(lows), [names[0], names[3]], "left")

@@ -111,3 +111,13 @@ def test_noise_goes_and_clean_documents_stay(spark):
     kept = langid.keep_identified(docs.unionByName(bad).unionByName(null))
     left = Counter(x.source == "noise" for x in kept.select("source").collect())
     assert kept.columns == docs.columns and left[True] == 0 and left[False] == docs.count() + 1
+
+
+def test_profiles_learn_from_every_row(spark):
+    """Forty words, each the text of 200 rows and more: a fit on a part of the rows would not know all of them, or not their order."""
+    words = [chr(0x4E00 + i) for i in range(40)]
+    rows = spark.createDataFrame([(w, 200 + i) for i, w in enumerate(words)], "text string, n int")
+    rows = rows.selectExpr("text", "'x' as lang", "explode(sequence(1, n))").drop("col")
+    found = {r["gram"]: r["rank"] for r in langid.fit(rows).collect()}
+    alone = [ord(w) for w in words]
+    assert sorted(alone, key=lambda g: found[g]) == alone[::-1]
