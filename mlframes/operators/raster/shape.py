@@ -142,13 +142,10 @@ def neighbourhood(px: DataFrame) -> DataFrame:
                    F.when(F.lag("col").over(line) == F.col("col") - 1, F.lag("segment").over(line)).alias("w"),
                    F.when(F.lead("col").over(line) == F.col("col") + 1, F.lead("segment").over(line)).alias("e"))
     down = Window.partitionBy("filename", "col").orderBy("row")
-    three = F.struct("w", "segment", "e")
-    px = px.withColumns({
-        "__n": F.when(F.lag("row").over(down) == F.col("row") - 1, F.lag(three).over(down)),
-        "__s": F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead(three).over(down))})
-    return px.select("filename", "row", "col", "segment",
-                     F.col("__n.w").alias("nw"), F.col("__n.segment").alias("n"), F.col("__n.e").alias("ne"), "w", "e",
-                     F.col("__s.w").alias("sw"), F.col("__s.segment").alias("s"), F.col("__s.e").alias("se"))
+    above, below = F.lag("row").over(down) == F.col("row") - 1, F.lead("row").over(down) == F.col("row") + 1
+    three = ("w", "segment", "e")  # one by one: a struct of them would be moved beside them
+    return px.select("filename", "row", "col", "segment", *[F.when(above, F.lag(c).over(down)).alias(n) for c, n in zip(three, ("nw", "n", "ne"))],
+                     "w", "e", *[F.when(below, F.lead(c).over(down)).alias(n) for c, n in zip(three, ("sw", "s", "se"))])
 
 
 def _same(name: str) -> Column:
@@ -163,14 +160,16 @@ BORDER_LENGTHS = {5: STRAIGHT, 7: STRAIGHT, 15: STRAIGHT, 17: STRAIGHT, 25: STRA
 
 
 def perimeters(around: DataFrame) -> DataFrame:
-    """(filename, segment, perimeter) from ``neighbourhood``. Only border pixels are shuffled."""
+    """(filename, segment, perimeter) from ``neighbourhood``. Only places beside border pixels are shuffled, once each: the sums
+    along an image column are formed where the column lies, those along a line by a window."""
     border = around.where(~(_same("n") & _same("s") & _same("w") & _same("e"))).select(*KEYS, "row", "col")
-    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"),
-                                 F.lit(1 if dr == dc == 0 else 2 if 0 in (dr, dc) else 10).alias("weight"))
-                        for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    reach = border.select(*KEYS, "row", "col", F.inline(offsets)).select(
-        *KEYS, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "weight")
-    codes = reach.groupBy(*KEYS, "row", "col").agg(F.sum("weight").alias("code"))
+    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(own).alias("own"), F.lit(beside).alias("beside"))
+                        for dr, own, beside in ((-1, 2, 10), (0, 1, 2), (1, 2, 10))])
+    reach = border.select(*KEYS, "row", "col", F.inline(offsets)).select(*KEYS, (F.col("row") + F.col("dr")).alias("row"), "col", "own", "beside")
+    sums = reach.groupBy(*KEYS, "row", "col").agg(F.sum("own").alias("own"), F.sum("beside").alias("beside"))
+    line = Window.partitionBy(*KEYS, "row").orderBy("col")
+    near = [F.when(at("col").over(line) == F.col("col") + d, at("beside").over(line)).otherwise(0) for at, d in ((F.lag, -1), (F.lead, 1))]
+    codes = sums.select(*KEYS, (F.col("own") + near[0] + near[1]).alias("code"))
     length = F.lit(0.0)
     for code, value in BORDER_LENGTHS.items():  # only border pixels have odd codes
         length = F.when(F.col("code") == code, F.lit(value)).otherwise(length)

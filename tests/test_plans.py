@@ -96,3 +96,11 @@ def test_quantiles_move_bands_and_not_what_is_derived_from_them(spark):
         lines = plan(df).splitlines()
         moved = [below for line, below in zip(lines, lines[1:]) if "REPARTITION_BY_COL" in line]
         assert len(moved) == 1 and "nir" in moved[0] and derived not in moved[0]
+
+
+def test_perimeters_move_each_place_once(spark):
+    from mlframes.operators.raster import shape
+    text = plan(shape.perimeters(shape.neighbourhood(pixels(spark, SF))))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert "struct(w" not in text  # what goes along columns is moved once
+    assert not any("row" in line and "col" in line for line in moved)  # sums of a column are formed where it lies
