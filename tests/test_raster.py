@@ -359,3 +359,44 @@ def test_moments_far_from_the_corner(spark):
     for name in ("moments", "moments_central", "weighted_moments_central", "moments_hu", "weighted_moments_hu", "inertia_tensor_eigvals"):
         assert far[name] == pytest.approx(near[name], rel=1e-6, abs=1e-6), name
     assert far["centroid_y"] - 20_000 == pytest.approx(near["centroid_y"]) and far["orientation"] == pytest.approx(near["orientation"])
+
+
+def test_rounds_in_a_task_and_between_tasks_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f, r, c, *(float(v) for v in rng.integers(0, 256, 3))) for f, h, w in (("a", 20, 31), ("b", 9, 7), ("c", 1, 1))
+            for r in range(h) for c in range(w)]
+    px = spark.createDataFrame(rows, "filename string, row int, col int, blue double, green double, red double").repartition(3)
+    within = superpixel.superpixels(px, 6, sigma=1.0, iterations=40, connected=False)
+    monkeypatch.setattr(superpixel, "WHOLE", 100)
+    between = superpixel.superpixels(px, 6, sigma=1.0, iterations=40, connected=False)
+    assert within.count() == len(rows)
+    assert set(map(tuple, within.select("filename", "row", "col", "segment").collect())) == set(
+        map(tuple, between.select("filename", "row", "col", "segment").collect()))
+
+
+def test_smoothing_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(superpixel, "TILE", 8)
+    values = np.random.default_rng(6).integers(0, 256, (19, 23)).astype(float)
+    rows = [("f", r, c, float(values[r, c]), 1.0, 0.0) for r in range(19) for c in range(23)]
+    px = spark.createDataFrame(rows, "filename string, row int, col int, blue double, green double, red double").repartition(3)
+    weights = superpixel.gaussian_weights(1.5)
+    reach = len(weights) // 2
+    for axis in (0, 1):
+        values = np.apply_along_axis(lambda v: np.convolve(np.pad(v, reach, mode="symmetric"), weights, "valid"), axis, values)
+    out = superpixel.smoothed(px, 1.5).collect()
+    assert len(out) == 19 * 23
+    assert all(r["blue"] == pytest.approx(values[r["row"], r["col"]]) and r["green"] == pytest.approx(1) for r in out)
+
+
+def test_groups_stay_whole_and_share_calls(spark):
+    from mlframes.plans import groups
+    import pyarrow as pa
+
+    def sizes(table):
+        found = table.group_by("k").aggregate([([], "count_all")])
+        return pa.table({"k": found.column("k"), "n": found.column("count_all"), "calls": [1] + [0] * (found.num_rows - 1)})
+
+    df = spark.range(300_000).selectExpr("case when id < 150000 then -1 else id % 1000 end as k")
+    out = groups.map_groups(df, ["k"], sizes, "k long, n long, calls long").collect()
+    assert {r["k"]: r["n"] for r in out} == {-1: 150_000, **{k: 150 for k in range(1000)}} and len(out) == 1001
+    assert sum(r["calls"] for r in out) < 40
