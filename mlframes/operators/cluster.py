@@ -3,7 +3,7 @@
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from mlframes.functions.hashing import hash52
 from mlframes.operators.starts import Clusters, best_of_starts
+from mlframes.plans.groups import codes, run_starts
 from mlframes.plans.joins import attach_small, join_on
 from mlframes.plans.ranks import first_per_key, with_share
 
@@ -81,42 +82,65 @@ def inertia(df: DataFrame, cluster: str, point: str, centres: DataFrame) -> Data
 
 # ---- silhouette --------------------------------------------------------------------------------
 
-def silhouette(df: DataFrame, id_col: str, cluster: str, point: str, tile_rows: int = 2_000) -> DataFrame:
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Euclidean distances by a matrix product; those of points that lie close together by their differences, which keeps
+    their digits."""
+    a, b = (left * left).sum(1)[:, None], (right * right).sum(1)[None, :]
+    squared, both = a + b - 2 * left @ right.T, a + b
+    i, j = np.nonzero(squared < 1e-6 * both)
+    for start in range(0, len(i), 65_536):
+        x, y = i[start:start + 65_536], j[start:start + 65_536]
+        squared[x, y] = ((left[x] - right[y]) ** 2).sum(1)
+    return np.sqrt(squared, out=squared)
+
+
+def silhouette(df: DataFrame, id_col: str, cluster: str, point: str, tile_rows: int = 16_384) -> DataFrame:
     """One row: exact mean silhouette by Euclidean distance of an array column.
 
     Every point needs its mean distance to every cluster. Points are hashed into blocks of about
-    ``tile_rows``; a task takes one pair of blocks, works out their distances with numpy and emits one
-    sum per point and cluster, not one row per pair. Work is quadratic in the points, as the measure
+    ``tile_rows``, fewer if points are wide or clusters many; a task takes one pair of blocks, works out
+    their distances once for both sides by matrix products and emits one sum per point and cluster, not
+    one row per pair. A point travels once per block. Work is quadratic in the points, as the measure
     is; ``silhouette_squared`` is the linear-time relative.
     """
     points = df.select(F.col(id_col).alias("id"), F.col(cluster).cast("bigint").alias("cluster"),
                        F.col(point).cast("array<double>").alias("point"))
-    blocks = max(1, math.ceil(points.count() / tile_rows))
+    rows, width, clusters = points.agg(F.count("*"), F.max(F.size("point")), F.count_distinct("cluster")).first()
+    tile_rows = max(1, min(tile_rows, (32 << 20) // (8 * max(width or 1, 1)), (4 << 20) // max(clusters, 1)))
+    blocks = max(1, math.ceil(rows / tile_rows))
     points = points.withColumn("block", F.pmod(hash52(SEED, "id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = points.select("id", "cluster", "point", F.lit(True).alias("asked"), F.col("block").alias("qb"), every.alias("db"))
-    given = points.select("id", "cluster", "point", F.lit(False).alias("asked"), every.alias("qb"), F.col("block").alias("db"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = points.withColumn("other", other).select("id", "cluster", "point", "block", F.least("block", "other").alias("low"),
+                                                     F.greatest("block", "other").alias("high"))
     key_type = points.schema["id"].dataType.simpleString()
 
-    def tile(both: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "own": [], "other": [], "total": []}
-        a, b = both[both["asked"]], both[~both["asked"]]
-        if len(a) and len(b):
-            left, right = np.stack(a["point"].to_list()), np.stack(b["point"].to_list())
-            for other in np.unique(b["cluster"].to_numpy()):
-                members = right[b["cluster"].to_numpy() == other]
-                total = np.zeros(len(left))
-                for start in range(0, len(left), 64):  # bounds the memory of the differences
-                    gap = left[start:start + 64, None, :] - members[None, :, :]
-                    total[start:start + 64] = np.sqrt((gap * gap).sum(axis=2)).sum(axis=1)
-                out["id"].extend(a["id"])
-                out["own"].extend(a["cluster"])
-                out["other"].extend([other] * len(a))
-                out["total"].extend(total)
-        return pd.DataFrame(out)
-
-    sums = (asked.unionByName(given).groupBy("qb", "db")
-            .applyInPandas(tile, f"id {key_type}, own bigint, other bigint, total double")
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("cluster", "ascending")]).combine_chunks()
+        every = table.column("point").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        every = every - every.mean(0)  # the distances stay
+        own, block = codes(table.column("cluster")), table.column("block").to_numpy()
+        cut = int(np.searchsorted(block, block[-1]))  # 0: a block with itself, or with one that got no point
+        alone = not cut and table.column("low")[0] != table.column("high")[0]
+        left, right = np.arange(0 if alone else cut or len(block)), np.arange(cut, len(block))
+        starts, runs = run_starts(own[left]), run_starts(own[right])
+        of_left, of_right = np.empty((len(left), len(runs))), {}
+        for begin, end in zip(starts, np.append(starts[1:], len(left))):
+            total = np.zeros(len(right))
+            for at in range(begin, end, 256):  # bounds the memory of the distances
+                apart = _distances(every[left[at:min(at + 256, end)]], every[right])
+                of_left[at:min(at + 256, end)] = np.add.reduceat(apart, runs, axis=1)
+                total += apart.sum(0)
+            of_right[begin] = total
+        who, other = np.repeat(left, len(runs)), np.tile(right[runs], len(left))
+        totals = of_left.ravel()
+        if cut:
+            who, other = np.concatenate([who, np.tile(right, len(starts))]), np.concatenate([other, np.repeat(left[starts], len(right))])
+            totals = np.concatenate([totals, *of_right.values()])
+        who, other = pa.array(who), pa.array(other)
+        return pa.table({"id": table.column("id").take(who), "own": table.column("cluster").take(who),
+                         "other": table.column("cluster").take(other), "total": totals})
+
+    sums = (pairs.groupBy("low", "high").applyInArrow(tile, f"id {key_type}, own bigint, other bigint, total double")
             .groupBy("id", "own", "other").agg(F.sum("total").alias("total")))
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("size"))
     near = join_on(sums, sizes, ["other"]).withColumn("same", F.col("own") == F.col("other"))

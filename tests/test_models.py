@@ -197,3 +197,13 @@ def test_report_describes_a_model_of_several_clusters(spark):
     from registry import QUERIES
     rows = {r["model_clusters"]: r for r in QUERIES["a24_model_report"](spark, "/root/testdata/sf0.001").collect()}
     assert set(rows) == {1, 5} and all(r["inertia_is_cost"] for r in rows.values())
+
+
+@pytest.mark.parametrize("tile", [7, 64, 10_000])
+def test_silhouette_of_close_points_far_from_the_origin(frame, tile):
+    rng = np.random.default_rng(8)
+    near = np.repeat(rng.normal(size=(30, 5)) + 1e6, 3, axis=0)  # copies, and points a millionth apart
+    points = near + rng.normal(size=near.shape) * 1e-6 * (np.arange(90) % 3 == 2)[:, None]
+    labels = np.arange(90) // 3 % 4
+    df = frame([(i, int(c), [float(v) for v in p]) for i, (p, c) in enumerate(zip(points, labels))], "id long, c int, p array<double>")
+    assert cluster.silhouette(df, "id", "c", "p", tile).first()[0] == pytest.approx(brute_silhouette(points, labels), rel=1e-9)
