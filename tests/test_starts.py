@@ -63,3 +63,16 @@ def test_fewer_points_than_centres(frame):
     df = frame([(1, 0.0), (2, 1.0), (3, 1.0)], "id int, x double")
     model = cluster.fit_kmeans(df, 3, id_col="id", n_init=2)
     assert model.cost == 0 and cluster.predict(model, df, "id").count() == 3
+
+
+def test_passes_read_blocks_in_few_parts(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(500, 3))
+    df = spark.createDataFrame([(i % 2, [float(v) for v in p]) for i, p in enumerate(x)], "group int, point array<double>").repartition(50)
+    monkeypatch.setattr(starts, "BLOCK_BYTES", 480)
+    packed = starts._packed(df, 3)
+    assert packed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    found = {0: [], 1: []}
+    for r in packed.collect():
+        assert len(r["block"]) <= 480
+        found[r["group"]] += np.frombuffer(r["block"]).reshape(-1, 3).tolist()
+    assert {g: sorted(p) for g, p in found.items()} == {g: sorted(x[g::2].tolist()) for g in (0, 1)}
