@@ -1,13 +1,15 @@
 """Removal of repeated runs of lines, found by winnowed line hashes and extended both ways, and of repeated passages of words."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from mlframes.llm.common import (MAP_BITS, SENTENCE_END, WORD, column, fresh, hashed_words, inverses, key_map, may_hold, mix,
-                                 parts_of, powers, saved, signed, sliced)
+from mlframes.llm.common import (MAP_BITS, WORD, column, fresh, hashed_words, inverses, key_map, may_hold, mix, parts_of, powers,
+                                 saved, signed, sliced)
 
 #: Words that make a run worth deleting, and words hashed together.
 RUN_WORDS, GRAM_WORDS = 32, 16
@@ -17,19 +19,26 @@ PASSAGE_WORDS, ANCHOR_WORDS = 50, 25
 ANCHOR_BITS = 1 << 26
 
 
+#: What ends a line: a break, or white space after the end of a sentence.
+LINE_END = re.compile(r"\n|[.!?][ \t]+")
+
+
 def split_lines(text: str):
     """(start, end) of the lines of a text; a line of several sentences counts as that many lines."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        begin = 0
-        for stop in SENTENCE_END.finditer(line):
-            out.append((at + begin, at + stop.start()))
-            begin = stop.end()
-        out.append((at + begin, at + len(line)))
-        at += len(line) + 1
+    out, begin = [], 0
+    for stop in LINE_END.finditer(text):
+        a, b = stop.span()
+        out.append((begin, a if text[a] == "\n" else a + 1))
+        begin = b
+    out.append((begin, len(text)))
     return out
 
 
+def count_lines(text: str) -> int:
+    """How many lines ``split_lines`` finds."""
+    return text.count("\n") + sum(map(text.count, (". ", "! ", "? ", ".\t", "!\t", "?\t"))) + 1
+
+
 def spans_hashed(values: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of ``values[first:stop]`` for each pair; equal stretches have equal hashes wherever they stand."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values)))])
@@ -126,6 +135,39 @@ def _lists(rows: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values, kind))
 
 
+def _packed(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``_lists`` as bytes: Spark moves and stores a row's values at once, not one by one."""
+    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [
+        None, pa.py_buffer((rows * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind):
+    """(values before each row from 0 on, the rows' values one after the other) of a column of ``_packed`` values."""
+    column, size = column.cast(pa.binary()), np.dtype(kind).itemsize
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1]
+    values = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].view(kind)
+    return (ends - ends[0]).astype(np.int64) // size, values
+
+
+def _parts(column: pa.Array, kind) -> list[np.ndarray]:
+    """The arrays of a column of ``_packed`` values."""
+    before, values = _unpacked(column, kind)
+    return [values[a:b] for a, b in zip(before[:-1], before[1:])]
+
+
+#: Two numbers from 0 to 2**31 - 1 as one: Spark collects and Arrow moves plain numbers faster than structs.
+LOW_HALF = (1 << 32) - 1
+
+
+def _paired(high, low):
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _halves(values: np.ndarray):
+    return values >> 32, values & LOW_HALF
+
+
 def _by_bytes(batches, place: int, limit: int = 1 << 18):
     """Arrow batches cut after about ``limit`` bytes of a column of texts."""
     for batch in batches:
@@ -147,17 +189,12 @@ def _hash_documents(batches):
         print_rows, segment_rows = np.searchsorted(chosen[new], line_rows), np.searchsorted(at, word_rows)
         at = at - np.repeat(word_rows[:-1], np.diff(segment_rows))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), _lists(line_rows, signed(lines), pa.int64()), _lists(line_rows, counts, pa.int32()),
+            [*(batch.column(i) for i in range(3)), _packed(line_rows, signed(lines)), _packed(line_rows, counts.astype(np.int32)),
              _lists(print_rows, signed(value[new]), pa.int64()), _lists(segment_rows, signed(anchor), pa.int64()),
-             _lists(segment_rows, signed(segment), pa.int64()), _lists(segment_rows, at, pa.int32()), _lists(segment_rows, sizes, pa.int32())],
+             *(_packed(segment_rows, x) for x in (signed(segment), at.astype(np.int32), sizes.astype(np.int32)))],
             names="id k1 k2 lines words prints anchors segments ats sizes".split())
 
 
-def _flat(column, *values):
-    """(values before each list from 0 on, the lists' values one after the other) of columns of lists of the same lengths."""
-    return [column.offsets.to_numpy() - column.offsets[0].as_py(), *(c.flatten().to_numpy(zero_copy_only=False) for c in (column, *values))]
-
-
 def _known(told, hashes: np.ndarray, size: int) -> np.ndarray:
     """Places of the hashes whose bit is set."""
     bit = (hashes & np.uint64(size - 1)).astype(np.int64)
@@ -168,8 +205,8 @@ def _windows(told):
     """Windows (id, k1, k2, print, at) whose fingerprint may stand in another place, from hashed documents."""
     def run(batches):
         for batch in sliced(batches):
-            before, lines, words = _flat(batch.column(3), batch.column(4))
-            first, whole, _, value = winnow(lines.view(np.uint64), words.astype(np.int64), before)
+            before, lines = _unpacked(batch.column(3), np.uint64)
+            first, whole, _, value = winnow(lines, _unpacked(batch.column(4), np.int32)[1].astype(np.int64), before)
             at = _known(told, value, MAP_BITS)
             row = np.searchsorted(before, first[at], side="right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +219,9 @@ def _segments(told):
     """Segments (id, k1, k2, anchor, segment, at, size) whose anchor may stand in another place, from hashed documents."""
     def run(batches):
         for batch in sliced(batches):
-            before, anchor, segment, at, size = _flat(*(batch.column(i) for i in range(3, 7)))
+            before, segment = _unpacked(batch.column(4), np.int64)
+            anchor = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            at, size = (_unpacked(batch.column(i), np.int32)[1] for i in (5, 6))
             found = _known(told, anchor.view(np.uint64), ANCHOR_BITS)
             row = np.searchsorted(before, found, side="right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -197,7 +236,7 @@ def _passages(batches):
         words, before, *_ = read_texts(batch.column(3).to_pylist())
         spots = batch.column(4)
         rows = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
-        at, size = (spots.flatten().field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+        at, size = _halves(spots.flatten().to_numpy(zero_copy_only=False))
         place = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         rows = np.repeat(rows, size)
         first = place + before[rows]
@@ -211,10 +250,9 @@ def _joined(batches):
     for batch in sliced(batches):
         rows, first, end = [], [], []
         spots = batch.column(2)
-        begins, stops = (parts_of(pa.ListArray.from_arrays(spots.offsets, spots.values.field(f))) for f in (0, 1))
-        for i, (a, b) in enumerate(zip(begins, stops)):
-            order = np.lexsort((b, a))
-            a, b = a[order], np.maximum.accumulate(b[order])
+        for i, part in enumerate(parts_of(spots)):
+            a, b = _halves(np.sort(part))
+            b = np.maximum.accumulate(b)
             new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
             rows.append(np.full(len(new), i))
             first.append(a[new])
@@ -248,8 +286,8 @@ def _extend(batches):
     for batch in sliced(batches):
         k1, k2, seeds, lines, words, other = batch.columns
         rows, first, end = [], [], []
-        at, there = (parts_of(pa.ListArray.from_arrays(seeds.offsets, seeds.values.field(f))) for f in (0, 1))
-        for i, (a, t, x, w, y) in enumerate(zip(at, there, parts_of(lines), parts_of(words), parts_of(other))):
+        for i, (seed, x, w, y) in enumerate(zip(parts_of(seeds), _parts(lines, np.int64), _parts(words, np.int32), _parts(other, np.int64))):
+            a, t = _halves(seed)
             shifts: dict = {}
             for place, shift in sorted(zip(a.tolist(), (a - t).tolist())):
                 shifts.setdefault(shift, []).append(place)
@@ -323,9 +361,9 @@ def _delete(place: int, runs: int):
             texts, spans, total, gone = [], [], [], []
             for text, found in zip(batch.column(place).to_pylist(), batch.column(runs).to_pylist()):
                 if found:
-                    text, cut, n, m = without(text, *([(r["a"], r["b"]) for r in found if r["words"] == kind] for kind in (False, True)))
+                    text, cut, n, m = without(text, *([(r >> 33, r >> 1 & LOW_HALF) for r in found if r & 1 == kind] for kind in (0, 1)))
                 else:
-                    cut, n, m = [], text.count("\n") + len(SENTENCE_END.findall(text)) + 1 if text is not None else 0, 0
+                    cut, n, m = [], count_lines(text) if text is not None else 0, 0
                 texts.append(text)
                 spans.append(",".join(f"{a}:{b}" for a, b in cut))
                 total.append(n)
@@ -371,7 +409,7 @@ def _repeated_passages(hashes: DataFrame, slim: DataFrame) -> DataFrame:
     near = later.where("near is not null")
     open_ = (may_hold(first, key_map(shared, "anchor"), "anchor").join(shared, "anchor").select("first.k1", "first.k2", "first.at", "size")
              .union(near.select("k1", "k2", "at", "size")).union(near.select("k1", "k2", "near", "size")))
-    open_ = saved(open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "size")).alias("spots")), "open_segments")
+    open_ = saved(open_.groupBy("k1", "k2").agg(F.collect_set(_paired(F.col("at"), F.col("size"))).alias("spots")), "open_segments")
     texts = (may_hold(slim, key_map(open_, "k1"), "k1").join(open_, ["k1", "k2"])
              .select("id", "k1", "k2", "text", "spots"))
     prints = saved(texts.mapInArrow(_passages, "id long, k1 long, k2 int, print long, at int"), "passages")
@@ -380,9 +418,9 @@ def _repeated_passages(hashes: DataFrame, slim: DataFrame) -> DataFrame:
     begun = saved(begun, "passage_firsts")
     begin = F.when(own, F.greatest("at", F.col("first.at") + PASSAGE_WORDS)).otherwise(F.col("at"))
     single = (may_hold(prints, key_map(begun, "print"), "print").join(begun, "print").where(spot != F.col("first"))
-              .select("k1", "k2", F.struct(begin.alias("a"), (F.col("at") + PASSAGE_WORDS).alias("b")).alias("spot")))
-    whole = later.where("near is null").select("k1", "k2", F.struct(
-        F.col("at").alias("a"), (F.col("at") + F.col("size") + (PASSAGE_WORDS - 1)).alias("b")).alias("spot"))
+              .select("k1", "k2", _paired(begin, F.col("at") + PASSAGE_WORDS).alias("spot")))
+    whole = later.where("near is null").select(
+        "k1", "k2", _paired(F.col("at"), F.col("at") + F.col("size") + (PASSAGE_WORDS - 1)).alias("spot"))
     return (single.union(whole).groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
             .mapInArrow(_joined, "k1 long, k2 int, a int, b int, words boolean"))
 
@@ -409,8 +447,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns({k1: F.xxhash64(column(id_col), text), k2: F.hash(text, column(id_col))})
     slim = keyed.where(text.isNotNull()).select(column(id_col).cast("long").alias("id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                                                 text.alias("text"))
-    schema = ("id long, k1 long, k2 int, lines array<long>, words array<int>, prints array<long>, "
-              "anchors array<long>, segments array<long>, ats array<int>, sizes array<int>")
+    schema = ("id long, k1 long, k2 int, lines binary, words binary, prints array<long>, "
+              "anchors array<long>, segments binary, ats binary, sizes binary")
     hashes = saved(slim.mapInArrow(_hash_documents, schema), "lines")
     told = _repeated(hashes, "prints", MAP_BITS)
     spot = F.struct("id", "k1", "k2", "at")
@@ -421,7 +459,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   .where("first <> last").select("print", "first"), "firsts")
     later = (may_hold(prints, key_map(first, "print"), "print").join(first, "print").where(spot != F.col("first"))
              .select("k1", "k2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"),
-                     F.struct("at", F.col("first.at").alias("there")).alias("seed")))
+                     _paired(F.col("at"), F.col("first.at")).alias("seed")))
     pairs = saved(later.groupBy("k1", "k2", "f1", "f2").agg(F.collect_set("seed").alias("seeds")), "pairs")
     met = key_map(pairs.select("k1").union(pairs.select("f1")), "k1")
     once = may_hold(hashes.select("k1", "k2", "lines", "words"), met, "k1").dropDuplicates(["k1", "k2"])
@@ -430,7 +468,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .select("k1", "k2", "seeds", "lines", "words", "other"))
     found = sides.mapInArrow(_extend, "k1 long, k2 int, a int, b int").withColumn("words", F.lit(False))
     found = found.union(_repeated_passages(hashes, slim))
-    found = saved(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "words")).alias("runs")), "runs")
+    run = F.shiftleft(_paired(F.col("a"), F.col("b")), 1).bitwiseOR(F.col("words").cast("long"))
+    found = saved(found.groupBy("k1", "k2").agg(F.collect_set(run).alias("runs")), "runs")
     o1, o2 = fresh(keyed.columns, "other_one", "other_two")
     found = found.select(F.col("k1").alias(o1), F.col("k2").alias(o2), F.col("runs").alias(runs))
     keyed, changed = keyed.withColumn(text_col, text), key_map(found, o1)
