@@ -4,11 +4,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _BANDS = ["blue", "green", "red", "nir"]
 _SCHEMA = "filename string, `row` int, `col` int, blue double, green double, red double, nir double"
 _ROWS = 64  # image lines per batch
+_PIXELS = 1 << 16  # pixels of raw images per batch
 
 
 def _pixels(filename: str, image: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -56,10 +58,23 @@ def pixels_from_raw(spark: SparkSession, path: str, rows: int, cols: int, bands:
 
 
 def raw_pixels(files: DataFrame, rows: int, cols: int, bands: int = 4, dtype: str = "<u2") -> DataFrame:
-    """The same from a table (filename, content)."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for g in pdf.itertuples(index=False):
-                yield from _pixels(g.filename, np.frombuffer(g.content, dtype=dtype).reshape(rows, cols, bands))
-
-    return _without_nan(files.select("filename", "content").mapInPandas(run, _SCHEMA))
+    """The same from a table (filename, content). Small images share a batch, and a large one is cut into strips of lines."""
+    size, at_once = rows * cols * bands * np.dtype(dtype).itemsize, max(1, _PIXELS // (rows * cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                contents = part.column(1).to_pylist()
+                if any(len(c) != size for c in contents):
+                    raise ValueError(f"an image of {rows} x {cols} x {bands} has {size} bytes")
+                image = np.frombuffer(b"".join(contents), dtype=dtype).reshape(len(contents), rows, cols, bands)
+                for top in range(0, rows, high := max(1, _PIXELS // cols)):
+                    strip = image[:, top:top + high]
+                    whose, row, col = (x.ravel() for x in np.indices(strip.shape[:3], np.int32))
+                    values = [strip[..., i].ravel().astype(float) if i < bands else np.full(len(row), np.nan) for i in range(len(_BANDS))]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(whose)), pa.array(row + np.int32(top)), pa.array(col), *map(pa.array, values)],
+                        names=["filename", "row", "col", *_BANDS])
+
+    return _without_nan(files.select("filename", "content").mapInArrow(run, _SCHEMA))

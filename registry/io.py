@@ -6,7 +6,7 @@ from mlframes.operators import encode
 from mlframes.plans.storage import shared_path
 from mlframes.sources import images, sinks, tables
 from mlframes.streaming.score import score_stream
-from registry.base import cte, fixture, query, rd, rounded, table
+from registry.base import cte, fixture, query, rd, rounded, spread, table
 
 
 def _customers(spark, sf):
@@ -124,12 +124,14 @@ def s10(spark, sf):
 def s09(spark, sf):
     """Raw four-band images of 4 x 4 pixels, one per part, written by Spark and read back as pixels."""
     k, side = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(3))
-    grid = (table(spark, sf, "part").select("p_partkey").withColumn("r", F.explode(side)).withColumn("c", F.explode(side)))
-    bands = [(k * 7 + F.col("r") * 13 + F.col("c") * 3) % 256, k % 256, (k + F.col("r")) % 256, (k * 11 + F.col("r") * 7 + F.col("c") * 17) % 256]
-    pixel = F.concat(*[F.lpad(F.hex(b), 2, "0") for b in bands])
-    images_hex = grid.groupBy("p_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("r", "c", pixel.alias("h")))), lambda s: s["h"]), "").alias("h"))
-    stored = images_hex.select(F.concat(F.lit("img_"), k.cast("string")).alias("filename"), F.unhex("h").alias("content"))
+
+    def pixel(r, c):
+        bands = [(k * 7 + r * 13 + c * 3) % 256, k % 256, (k + r) % 256, (k * 11 + r * 7 + c * 17) % 256]
+        return F.concat(*[F.lpad(F.hex(b), 2, "0") for b in bands])
+
+    h = F.array_join(F.flatten(F.transform(side, lambda r: F.transform(side, lambda c: pixel(r, c)))), "")
+    stored = spread(table(spark, sf, "part").select("p_partkey"), 16).select(F.concat(F.lit("img_"), k.cast("string")).alias("filename"),
+                                                                             F.unhex(h).alias("content"))
     px = images.raw_pixels(stored, 4, 4, dtype="u1")
     return rounded(px.groupBy("filename").agg(F.count("*").alias("n"), F.avg("blue").alias("blue"), F.avg("nir").alias("nir"),
                                               F.sum(F.col("row") * F.col("blue")).alias("row_blue")))
