@@ -6,12 +6,15 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from mlframes.functions import colour
 from mlframes.operators.raster import KEYS, join_keyed
 from mlframes.plans.components import connected_components
+from mlframes.plans.groups import codes, map_groups, run_starts
 from mlframes.plans.storage import checkpoint
 
 # Moment orders (p over rows, q over columns) up to three: the order of entries in moment arrays.
@@ -344,18 +347,108 @@ def outlines(around: DataFrame, lines_per_block: int = LINES) -> DataFrame:
         F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("q"))).alias("q"),
         F.sort_array(F.collect_list(F.struct("row", "from", "to"))).alias("r")).where("n > 0")
     rows = F.flatten(F.transform("r", lambda x: F.array_repeat(x["row"], F.size(x["from"]))))
-    blocks = checkpoint(blocks.select(*KEYS, "n", "q", _block_outline(lines_per_block)(
-        F.col("block"), rows, F.flatten("r.from"), F.flatten("r.to")).alias("b")))
+    return _whole_outlines(blocks.select(*KEYS, "block", "n", "q", rows.alias("rows"), F.flatten("r.from").alias("from"),
+                                         F.flatten("r.to").alias("to")), lines_per_block)
+
+
+def _whole_outlines(blocks: DataFrame, lines_per_block: int, *sums: str) -> DataFrame:
+    """What ``outlines`` gives, and the sums of further columns, from the runs of each block of lines: (filename, segment, block,
+    pixels ``n``, twelfths ``q`` of the Euler number, ``rows``, ``from`` and ``to`` of the runs in order)."""
+    blocks = checkpoint(blocks.select(*KEYS, "n", "q", *sums, _block_outline(lines_per_block)("block", "rows", "from", "to").alias("b")))
     whole = blocks.groupBy(*KEYS).agg(
         F.sum("n").alias("area"), (F.sum("q") / 12).cast("int").alias("euler_number"), F.sum("b.closed").alias("closed"),
-        F.collect_list(F.struct("b.y", "b.x")).alias("hull"))
+        F.collect_list(F.struct("b.y", "b.x")).alias("hull"), *[F.sum(c).alias(c) for c in sums])
     whole = whole.withColumn("convex_area", _convex_area(F.flatten("hull.y"), F.flatten("hull.x")))
     out = join_keyed(whole, _open_holes(blocks), KEYS, "left")
     return out.select(*KEYS, "area", (F.col("area") + F.col("closed") + F.coalesce("open", F.lit(0))).alias("filled_area"),
-                      "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"), "euler_number")
-
-
-def outline_properties(px: DataFrame) -> DataFrame:
-    """Perimeter, Euler number, filled and convex area and solidity per segment."""
-    around = neighbourhood(px)
-    return join_keyed(outlines(around), perimeters(around), KEYS)
+                      "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"), "euler_number", *sums)
+
+
+#: Pixels that a task gets, about.
+TASK_PIXELS = 1 << 20
+_ENDS = PLACE // 2  # the ends of runs are numbered row * PLACE + _ENDS + col
+_LENGTHS = np.array([BORDER_LENGTHS.get(code, 0.0) for code in range(50)])
+# lines down and columns right to each neighbour
+_STEPS = {"w": (0, -1), "e": (0, 1), "n": (-1, 0), "s": (1, 0), "nw": (-1, -1), "se": (1, 1), "ne": (-1, 1), "sw": (1, -1)}
+
+
+def _tile_runs(size: int, lines_per_block: int):
+    """Arrow function on the pixels of whole tiles and of the two lines around each: a row per segment, tile and block of lines with
+    what its pixels add to area, Euler number and perimeter, and where runs begin and end there."""
+    def run(table: pa.Table) -> pa.Table:
+        image, segment = codes(table.column("filename")), codes(table.column("segment"))
+        row, col, tr, tc = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col", "__tr", "__tc"))
+        order = np.lexsort((col, row, tc, tr, image))
+        image, segment, row, col, tr, tc = (x[order] for x in (image, segment, row, col, tr, tc))
+        starts = run_starts(image, tr, tc)
+        tile = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(image)))
+        high, wide = row + 2 - tr * size, col + 2 - tc * size  # from 0 to size - 1 within the tile itself
+        own = (high >= 0) & (high < size) & (wide >= 0) & (wide < size)
+        line = size + 6
+        place = (tile * line + high + 3) * line + wide + 3
+        last = len(place) - 1
+        same, at = {}, {}
+        for name, (down, right) in _STEPS.items():
+            if name in ("w", "e"):
+                at[name] = np.arange(len(place)) + right
+            else:
+                at[name] = np.searchsorted(place, place + down * line + right)
+            at[name] = np.clip(at[name], 0, last)
+            same[name] = (place[at[name]] == place + down * line + right) & (segment[at[name]] == segment)
+        border = ~(same["n"] & same["s"] & same["w"] & same["e"])
+        code = 1 + sum((2 if 0 in step else 10) * (same[name] & border[at[name]]) for name, step in _STEPS.items())
+        length = np.where(border, _LENGTHS[code], 0.0)
+        quads = np.zeros(len(place), np.int64)
+        for side, ahead, corner in (("w", "n", "nw"), ("e", "n", "ne"), ("w", "s", "sw"), ("e", "s", "se")):
+            a, b, d = same[side], same[ahead], same[corner]
+            quads += np.where(~a & ~b, np.where(d, -3, 3), np.where(a & b & ~d | (a != b) & d, -1, 0))
+        # a block knows the lines before and after its own too
+        parts = []
+        for step in (0, -1, 1):
+            block = (row + step) // lines_per_block
+            kept = np.flatnonzero(own if not step else own & (block != row // lines_per_block))
+            parts.append((kept, block[kept], np.full(len(kept), step == 0)))
+        pixel, block, whole = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pixel, block, segment[pixel], tile[pixel]))
+        pixel, block, whole = pixel[order], block[order], whole[order]
+        first = run_starts(tile[pixel], segment[pixel], block)
+        group = np.repeat(np.arange(len(first)), np.diff(first, append=len(pixel)))
+
+        def ends(side):
+            found = ~same[side][pixel]
+            number = row[pixel[found]] * PLACE + _ENDS + col[pixel[found]]
+            return pa.ListArray.from_arrays(np.searchsorted(group[found], np.arange(len(first) + 1)).astype(np.int32), pa.array(number))
+
+        def total(x, kind):
+            return pa.array(np.bincount(group, np.where(whole, x[pixel], 0), len(first)).astype(kind))
+
+        names, labels = ((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column) for column in
+                         (pc.unique(table.column(c)) for c in KEYS))
+        head = pixel[first]
+        return pa.table([names.take(pa.array(image[head])), labels.take(pa.array(segment[head])), pa.array(block[first]),
+                         total(np.ones(len(place)), np.int64), total(quads, np.int64), total(length, float), ends("w"), ends("e")],
+                        names=[*KEYS, "block", "n", "q", "perimeter", "from", "to"])
+    return run
+
+
+def outline_properties(px: DataFrame, lines_per_block: int = LINES, size: int = TILE) -> DataFrame:
+    """Perimeter, Euler number, filled and convex area and solidity per segment.
+
+    Pixels move once, to the tile that holds them and to those within two lines of them; a task works on one tile, or on many
+    small images at once, and the number of tasks follows the number of pixels. Only the ends of runs and sums go on.
+    """
+    px = px.select(*KEYS, "row", "col")
+    tasks = -(-px.count() // TASK_PIXELS)
+    schema = px.selectExpr(*KEYS, "0L as block", "0L as n", "0L as q", "0D as perimeter", "array(0L) as `from`", "array(0L) as `to`").schema
+    for c, t in (("row", "__tr"), ("col", "__tc")):
+        # tiles end beside line -2, so that an image that begins at 0 has no pixels in tiles before it
+        around = (F.floor((F.col(c) + 2 + d) / size).cast("int") for d in (-2, 2))
+        px = px.withColumn(t, F.explode(F.sequence(*around)))
+    tiles = map_groups(px, ["filename", "__tr", "__tc"], _tile_runs(size, lines_per_block), schema, tasks)
+    blocks = tiles.groupBy(*KEYS, "block").agg(*[F.sum(c).alias(c) for c in ("n", "q", "perimeter")], *[
+        F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("from", "to")]).where("n > 0")
+    bits = PLACE.bit_length() - 1
+    column = f"x -> (x & {PLACE - 1}L) - {_ENDS}L"
+    blocks = blocks.selectExpr(*KEYS, "block", "n", "q", "perimeter", f"transform(`from`, x -> shiftright(x, {bits})) as rows",
+                               f"transform(`from`, {column}) as `from`", f"transform(`to`, {column}) as `to`")
+    return _whole_outlines(blocks, lines_per_block, "perimeter")
