@@ -88,7 +88,7 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
     segments, so the pixels are not read again for them.
     """
     rededge = ["rededge"] if "rededge" in px.columns else []
-    px = px.select(*KEYS, "red", "green", "blue", "nir", *rededge)
+    px = px.select(*KEYS, *indices.BANDS, *rededge)  # as index_features moves them: beside it they move once
     base = spectral_bands(px)
     named = ["red", "green", "blue", *rededge, "nir", *"hsvlabxyz"]
     r, g, b, n = (F.col(c) for c in ("red", "green", "blue", "nir"))

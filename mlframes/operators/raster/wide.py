@@ -12,10 +12,15 @@ RANK = "relabeled_segs"
 def rank_segments(features: DataFrame, by: str = "gray_mean_intensity") -> DataFrame:
     """Number the segments of each image from the brightest; equal ones by segment.
 
-    The window holds the segments of one image, as many as the wide table has column groups.
+    The window holds the segments of one image, as many as the wide table has column groups. Rows lie by the name that the
+    wide table has, so that ``pivot_segments`` need not move them again.
     """
-    order = Window.partitionBy("filename").orderBy(F.col(by).desc(), F.col("segment"))
-    return features.withColumn(RANK, F.row_number().over(order))
+    order = Window.partitionBy(_image_name(), "filename").orderBy(F.col(by).desc(), F.col("segment"))
+    return features.repartition(_image_name()).withColumn(RANK, F.row_number().over(order))
+
+
+def _image_name():
+    return F.trim("filename", F.lit("\n"))
 
 
 def _suffixed(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -43,23 +48,23 @@ def segment_features(px: DataFrame, images: DataFrame | None = None, outlines: b
     return join_segment_features(index_features(px), segment_colourfulness(px), regions, spectral_features(px, images))
 
 
-def pivot_segments(ranked: DataFrame, ranks: int | None = None) -> DataFrame:
+def pivot_segments(ranked: DataFrame, ranks: int | None = None, largest: int | None = None) -> DataFrame:
     """One row per image with a column ``<feature>_seg_<rank>`` for every feature and rank.
 
-    An image's segments are gathered once, in rank order, and spread to columns by position: one
-    aggregate instead of one per column. ``ranks`` may ask for more columns than
-    the largest rank needs, not for fewer.
+    An image's segments are gathered in rank order, and spread to columns by position: one aggregate per feature, so that those
+    that nobody reads are not made, instead of one per column. ``ranks`` may ask for more columns than
+    the largest rank needs, not for fewer. Who knows the largest rank gives it: to look for it works all features out once more.
     """
-    largest = ranked.agg(F.max(RANK)).first()[0] or 0
+    if largest is None:
+        largest = ranked.agg(F.max(RANK)).first()[0] or 0
     if ranks is not None and largest > ranks:
         raise ValueError(f"an image has {largest} segments, more than the {ranks} asked for")
     ranks = ranks or largest
-    ranked = ranked.withColumn("filename", F.trim("filename", F.lit("\n")))
+    ranked = ranked.withColumn("filename", _image_name())
     features = [c for c in ranked.columns if c not in ("filename", RANK)]
-    row = F.struct(F.col(RANK), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(features)])
-    images = ranked.groupBy("filename").agg(F.sort_array(F.collect_list(row)).alias("__segments"))
-    spread = images.select("filename", *[F.get("__segments", F.lit(i)).alias(f"__s{i}") for i in range(ranks)])
-    return spread.select("filename", *[F.col(f"__s{i}.f{j}").alias(f"{c}_seg_{i + 1}")
+    images = ranked.groupBy("filename").agg(*[F.sort_array(F.collect_list(F.struct(F.col(RANK), F.col(f"`{c}`").alias("v")))).alias(f"__{j}")
+                                              for j, c in enumerate(features)])
+    return images.select("filename", *[F.get(f"__{j}", F.lit(i))["v"].alias(f"{c}_seg_{i + 1}")
                                        for j, c in enumerate(features) for i in range(ranks)])
 
 
@@ -72,4 +77,6 @@ def join_images(catalogue: DataFrame, wide: DataFrame, image_colour: DataFrame,
 def image_table(px: DataFrame, catalogue: DataFrame, original: DataFrame, ranks: int | None = None, outlines: bool = True) -> DataFrame:
     """One row per catalogued image."""
     ranked = rank_segments(segment_features(px, catalogue.select("filename", "date"), outlines))
-    return join_images(catalogue, pivot_segments(ranked, ranks), image_colourfulness(px), original)
+    # every segment has its row of features, so the pixels' labels alone give the largest rank
+    largest = px.select(*KEYS).distinct().groupBy("filename").count().agg(F.max("count")).first()[0] or 0
+    return join_images(catalogue, pivot_segments(ranked, ranks, largest), image_colourfulness(px), original)
