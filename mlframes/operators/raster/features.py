@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from mlframes.functions import colour, indices
 from mlframes.functions.dates import day_fraction, image_date
 from mlframes.operators.raster import KEYS, join_keyed
-from mlframes.plans.joins import attach, attach_small
+from mlframes.plans.joins import attach
 from mlframes.plans.quantiles import GROUP_ROWS, grouped_interquartile_means, grouped_quantiles, ranks_within
 
 # The quantities described per segment, and the statistics of each.
@@ -117,7 +117,8 @@ def spectral_features(px: DataFrame, images: DataFrame | None = None, group_rows
                            **{f"image_mean_{t}": F.col(f"image_mean_{c}") for t, c in twins.items()}})
     if images is not None:
         days = images.select("filename", day_fraction(image_date("date")).alias("day_of_year"))
-        out = attach_small(out, days, ["filename"])
+        # segments lie by image since the last join: no salt, which is a hash of all columns and so works all of them out
+        out = join_keyed(out, days, ["filename"], "left")
     return out
 
 

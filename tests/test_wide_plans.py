@@ -36,3 +36,14 @@ def test_bands_move_once(spark):
     both = features.index_features(px).join(features.spectral_features(px).hint("merge"), KEYS)
     text = executed(both)
     assert re.search(r"ReusedExchange.*REPARTITION_BY_COL", text), text
+
+
+def test_days_are_joined_where_the_segments_lie(spark):
+    px = pixels(spark, "/root/testdata/sf0.001")
+    some = px.select("filename", F.lit("20240201").alias("date")).distinct().where("filename <> 'img_1'")
+    out = features.spectral_features(px, some).select(*KEYS, "day_of_year", "SR")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and "xxhash64" not in text and "sort_array" not in text
+    found = {r["filename"]: r["day_of_year"] for r in out.collect()}
+    assert found["img_1"] is None and set(found.values()) == {None, 32 / 365}
+    assert out.count() == px.select(*KEYS).distinct().count()
